@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,14 +12,52 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A model file for op7: piece_bpe_32k.model of the public vocabularies; see tokenizer_path().
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def tokenizer_path() -> str:
+    """The model file that op7 and the pipeline use: TOKENIZER, or what loom.tokenizer.path of the environment names."""
+    return os.environ.get("LOOM_TOKENIZER_PATH", TOKENIZER)
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.toxicity import toxicity
+
+    t = toxicity(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+    return t.select("doc_id", "p_mention", "p_dense", "p_toxic", "toxic")
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.spm import encode, load
+
+    return encode(_table(spark, sf_dir, "documents"), load(tokenizer_path()), with_ids=False)
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm.jaccard import jaccard_join
 
     return jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.langid import held_out, language_id
+
+    t = language_id(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return t.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "n_switches")
+
+
+QUERIES = [op2_mixing, op5_toxicity, op7_sentencepiece, op8_ngram_jaccard, op10_language_id]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_ngram_jaccard": op8_ngram_jaccard}
+    return {f.__name__: f for f in QUERIES}
 
 
 OP8_SQL = r"""
@@ -40,5 +79,35 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN deg ON deg.a = d.doc_id JO
 """
 
 
+OP2_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    ('0x' || left(md5(coalesce(doc_id::VARCHAR, 'text:' || coalesce(text, ''))), 15))::BIGINT AS h
+  FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, ([5, 2, 1])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w
+  FROM d GROUP BY source),
+-- the level of a unit of weight, and how many sources are above their cap at the level before
+fill AS (
+  SELECT 0 AS step, (SELECT sum(source_size) / sum(w) FROM s) AS unit, -1::BIGINT AS n
+  UNION ALL
+  SELECT step + 1,
+    (SELECT (sum(source_size) - sum(CASE WHEN w * unit > 3 * source_size THEN 3 * source_size ELSE 0 END)) / nullif(sum(CASE WHEN w * unit > 3 * source_size THEN 0 ELSE w END), 0) FROM s),
+    (SELECT count(*) FROM s WHERE w * unit > 3 * source_size)
+  FROM fill WHERE step < 100 AND unit IS NOT NULL AND n <> (SELECT count(*) FROM s WHERE w * unit > 3 * source_size)),
+lvl AS (SELECT unit FROM fill WHERE unit IS NOT NULL ORDER BY step DESC LIMIT 1),
+t AS (SELECT source, source_size, least(w * unit, 3.0 * source_size) AS target FROM s, lvl),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS passes FROM t),
+r AS (SELECT *, target - passes * source_size AS rest FROM p),
+hs AS (SELECT source, h, sum(size) AS words FROM d GROUP BY source, h),
+run AS (SELECT source, h, sum(words) OVER (PARTITION BY source ORDER BY h) AS upto, words FROM hs),
+cut AS (
+  SELECT r.source, max(CASE WHEN r.rest > 0 AND (upto <= r.rest OR (upto - words < r.rest AND upto - r.rest < r.rest - (upto - words))) THEN h ELSE -1 END) AS upto
+  FROM r JOIN run ON run.source IS NOT DISTINCT FROM r.source GROUP BY r.source)
+SELECT doc_id, size, source_size, target, (CASE WHEN target > 0 THEN least(passes + (h <= cut.upto)::BIGINT, 3) ELSE 0 END * size)::BIGINT AS taken
+FROM d JOIN r ON r.source IS NOT DISTINCT FROM d.source JOIN cut ON cut.source IS NOT DISTINCT FROM d.source
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_ngram_jaccard": OP8_SQL}
+    return {"op2_mixing": OP2_SQL, "op8_ngram_jaccard": OP8_SQL}
