@@ -1,8 +1,72 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: five operators, one after the other, over all documents.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all documents that its predecessor kept, which are written as Parquet
+and read again between the stages. Rows without doc_id pass the Jaccard stage, as its result cannot name them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomgraph.llm import jaccard, langid, mixing, spm, toxicity
+from loomgraph.llm.common import small, stored
+from loomgraph.llm.queries import tokenizer_path
+
+#: Documents whose main language has less than this share of their words go.
+LANGUAGE_SHARE = 0.4
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain rejects go. Null and empty texts stay."""
+    chain = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, chain).filter(F.col("p_toxic") < 0.5).select(*docs.columns)
+
+
+def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or of which no language has LANGUAGE_SHARE of the words, go."""
+    field = langid.train(langid.sample_rows(docs.filter(~langid.held_out())))
+    found = langid.identify(docs, field)
+    return found.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LANGUAGE_SHARE)).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies the document with the smallest id stays; of repeated rows of one id, one."""
+    found = stored(jaccard.jaccard_join(docs).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")), "near")
+    gone = found.filter("component_id < doc_id").select("doc_id")
+    again = found.filter("component_id = doc_id AND n > 1").select("doc_id")
+    n_gone, n_again = gone.count(), again.count()
+    kept = docs.join(small(gone, n_gone), "doc_id", "left_anti").select(*docs.columns)
+    if not n_again:
+        return kept
+    once = kept.join(small(again, n_again), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return kept.join(small(again, n_again), "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    taken = mixing.mix(docs).filter("copies > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The piece ids of every document that is left."""
+    return spm.encode(docs, spm.load(tokenizer_path()))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language_id", drop_unidentified),
+    ("ngram_jaccard", drop_near_copies),
+    ("mixing", mix_sources),
+    ("sentencepiece", tokenize),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stored(docs, name)
+    return docs
