@@ -17,7 +17,7 @@ TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def tokenizer_path() -> str:
-    """The model file that op7 and the pipeline use: TOKENIZER, or what loom.tokenizer.path of the environment names."""
+    """The model file that op7 and the pipeline use: TOKENIZER, or the file that LOOM_TOKENIZER_PATH in the environment names."""
     return os.environ.get("LOOM_TOKENIZER_PATH", TOKENIZER)
 
 
@@ -27,6 +27,19 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.quality_rules import quality_rules
+
+    t = quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return t.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", "kept")
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.licenses import license_scan
+
+    return license_scan(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm.toxicity import toxicity
 
@@ -53,7 +66,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "n_switches")
 
 
-QUERIES = [op2_mixing, op5_toxicity, op7_sentencepiece, op8_ngram_jaccard, op10_language_id]
+QUERIES = [op2_mixing, op3_quality_rules, op4_license_scan, op5_toxicity, op7_sentencepiece, op8_ngram_jaccard, op10_language_id]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -109,5 +122,72 @@ FROM d JOIN r ON r.source IS NOT DISTINCT FROM d.source JOIN cut ON cut.source I
 """
 
 
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, 'und') AS stratum, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM d),
+li AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines FROM ln WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+win AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM win) WHERE c > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + o) AS n_repeat_words FROM rep, (VALUES (0), (1), (2)) AS v(o) GROUP BY doc_id),
+s AS (
+  SELECT doc_id, stratum, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_upper, length(text) - length(regexp_replace(text, '[A-Za-z]', '', 'g')) AS n_letters
+  FROM d LEFT JOIN li USING (doc_id) LEFT JOIN cov USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s),
+g AS (
+  SELECT doc_id, stratum, base_failed, u.rule, CASE WHEN u.den > 0 THEN least(20, (u.num * 20 + u.den - 1) // u.den) ELSE 0 END AS k
+  FROM (SELECT doc_id, stratum, base_failed, unnest([{'rule': 'symbols', 'num': n_symbols, 'den': word_chars}, {'rule': 'dup_lines', 'num': n_dup_lines, 'den': n_lines},
+    {'rule': 'repeats', 'num': n_repeat_words, 'den': n_words}, {'rule': 'upper', 'num': n_upper, 'den': n_letters}]) AS u FROM b)),
+y AS (SELECT doc_id FROM labels WHERE quality IN (0, 1) GROUP BY doc_id HAVING min(quality) = 1),
+h AS (SELECT stratum, rule, k FROM g JOIN y USING (doc_id) WHERE NOT base_failed),
+m AS (SELECT count(DISTINCT stratum) AS strata FROM h),
+t AS (SELECT stratum, rule, cut, count(*) AS n, count(*) FILTER (WHERE k > cut) AS bad FROM h, range(20) AS r(cut) GROUP BY ALL),
+p AS (
+  SELECT stratum, rule, cut, any_value(n) AS n, any_value(bad) AS bad,
+    sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.01) + (n - j) * ln(0.99))) AS tail
+  FROM (SELECT *, unnest(range(bad + 1)) AS j FROM t WHERE bad <= 0.01 * n) GROUP BY stratum, rule, cut),
+c AS (SELECT stratum, rule, min(cut) AS cut FROM p, m WHERE bad < n AND tail <= 0.05 / (strata * 80) GROUP BY stratum, rule),
+x AS (
+  SELECT g.doc_id, string_agg(rule, ',' ORDER BY CASE rule WHEN 'symbols' THEN 1 WHEN 'dup_lines' THEN 2 WHEN 'repeats' THEN 3 ELSE 4 END) AS rejected_by
+  FROM g JOIN c USING (stratum, rule) WHERE k > cut GROUP BY g.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(rejected_by, '') AS rejected_by, NOT base_failed AND rejected_by IS NULL AS kept
+FROM b LEFT JOIN x USING (doc_id)
+"""
+
+OP4_SQL = r"""
+WITH tpl AS (SELECT label, list_distinct(string_split(t, ' ')) AS own FROM (VALUES
+  ('apache-2.0', 'licensed under the apache license version 2 0'),
+  ('mit', 'released under the mit license'),
+  ('mit-grant', 'permission is hereby granted free of charge to any person obtaining a copy of this software'),
+  ('bsd', 'redistribution and use in source and binary forms with or without modification are permitted'),
+  ('gpl-3.0', 'this work is licensed under the gnu general public license version 3'),
+  ('gpl-notice', 'this program is free software you can redistribute it and or modify it under the terms of the gnu general public license'),
+  ('cc-by-nc-4.0', 'licensed under cc by nc 4 0'),
+  ('cc-by-sa-4.0', 'licensed under cc by sa 4 0'),
+  ('mpl-2.0', 'this source code form is subject to the terms of the mozilla public license v 2 0'),
+  ('proprietary', 'unauthorized copying of this file via any medium is strictly prohibited proprietary and confidential')) AS v(label, t)),
+d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+pos AS (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+base AS (
+  SELECT doc_id, i - 1 AS p, CASE WHEN a = 'cc' THEN 'cc-by' WHEN a = 'general' THEN 'gpl' ELSE 'reserved' END AS label
+  FROM pos WHERE a = 'cc' AND b = 'by' OR a = 'general' AND b = 'public' AND c = 'license' OR a = 'all' AND b = 'rights' AND c = 'reserved'),
+blk AS (SELECT doc_id, list_distinct(w[s + 1:s + 48]) AS ws FROM (SELECT doc_id, w, unnest(CASE WHEN len(w) <= 48 THEN [0] ELSE range(0, len(w) - 32, 16) END) AS s FROM d WHERE len(w) > 0)),
+m AS (
+  SELECT doc_id, label, max(len(list_intersect(ws, own)) / len(own)) AS score FROM blk, tpl
+  WHERE len(list_intersect(ws, own)) >= ceil(len(own) * 0.9 - 1e-9) GROUP BY doc_id, label),
+bs AS (SELECT doc_id, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY doc_id),
+al AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM base UNION ALL SELECT doc_id, label FROM m) GROUP BY doc_id),
+sc AS (SELECT doc_id, max(score) AS score FROM m GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(score, 0)::DOUBLE END AS score
+FROM d LEFT JOIN bs USING (doc_id) LEFT JOIN al USING (doc_id) LEFT JOIN sc USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL, "op8_ngram_jaccard": OP8_SQL}
+    return {"op3_quality_rules": OP3_SQL, "op4_license_scan": OP4_SQL, "op2_mixing": OP2_SQL, "op8_ngram_jaccard": OP8_SQL}
