@@ -27,11 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
-def stored(df: DataFrame, name: str = "t") -> DataFrame:
+def stored(df: DataFrame, name: str = "t", compression: str = "snappy") -> DataFrame:
     """The rows of df, written once as Parquet in the shared folder and read back: lineage ends here."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._loom_path = path
     return out

@@ -59,6 +59,12 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.lm import lm_scores
+
+    return lm_scores(_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm.langid import held_out, language_id
 
@@ -66,7 +72,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "n_switches")
 
 
-QUERIES = [op2_mixing, op3_quality_rules, op4_license_scan, op5_toxicity, op7_sentencepiece, op8_ngram_jaccard, op10_language_id]
+QUERIES = [op2_mixing, op3_quality_rules, op4_license_scan, op5_toxicity, op7_sentencepiece, op8_ngram_jaccard, op9_lm_scores, op10_language_id]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
