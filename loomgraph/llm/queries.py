@@ -21,6 +21,12 @@ def tokenizer_path() -> str:
     return os.environ.get("LOOM_TOKENIZER_PATH", TOKENIZER)
 
 
+def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.multi_index import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm.mixing import mix
 
@@ -72,7 +78,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "n_switches")
 
 
-QUERIES = [op2_mixing, op3_quality_rules, op4_license_scan, op5_toxicity, op7_sentencepiece, op8_ngram_jaccard, op9_lm_scores, op10_language_id]
+QUERIES = [op1_near_vectors, op2_mixing, op3_quality_rules, op4_license_scan, op5_toxicity, op7_sentencepiece, op8_ngram_jaccard, op9_lm_scores, op10_language_id]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
