@@ -53,6 +53,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", "p_mention", "p_dense", "p_toxic", "toxic")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.cotraining import quality_scores
+
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm.spm import encode, load
 
@@ -78,7 +84,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "n_switches")
 
 
-QUERIES = [op1_near_vectors, op2_mixing, op3_quality_rules, op4_license_scan, op5_toxicity, op7_sentencepiece, op8_ngram_jaccard, op9_lm_scores, op10_language_id]
+QUERIES = [op1_near_vectors, op2_mixing, op3_quality_rules, op4_license_scan, op5_toxicity, op6_quality_classifier, op7_sentencepiece, op8_ngram_jaccard, op9_lm_scores, op10_language_id]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -201,5 +207,18 @@ FROM d LEFT JOIN bs USING (doc_id) LEFT JOIN al USING (doc_id) LEFT JOIN sc USIN
 """
 
 
+OP1_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+comp AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+deg AS (SELECT a, count(*) AS d FROM link GROUP BY a)
+SELECT e.vec_id, coalesce(deg.d, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN comp ON comp.a = e.vec_id LEFT JOIN deg ON deg.a = e.vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL, "op4_license_scan": OP4_SQL, "op2_mixing": OP2_SQL, "op8_ngram_jaccard": OP8_SQL}
+    return {"op1_near_vectors": OP1_SQL, "op3_quality_rules": OP3_SQL, "op4_license_scan": OP4_SQL, "op2_mixing": OP2_SQL, "op8_ngram_jaccard": OP8_SQL}
