@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
@@ -95,9 +96,6 @@ class Transducer:
         self.model = model
         self._compile()
 
-    def __reduce__(self):
-        return _compiled, (self.model,)
-
     def _compile(self) -> None:
         pieces: list[tuple[str, float, int]] = []
         kind, norm = UNIGRAM, {}
@@ -265,12 +263,22 @@ def _compiled(model: bytes) -> Transducer:
     return Transducer(model)
 
 
-def load(path: str) -> Transducer:
+@dataclass(frozen=True)
+class Model:
+    """A model file's bytes; compiled once in each process that uses it."""
+
+    data: bytes
+
+    def transducer(self) -> Transducer:
+        return _compiled(self.data)
+
+
+def load(path: str) -> Model:
     with open(path, "rb") as f:
-        return Transducer(f.read())
+        return Model(f.read())
 
 
-def encode(docs: DataFrame, transducer: Transducer, with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, model: Model, with_ids: bool = True) -> DataFrame:
     """doc_id of docs with ids (array of int), n_tokens, n_bytes (tokens of byte fallback), digest (of the ids), and exact
     (whether decoding gives the normalised text again). A null text has null ids and exact, and no tokens; an empty one has
     no tokens. Repeated rows are encoded each; other columns are not read."""
@@ -278,6 +286,7 @@ def encode(docs: DataFrame, transducer: Transducer, with_ids: bool = True) -> Da
     kind = t.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        transducer = model.transducer()
         for whole in batches:
             for low in range(0, whole.num_rows, 200):
                 b = whole.slice(low, 200)
@@ -298,11 +307,12 @@ def _plain(t: Transducer, text: str) -> str:
     return s[1:] if t.prefix and s[:1] == " " else s
 
 
-def decode(tokens: DataFrame, transducer: Transducer) -> DataFrame:
+def decode(tokens: DataFrame, model: Model) -> DataFrame:
     """tokens(doc_id, ids) as (doc_id, text); null ids are null text. Ids outside the vocabulary raise an error."""
     kind = tokens.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        transducer = model.transducer()
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if i is None else transducer.decode(i) for i in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 

@@ -100,13 +100,24 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Chain:
     chain = Chain(words, [])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # documents without a lexicon word are alike: they are only counted
+        blank: Counter = Counter()
+        kind = pa.list_(pa.float32())
         for b in batches:
             x = chain.features(as_bytes(b.column(0)))
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(list(x.astype(np.float32)), pa.list_(pa.float32()))], ["y", "fold", "x"])
-
-    got = sample.select("text", "y", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold")).mapInArrow(rows, "y int, fold int, x array<float>").toPandas()
-    x = np.vstack(got["x"].to_list()) if len(got) else np.zeros((0, len(words) + 2))
-    y, fold = got["y"].to_numpy(np.int64), got["fold"].to_numpy()
+            y, fold = b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
+            hit = x.any(1)
+            blank.update(zip(y[~hit].tolist(), fold[~hit].tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array(y[hit]), pa.array(fold[hit]), pa.array(np.ones(hit.sum(), np.int64)), pa.array(list(x[hit].astype(np.float32)), kind)], ["y", "fold", "n", "x"])
+        k = list(blank)
+        yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in k], pa.int32()), pa.array([f for _, f in k], pa.int32()), pa.array([blank[i] for i in k], pa.int64()), pa.array([None] * len(k), kind)], ["y", "fold", "n", "x"])
+
+    got = sample.select("text", "y", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold")).mapInArrow(rows, "y int, fold int, n long, x array<float>").toPandas()
+    x = np.zeros((len(got), len(words) + 2))
+    for i, v in enumerate(got["x"]):
+        if v is not None:
+            x[i] = v
+    y, fold, weight = got["y"].to_numpy(np.int64), got["fold"].to_numpy(), got["n"].to_numpy(np.float64)
     hit = x[:, :-2].any(1)
     targets = {"mention": (y == 1) & hit, "dense": (y == 1) & (x[:, -1] >= 10 * DENSE), "toxic": y == 1}
     before = np.zeros((len(y), 0))
@@ -116,8 +127,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Chain:
         for k in range(FOLDS):
             out = fold == k
             if out.any():
-                oof[out] = predict(fit_logistic(z[~out], t[~out], l2=0.05), z[out])
-        chain.models.append(fit_logistic(z, t, l2=0.05))
+                oof[out] = predict(fit_logistic(z[~out], t[~out], weight[~out], l2=0.05), z[out])
+        chain.models.append(fit_logistic(z, t, weight, l2=0.05))
         before = np.hstack([before, oof[:, None]])
     return chain
 
