@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as tx
 from loomgraph.operators import enrich, graph, impact, paths, resolve, search
+from loomgraph.plans import match
 from loomgraph.plans.carrier import Carrier
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -490,3 +491,32 @@ def manifest(c):
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
 def event_counts(c):
     return c.table("events").groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(F.count("*").alias("n"))
+
+
+# --- the pattern language ------------------------------------------------------------------------------------------
+
+
+def _graph(c) -> graph.Graph:
+    f = c.functions().withColumn("path", F.lit(None).cast("string"))
+    files = c.files().select("id", F.lit("File").alias("label"), F.lit(0).cast("long").alias("seq"), "path")
+    return graph.Graph(f.unionByName(files, allowMissingColumns=True), c.calls().unionByName(c.contains(), allowMissingColumns=True))
+
+
+@query(f"WITH {FN}, {CALLS} SELECT a.name AS caller, b.name AS callee, count(*) AS n FROM calls JOIN fn a ON a.id = src JOIN fn b ON b.id = dst WHERE a.is_input_source AND b.risk_score >= 30 GROUP BY ALL")
+def match_hops(c):
+    return match.run(_graph(c), "MATCH (a:Function)-[r:CALLS]->(b:Function) WHERE a.is_input_source = true AND b.risk_score >= 30 RETURN a.name AS caller, b.name AS callee, count(*) AS n")
+
+
+@query(f"WITH RECURSIVE {FN}, {CALLS}, src AS (SELECT id FROM fn WHERE is_input_source), {trail_sql(3, 'calls', 'src')} SELECT start_id, end_id, depth FROM t JOIN fn ON fn.id = end_id WHERE is_dangerous_sink")
+def match_trails(c):
+    return match.run(_graph(c), "MATCH p = (s:Function {is_input_source: true})-[:CALLS*1..3]->(t:Function {is_dangerous_sink: true}) RETURN s.id AS start_id, t.id AS end_id, length(p) AS depth")
+
+
+@query(f"WITH RECURSIVE {FN}, {CALLS}, r(s, id, d) AS (SELECT id, id, 0 FROM fn WHERE is_input_source UNION SELECT s, dst, d + 1 FROM r JOIN calls ON src = r.id WHERE d < 3) SELECT DISTINCT s AS start_id, r.id AS end_id FROM r WHERE d > 0")
+def match_reach(c):
+    return match.run(_graph(c), "MATCH (s:Function {is_input_source: true})-[:CALLS*1..3]->(t:Function) RETURN DISTINCT s.id AS start_id, t.id AS end_id")
+
+
+@query(f"WITH {FN}, {CALLS} SELECT f.id, 'file:' || f.file AS file, count(c.dst) AS calls FROM fn f LEFT JOIN calls c ON c.src = f.id GROUP BY f.id, f.file")
+def match_optional(c):
+    return match.run(_graph(c), "MATCH (x:File)-[:CONTAINS]->(f:Function) OPTIONAL MATCH (f)-[:CALLS]->(g:Function) RETURN f.id AS id, x.id AS file, count(g) AS calls")
