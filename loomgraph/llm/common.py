@@ -3,9 +3,10 @@ connected components, and reading texts as bytes inside Arrow batches."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,18 @@ BROADCAST_ROWS = 1_000_000
 HOT_SHARE = 256
 
 
+_OWNER: list = [None, None]
+
+
+def claim(owner: str, clear: Callable[[], object] = lambda: None) -> None:
+    """Called by an operator in a Python worker before it works: what another operator remembers there is let go, so that
+    a worker that serves several operators in turn holds the memory of one."""
+    if _OWNER[0] not in (None, owner):
+        _OWNER[1]()
+        gc.collect()
+    _OWNER[:] = owner, clear
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (spark.checkpoint.dir); where none is set, as in tests, one is made."""
     d = spark.conf.get("spark.checkpoint.dir", None)

@@ -21,13 +21,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import BROADCAST_ROWS, as_bytes, connected, dropped, groups_of, join_counted, least_labels, mix, small, stored
+from loomgraph.llm.common import BROADCAST_ROWS, as_bytes, claim, connected, dropped, groups_of, join_counted, least_labels, mix, small, stored
 
 #: Documents and elements a comparison block holds at most on each side.
 BLOCK_DOCS, BLOCK_ELEMENTS = 2048, 4_000_000
 #: Ratio between the smallest and the largest size that start in one band.
 BAND_RATIO = 1.3
-_CACHE_WORDS = 1_000_000
+_CACHE_WORDS = 500_000
 
 
 class _WordHash(dict):
@@ -111,6 +111,7 @@ def _sign(n: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        claim("jaccard", _WORDS.clear)
         sign, row = _Signer(num, den), TaskContext.get().partitionId() << 36
         for b in batches:
             for at in range(0, b.num_rows, 1000):
@@ -128,6 +129,7 @@ def _sign(n: int, num: int, den: int):
 
 def _shingled(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("jaccard", _WORDS.clear)
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 sets = [shingles(t, n) for t in as_bytes(b.slice(at, 1000).column(0))]

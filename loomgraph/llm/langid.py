@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.common import claim
+
 #: Training documents of one language, at most, and languages, at most.
 MAX_DOCS_PER_LANG, MAX_LANGS = 600, 64
 #: Training words of all languages, at most.
@@ -27,7 +29,7 @@ MAX_TRAIN_WORDS = 240_000
 BUCKETS = 1 << 17
 ORDERS = (1, 2, 3, 4, 5)
 BLOCK = 64
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 300_000
 UNDETERMINED = "und"
 
 
@@ -194,7 +196,7 @@ class Field:
         return np.where(cnt[:, None] > 0, tot / np.maximum(cnt, 1)[:, None], 0.0)
 
 
-@lru_cache(2)
+@lru_cache(1)
 def _field(langs: tuple[str, ...], weights: bytes, trans: bytes) -> Field:
     k = len(langs)
     return Field(list(langs), np.frombuffer(weights, np.float32).reshape(-1, k), np.frombuffer(trans, np.float64).reshape(k, k))
@@ -292,6 +294,7 @@ def identify(docs: DataFrame, field: Field | None) -> DataFrame:
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("langid", _field.cache_clear)
         for whole in batches:
             low = 0
             while low < whole.num_rows:

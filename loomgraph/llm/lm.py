@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import as_bytes, groups_of, mix, stored
+from loomgraph.llm.common import as_bytes, claim, groups_of, mix, stored
 
 #: Tokens of a block, about; entries a bucket shall hold, about.
 BLOCK_TOKENS, BUCKET_ENTRIES = 1_000_000, 1_500_000
@@ -68,6 +68,7 @@ def _blocks(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        claim("lm", _WORDS.clear)
         block = TaskContext.get().partitionId() << 32
         ids, held, toks, n = [], [], [], 0
 

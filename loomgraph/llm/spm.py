@@ -23,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.common import claim
+
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-_CACHE_WORDS, _CACHE_PAIRS = 600_000, 1_000_000
+_CACHE_WORDS, _CACHE_PAIRS = 500_000, 500_000
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -258,7 +260,7 @@ class Transducer:
         return s[1:] if self.prefix and s[:1] == " " else s
 
 
-@lru_cache(2)
+@lru_cache(1)
 def _compiled(model: bytes) -> Transducer:
     return Transducer(model)
 
@@ -286,6 +288,7 @@ def encode(docs: DataFrame, model: Model, with_ids: bool = True) -> DataFrame:
     kind = t.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("spm", _compiled.cache_clear)
         transducer = model.transducer()
         for whole in batches:
             for low in range(0, whole.num_rows, 200):

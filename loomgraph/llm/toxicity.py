@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import as_bytes
+from loomgraph.llm.common import as_bytes, claim
 from loomgraph.llm.linear import chi2_cut, fit_logistic, g2, predict
 
 #: Labelled documents used to fit, at most.
@@ -63,6 +63,7 @@ class Chain:
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("toxicity")
     counts = (Counter(), Counter())
     for b in batches:
         for t, y in zip(as_bytes(b.column(0)), b.column(1).to_pylist()):
@@ -142,6 +143,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
     kinds = [f.dataType for f in docs.schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         for b in batches:
             p = chain.scores(chain.features(as_bytes(b.column(at))))
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(np.ascontiguousarray(p[:, j])) for j in range(len(CATEGORIES)))], [*b.schema.names, *(f"p_{c}" for c in CATEGORIES)])
