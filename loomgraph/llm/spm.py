@@ -15,10 +15,12 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +30,7 @@ from loomgraph.llm.common import claim
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-_CACHE_WORDS, _CACHE_PAIRS = 500_000, 500_000
+_CACHE_WORDS, _CACHE_PAIRS = 250_000, 200_000
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -136,7 +138,8 @@ class Transducer:
         self.cut = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (f"|{alone}" if alone else "")).findall if seams else lambda s: [s] if s else []
         self._split: dict[int, tuple[int, int] | None] = {}
         self._pair: dict[int, bool] = {}
-        self._paths: dict[str, tuple[int, ...]] = {}
+        self._paths: dict[str, bytes] = {}
+        self._inexact: set[str] = set()
 
     def normalise(self, text: str) -> str:
         if self.charmap:
@@ -241,19 +244,31 @@ class Transducer:
             i = j
         return tuple(x for p in reversed(out) for x in p)
 
-    def encode(self, text: str) -> list[int]:
-        known = self._paths
+    def encode_raw(self, text: str) -> tuple[bytearray, bool]:
+        """The piece ids as 32-bit integers, and whether they decode to the normalised text: decoding is by concatenation,
+        so it is enough that the path of each word does."""
+        known, inexact = self._paths, self._inexact
         if len(known) > _CACHE_WORDS:
             known.clear()
-        out: list[int] = []
+            inexact.clear()
+        out, exact = bytearray(), True
         for w in self.cut(self.normalise(text)):
             p = known.get(w)
             if p is None:
-                p = self.path(w)
+                ids = self.path(w)
+                p = array("i", ids).tobytes()
+                if b"".join(map(self.text.__getitem__, ids)) != w.replace(SPACE, " ").encode("utf-8", "replace"):
+                    exact = False
+                    inexact.add(w)
                 if len(w) <= 64:
                     known[w] = p
+            elif inexact and w in inexact:
+                exact = False
             out += p
-        return out
+        return out, exact
+
+    def encode(self, text: str) -> list[int]:
+        return array("i", bytes(self.encode_raw(text)[0])).tolist()
 
     def decode(self, ids: list[int]) -> str:
         s = b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "replace")
@@ -290,26 +305,24 @@ def encode(docs: DataFrame, model: Model, with_ids: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("spm", _compiled.cache_clear)
         transducer = model.transducer()
+        in_bytes = np.zeros(len(transducer.pieces), np.int64)
+        in_bytes[list(transducer.is_byte)] = 1
         for whole in batches:
             for low in range(0, whole.num_rows, 200):
                 b = whole.slice(low, 200)
-                texts = b.column(1).to_pylist()
-                ids = [None if x is None else transducer.encode(x) for x in texts]
-                exact = [None if x is None else transducer.decode(i).replace(SPACE, " ") == _plain(transducer, x) for x, i in zip(texts, ids)]
-                in_bytes = transducer.is_byte
-                n_bytes = [sum(map(in_bytes.__contains__, i)) if i else 0 for i in ids]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(n_bytes, pa.int64()), pa.array(exact, pa.bool_())], ["doc_id", "ids", "n_bytes", "exact"])
+                got = [(b"", None) if x is None else transducer.encode_raw(x) for x in b.column(1).to_pylist()]
+                flat = np.frombuffer(b"".join(i for i, _ in got), np.int32)
+                ends = np.cumsum([0, *(len(i) // 4 for i, _ in got)]).astype(np.int32)
+                sums = np.concatenate([[0], np.cumsum(in_bytes[flat])])
+                exact = pa.array([e for _, e in got], pa.bool_())
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=exact.is_null()) if exact.null_count else pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array((sums[ends[1:]] - sums[ends[:-1]]).astype(np.int64)), exact], ["doc_id", "ids", "n_bytes", "exact"])
 
     out = t.mapInArrow(run, f"doc_id {kind}, ids array<int>, n_bytes long, exact boolean")
     own = [F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "n_bytes", F.xxhash64("ids").alias("digest"), "exact"]
     return out.select("doc_id", *(["ids"] if with_ids else []), *own)
 
 
-def _plain(t: Transducer, text: str) -> str:
-    s = t.normalise(text).replace(SPACE, " ")
-    return s[1:] if t.prefix and s[:1] == " " else s
-
-
 def decode(tokens: DataFrame, model: Model) -> DataFrame:
     """tokens(doc_id, ids) as (doc_id, text); null ids are null text. Ids outside the vocabulary raise an error."""
     kind = tokens.schema["doc_id"].dataType.simpleString()
