@@ -85,7 +85,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int)
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Chain:
     """Fits the chain on a sample of at most about `bound` labelled documents. Without toxic labels the lexicon is empty and
-    every document scores alike."""
+    every document scores alike; without labels at all none is toxic."""
     sample = labelled_sample(docs, labels, "toxic", bound)
     counts = sample.select("text", "y").mapInArrow(_word_counts, "word binary, pos long, neg long").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     size = sample.groupBy("y").count().collect()
@@ -114,6 +114,9 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Chain:
         yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in k], pa.int32()), pa.array([f for _, f in k], pa.int32()), pa.array([blank[i] for i in k], pa.int64()), pa.array([None] * len(k), kind)], ["y", "fold", "n", "x"])
 
     got = sample.select("text", "y", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold")).mapInArrow(rows, "y int, fold int, n long, x array<float>").toPandas()
+    if not len(got):
+        chain.models += [np.append(np.zeros(len(words) + 2 + j), -20.0) for j in range(len(CATEGORIES))]
+        return chain
     x = np.zeros((len(got), len(words) + 2))
     for i, v in enumerate(got["x"]):
         if v is not None:
