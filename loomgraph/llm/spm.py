@@ -30,7 +30,7 @@ from loomgraph.llm.common import claim
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-_CACHE_WORDS, _CACHE_PAIRS = 250_000, 200_000
+_CACHE_WORDS, _CACHE_PAIRS = 400_000, 400_000
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, int | bytes]]:
