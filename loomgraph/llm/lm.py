@@ -1,17 +1,19 @@
 """Language-model scoring with a weighted backoff automaton.
 
-The model is an interpolated bigram model over words with one end a text. Its automaton has a state for each history; a
-seen bigram is an arc, and a failure arc leads from each state to the empty history, whose arcs are the unigrams. With
-c(v) the count of a history, c(vw) that of a bigram, p(w) the smoothed unigram and K the weight of the prior:
+The model is an interpolated n-gram model of any order over words with one start and one end a text. Its automaton has a
+state for each history of up to order - 1 words; a seen n-gram is an arc, and a failure arc leads from each history h to
+the one without its first word, h', and at last to the empty one, whose arcs are the unigrams. With c(h) the count of a
+history, c(hw) that of an n-gram, p(w) the smoothed unigram and K the weight of the prior:
 
-    arc v -> w        log10((c(vw) + K p(w)) / (c(v) + K))
-    failure arc of v  log10(K / (c(v) + K)),   then the unigram arc log10 p(w)
+    arc h -> w        log10((c(hw) + K p(w | h')) / (c(h) + K))
+    failure arc of h  log10(K / (c(h) + K)),   then the arc for w from h'
 
-so a word after v has probability (c(vw) + K p(w)) / (c(v) + K), and the probabilities of a state's words sum to that of
-the unigrams. A text is one traversal from the start state, left to right, that adds up the weights.
+so a word after h has probability p(w | h) = (c(hw) + K p(w | h')) / (c(h) + K), and the probabilities of a state's words
+sum to that of the unigrams. No history reaches over the start of its text. A text is one traversal from the start state,
+left to right, that adds up the weights.
 
 The automaton of the whole corpus is as large as the corpus and is never in one place. Texts are cut into blocks of about
-BLOCK_TOKENS tokens. Each block sends its distinct words and bigrams, with their counts in training texts, to buckets of
+BLOCK_TOKENS tokens. Each block sends its distinct words and n-grams, with their counts in training texts, to buckets of
 their hash; a bucket adds them up and answers each block with the totals, in the block's order. A block then holds the
 part of the automaton that its texts can reach, and traverses it."""
 
@@ -29,7 +31,7 @@ from loomgraph.llm.common import as_bytes, claim, groups_of, mix, stored
 
 #: Tokens of a block, about; entries a bucket shall hold, about.
 BLOCK_TOKENS, BUCKET_ENTRIES = 1_000_000, 1_500_000
-#: Weight of the unigrams in a state's probabilities, in counts.
+#: Weight of the shorter history in a state's probabilities, in counts.
 PRIOR = 30.0
 END, START = np.uint64(0x5BD1E995A1B2C3D4), np.uint64(0x1F83D9ABFB41BD6B)
 _CACHE_WORDS = 600_000
@@ -55,13 +57,21 @@ def token_hashes(text: bytes | None) -> np.ndarray:
     return out
 
 
-def bigram_keys(words: np.ndarray, tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """A hash of each token with the one before it; a text's first follows the start."""
+def gram_keys(words: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Hashes of the n-grams of 2 to order words that end at each token, order by order, and for each of these orders the
+    tokens that have one; a text's first follows the start, and no n-gram begins before it."""
     h = words[tokens]
-    before = np.empty_like(h)
-    before[1:] = h[:-1]
-    before[np.cumsum(lengths) - lengths] = START
-    return mix(mix(before + np.uint64(0x9E3779B97F4A7C15)) ^ h)
+    start = np.cumsum(lengths) - lengths
+    place = np.arange(len(h)) - np.repeat(start, lengths)
+    keys, ends, last = [], [], h
+    for n in range(2, order + 1):
+        before = np.empty_like(h)
+        before[1:] = last[:-1]
+        before[start] = START
+        last = mix(mix(before + np.uint64(0x9E3779B97F4A7C15)) ^ h)
+        ends.append(np.flatnonzero(place >= n - 2))
+        keys.append(last[ends[-1]])
+    return np.concatenate(keys) if keys else np.empty(0, np.uint64), ends
 
 
 def _blocks(size: int):
@@ -120,15 +130,16 @@ def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return words, tokens, np.frombuffer(row["lengths"], np.int32).astype(np.int64), np.frombuffer(row["held"], np.uint8).astype(bool)
 
 
-def _entries(buckets: int):
+def _entries(buckets: int, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
                 words, tokens, lengths, held = _read(row)
                 train = ~np.repeat(held, lengths)
-                keys, at = np.unique(bigram_keys(words, tokens, lengths), return_inverse=True)
+                keys, ends = gram_keys(words, tokens, lengths, order)
+                keys, at = np.unique(keys, return_inverse=True)
                 uni = np.bincount(tokens[train], minlength=len(words)).astype(np.uint32)
-                bi = np.bincount(at[train], minlength=len(keys)).astype(np.uint32)
+                bi = np.bincount(at[np.concatenate([train[:0], *(train[e] for e in ends)])], minlength=len(keys)).astype(np.uint32)
                 u, v = [0, *_bounds(words, buckets), len(words)], [0, *_bounds(keys, buckets), len(keys)]
                 some = [i for i in range(buckets) if u[i + 1] > u[i] or v[i + 1] > v[i]]
                 yield pa.RecordBatch.from_arrays(
@@ -163,34 +174,43 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array([int(distinct.sum())] + [0] * (n - 1), pa.int64()), pa.array([int((distinct > 0).sum())] + [0] * (n - 1), pa.int64())], names)
 
 
-def traverse(c: np.ndarray, c_before: np.ndarray, c_pair: np.ndarray, total: int, known: int, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray]:
-    """log10 of the unigram and of the model's probability of each token, given the counts of the token, of the history
-    before it and of both together: the weights of the arcs that the traversal takes."""
-    p = (c + 0.1) / (total + 0.1 * (known + 1))
-    fail = np.log10(prior / (c_before + prior)) + np.log10(p)
-    arc = np.log10((c_pair + prior * p) / (c_before + prior))
-    return np.log10(p), np.where(c_pair > 0, arc, fail)
-
-
-def _scores(total: int, known: int, texts: int, prior: float):
+def traverse(c: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray]], texts: int, start: np.ndarray, total: int, known: int, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of the unigram and of the model's probability of each token, given the counts of the tokens and, from order
+    two up, the tokens that end an n-gram with its count: the weights of the arcs that the traversal takes. A history is
+    the n-gram of the order below that ends at the token before; `start` has the texts' first tokens."""
+    p = base = (c + 0.1) / (total + 0.1 * (known + 1))
+    below = c
+    for ends, count in grams:
+        history = np.zeros_like(c)
+        history[1:] = below[:-1]
+        history[start] = texts
+        c_gram = np.zeros_like(c)
+        c_gram[ends] = count
+        longer = (c_gram + prior * p) / (history + prior)
+        p = p.copy()
+        p[ends] = longer[ends]
+        below = c_gram
+    return np.log10(base), np.log10(p)
+
+
+def _scores(total: int, known: int, texts: int, prior: float, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups_of(batches, ["block"]):
             bucket = g.column("bucket").to_numpy()
-            order = np.argsort(bucket, kind="stable")
-            row = {n: g.column(n)[int(order[0])].as_py() for n in ("words", "tokens", "lengths", "held")}
+            at_bucket = np.argsort(bucket, kind="stable")
+            row = {n: g.column(n)[int(at_bucket[0])].as_py() for n in ("words", "tokens", "lengths", "held")}
             words, tokens, lengths, held = _read(row)
             ut, bt = g.column("ut"), g.column("bt")
-            uni = np.frombuffer(b"".join(ut[int(i)].as_py() for i in order[1:]), np.uint64).astype(np.float64)
-            bi = np.frombuffer(b"".join(bt[int(i)].as_py() for i in order[1:]), np.uint64).astype(np.float64)
-            _, at = np.unique(bigram_keys(words, tokens, lengths), return_inverse=True)
+            uni = np.frombuffer(b"".join(ut[int(i)].as_py() for i in at_bucket[1:]), np.uint64).astype(np.float64)
+            counts = np.frombuffer(b"".join(bt[int(i)].as_py() for i in at_bucket[1:]), np.uint64).astype(np.float64)
+            keys, ends = gram_keys(words, tokens, lengths, order)
+            _, at = np.unique(keys, return_inverse=True)
             start = np.cumsum(lengths) - lengths
             c = uni[tokens]
-            before = np.empty_like(c)
-            before[1:] = c[:-1]
-            before[start] = texts
-            base, score = traverse(c, before, bi[at], total, known, prior)
+            grams = zip(ends, np.split(counts[at], np.cumsum([len(e) for e in ends])[:-1]))
+            base, score = traverse(c, list(grams), texts, start, total, known, prior)
             ids = g.column("ids").chunk(0) if g.column("ids").num_chunks == 1 else g.column("ids").combine_chunks()
-            ids = ids.slice(int(order[0]), 1).flatten()
+            ids = ids.slice(int(at_bucket[0]), 1).flatten()
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(held), pa.array(lengths), pa.array(np.add.reduceat(c > 0, start, dtype=np.int64)), pa.array(np.add.reduceat(base, start)), pa.array(np.add.reduceat(score, start))],
                 ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
@@ -199,25 +219,27 @@ def _scores(total: int, known: int, texts: int, prior: float):
     return run
 
 
-def lm_scores(docs: DataFrame, held: F.Column | None = None, prior: float = PRIOR, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def lm_scores(docs: DataFrame, held: F.Column | None = None, prior: float = PRIOR, block_tokens: int = BLOCK_TOKENS, order: int = 2) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens and n_known (tokens seen in training), train_tokens, base_score
-    (log10 of the smoothed unigram probability) and score (log10 of the model's). Training texts are those not held out;
+    (log10 of the smoothed unigram probability) and score (log10 of the model's, whose longest n-grams have `order` words). Training texts are those not held out;
     the default holds out ids whose crc32 as text is a multiple of 10, and never a null id. A null text is an empty one:
     one token, its end. Without training texts every token has the probability of an unknown one. Repeated rows count and
     are scored each; columns other than doc_id and text are not read. Words are compared by 64-bit hashes."""
+    if order < 1:
+        raise ValueError(f"order {order} is below 1")
     held = F.crc32(F.col("doc_id").cast("string")) % 10 == 0 if held is None else held
     d = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(held, F.lit(False)).alias("held"))
     kind = d.schema["doc_id"].dataType.simpleString()
     blocks = d.mapInArrow(_blocks(block_tokens), f"block long, n long, ids array<{kind}>, held binary, lengths binary, tokens binary, words binary")
     blocks = stored(blocks, "lm", compression="zstd")
     size = blocks.agg(F.sum("n"), F.sum(F.length("words") / 8)).first()
-    buckets = max(4, int(-(-((size[0] or 0) + (size[1] or 0)) // BUCKET_ENTRIES)))
-    sent = blocks.select("block", "held", "lengths", "tokens", "words").mapInArrow(_entries(buckets), "bucket long, block long, uh binary, uc binary, bh binary, bc binary")
+    buckets = max(4, int(-(-((order - 1) * (size[0] or 0) + (size[1] or 0)) // BUCKET_ENTRIES)))
+    sent = blocks.select("block", "held", "lengths", "tokens", "words").mapInArrow(_entries(buckets, order), "bucket long, block long, uh binary, uc binary, bh binary, bc binary")
     answers = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answers, "block long, bucket long, ut binary, bt binary, train long, known long")
     answers = stored(answers, "lmsum", compression="zstd")
     total, known = (x or 0 for x in answers.agg(F.sum("train"), F.sum("known")).first())
     texts = d.filter(~F.col("held")).count()
     rows = blocks.select("block", F.lit(-1).cast("long").alias("bucket"), "ids", "held", "lengths", "tokens", "words").unionByName(answers.select("block", "bucket", "ut", "bt"), allowMissingColumns=True)
     rows = rows.repartition("block").sortWithinPartitions("block")
-    out = rows.mapInArrow(_scores(total, known, texts, prior), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = rows.mapInArrow(_scores(total, known, texts, prior, order), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(total).cast("long"))

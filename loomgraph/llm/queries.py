@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+#: Words of op9's longest n-grams.
+LM_ORDER = 3
+
+
 def tokenizer_path() -> str:
     """The model file that op7 and the pipeline use: TOKENIZER, or the file that LOOM_TOKENIZER_PATH in the environment names."""
     return os.environ.get("LOOM_TOKENIZER_PATH", TOKENIZER)
@@ -74,7 +78,7 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm.lm import lm_scores
 
-    return lm_scores(_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return lm_scores(_table(spark, sf_dir, "documents"), order=LM_ORDER).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

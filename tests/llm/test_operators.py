@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm import cotraining, jaccard, langid, licenses, linear, lm, mixing, multi_index, quality_rules, spm, toxicity
+from loomgraph.llm import cotraining, jaccard, langid, licenses, linear, lm, mixing, multi_index, quality_rules, queries, spm, toxicity
 from loomgraph.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -339,6 +339,39 @@ def test_lm_brute_force(odd, none):
     assert not lm.lm_scores(none).collect()
 
 
+@pytest.mark.parametrize("order", [1, 3, 4])
+def test_lm_longer_histories(odd, order):
+    docs = [(r["doc_id"], (r["text"] or "").encode().lower().split() + [None]) for r in rows(odd)]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+    c, n = collections.Counter(), 0
+    for i, w in docs:
+        s = ["<s>", *w]
+        if not held(i):
+            c.update(tuple(s[j - k + 1 : j + 1]) for j in range(1, len(s)) for k in range(1, order + 1) if j - k + 1 >= 0)
+            n += 1
+    c[("<s>",)] = n
+    total, known = sum(v for k, v in c.items() if len(k) == 1) - n, sum(len(k) == 1 for k in c) - 1
+    want = []
+    for i, w in docs:
+        s, score = ["<s>", *w], 0.0
+        for j in range(1, len(s)):
+            p = (c[(s[j],)] + 0.1) / (total + 0.1 * (known + 1))
+            for k in range(2, min(order, j + 1) + 1):
+                p = (c[tuple(s[j - k + 1 : j + 1])] + lm.PRIOR * p) / (c[tuple(s[j - k + 1 : j])] + lm.PRIOR)
+            score += math.log10(p)
+        want.append((i, round(score, 4)))
+    key = lambda t: (t[0] is None, t)
+    got = [(g["doc_id"], round(g["score"], 4)) for g in rows(lm.lm_scores(odd, block_tokens=500, order=order))]
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_op9_sees_two_words_back(spark, tmp_path):
+    texts = [(i, "a b c" if i % 2 else "d b e") for i in range(40)]
+    table(spark, [(*t, None, None, 5) for t in texts + [(50, "a b c"), (52, "a b e")]]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["score"] for r in queries.op9_lm_scores(spark, str(tmp_path)).collect()}
+    assert got[50] > got[52] + 0.1
+
+
 # --- 10: language ID
 
 
