@@ -66,7 +66,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm.spm import encode, load
 
-    return encode(_table(spark, sf_dir, "documents"), load(tokenizer_path()), with_ids=False)
+    return encode(_table(spark, sf_dir, "documents"), load(tokenizer_path()))
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,7 +139,6 @@ class Transducer:
         self._split: dict[int, tuple[int, int] | None] = {}
         self._pair: dict[int, bool] = {}
         self._paths: dict[str, bytes] = {}
-        self._inexact: set[str] = set()
 
     def normalise(self, text: str) -> str:
         if self.charmap:
@@ -245,33 +244,28 @@ class Transducer:
         return tuple(x for p in reversed(out) for x in p)
 
     def encode_raw(self, text: str) -> tuple[bytearray, bool]:
-        """The piece ids as 32-bit integers, and whether they decode to the normalised text: decoding is by concatenation,
-        so it is enough that the path of each word does."""
-        known, inexact = self._paths, self._inexact
+        """The piece ids as 32-bit integers, and whether they, decoded, are the normalised text."""
+        known = self._paths
         if len(known) > _CACHE_WORDS:
             known.clear()
-            inexact.clear()
-        out, exact = bytearray(), True
-        for w in self.cut(self.normalise(text)):
+        out, normal = bytearray(), self.normalise(text)
+        for w in self.cut(normal):
             p = known.get(w)
             if p is None:
-                ids = self.path(w)
-                p = array("i", ids).tobytes()
-                if b"".join(map(self.text.__getitem__, ids)) != w.replace(SPACE, " ").encode("utf-8", "replace"):
-                    exact = False
-                    inexact.add(w)
+                p = array("i", self.path(w)).tobytes()
                 if len(w) <= 64:
                     known[w] = p
-            elif inexact and w in inexact:
-                exact = False
             out += p
-        return out, exact
+        return out, self.decode(array("i", bytes(out))) == self._plain(normal.replace(SPACE, " "))
 
     def encode(self, text: str) -> list[int]:
         return array("i", bytes(self.encode_raw(text)[0])).tolist()
 
-    def decode(self, ids: list[int]) -> str:
-        s = b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids: list[int] | array) -> str:
+        return self._plain(b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "replace"))
+
+    def _plain(self, s: str) -> str:
+        """s without the dummy prefix."""
         return s[1:] if self.prefix and s[:1] == " " else s
 
 
@@ -297,7 +291,7 @@ def load(path: str) -> Model:
 
 def encode(docs: DataFrame, model: Model, with_ids: bool = True) -> DataFrame:
     """doc_id of docs with ids (array of int), n_tokens, n_bytes (tokens of byte fallback), digest (of the ids), and exact
-    (whether decoding gives the normalised text again). A null text has null ids and exact, and no tokens; an empty one has
+    (whether the document's ids, decoded, are the normalised text). A null text has null ids and exact, and no tokens; an empty one has
     no tokens. Repeated rows are encoded each; other columns are not read."""
     t = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = t.schema["doc_id"].dataType.simpleString()

@@ -267,6 +267,22 @@ def test_encode_table(spark, odd, none):
     assert not spm.encode(none, m).collect()
 
 
+def test_op7_has_ids_that_decode(spark, tmp_path):
+    texts = {1: "the cat sat", 2: "été 🙂 x", 3: "", 4: None}
+    table(spark, [(i, t, None, None, None) for i, t in texts.items()]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = rows(queries.op7_sentencepiece(spark, str(tmp_path)))
+    t = spm.load(tokenizer_path()).transducer()
+    assert {r["doc_id"]: None if r["ids"] is None else t.decode(r["ids"]) for r in got} == texts
+    assert [r["exact"] for r in got] == [True, True, True, None] and all(len(r["ids"] or []) == r["n_tokens"] for r in got)
+
+
+def test_exact_comes_from_decoding_each_text():
+    t = spm.Transducer(spm.load(tokenizer_path()).data)
+    assert t.encode_raw("the cat")[1]
+    t.text[t.encode("the cat")[0]] = b"?"  # the paths are remembered by now
+    assert not t.encode_raw("the cat")[1]
+
+
 # --- 8: Jaccard
 
 
