@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import claim
+from loomgraph.llm.common import claim, small
 
-#: Training documents of one language, at most, and languages, at most.
-MAX_DOCS_PER_LANG, MAX_LANGS = 600, 64
+#: Training documents of one language, at most; the number of languages has no bound.
+MAX_DOCS_PER_LANG = 600
+#: Up to so many languages caches and batches have their full size; with more they shrink.
+FULL_LANGS = 64
 #: Training words of all languages, at most.
 MAX_TRAIN_WORDS = 240_000
 #: Hash buckets of the weight table.
@@ -163,7 +165,7 @@ class Field:
 
     def potentials(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Potentials of the words, and which have letters."""
-        if len(self._ids) > _CACHE_WORDS:
+        if len(self._ids) > _CACHE_WORDS * FULL_LANGS // max(FULL_LANGS, len(self.langs)):
             self._forget()
         known = self._ids
         low = len(known)
@@ -215,7 +217,7 @@ def train(rows: list[tuple[str, str]], max_words: int = MAX_TRAIN_WORDS, epochs:
             pool[lang].append(words)
     runs: list[tuple[int, list[str]]] = []
     for i, lang in enumerate(langs):
-        budget = max_words // len(langs)
+        budget = max(1, max_words // len(langs))
         for words in pool[lang]:
             at = 0
             while at < len(words) and budget > 0:
@@ -262,25 +264,24 @@ def train(rows: list[tuple[str, str]], max_words: int = MAX_TRAIN_WORDS, epochs:
             seen = np.zeros((k, k))
             np.add.at(seen, (y[i - 1], y[i]), 1)
             # expected transitions, from neighbouring marginals tied by the transition scores
-            x = g[i - 1][:, :, None] * np.exp(trans)[None] * np.exp(p[i] - p[i].max(1, keepdims=True))[:, None, :]
-            x /= np.maximum(x.sum((1, 2), keepdims=True), 1e-300)
-            grad_t = (x.sum(0) - seen) / 64
+            t, e = np.exp(trans), np.exp(p[i] - p[i].max(1, keepdims=True))
+            each = np.maximum(((g[i - 1] @ t) * e).sum(1, keepdims=True), 1e-300)
+            grad_t = (t * (g[i - 1].T @ (e / each)) - seen) / 64
             gt += grad_t**2
             trans = trans - rate * grad_t / np.sqrt(gt)
     return Field(langs, w, trans)
 
 
-def sample_rows(docs: DataFrame, per_lang: int = MAX_DOCS_PER_LANG, max_langs: int = MAX_LANGS) -> list[tuple[str, str]]:
-    """(text, lang) of at most about per_lang documents of each of the most frequent languages, chosen by a hash."""
+def sample_rows(docs: DataFrame, per_lang: int = MAX_DOCS_PER_LANG) -> list[tuple[str, str]]:
+    """(text, lang) of at most about per_lang documents of each language, chosen by a hash."""
     d = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != UNDETERMINED))
-    counts = d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
-    if not counts:
+    share = F.greatest(F.lit(1), F.floor(F.least(F.lit(1.0), F.lit(per_lang) / F.col("count")) * 1_000_000)).alias("share")
+    counts = d.groupBy("lang").count().select("lang", share)
+    n = counts.count()
+    if not n:
         return []
-    share = F.lit(0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], int(min(1.0, per_lang / r["count"]) * 1_000_000)).otherwise(share)
     # a whole text may be very long: of the sample, only runs up to the word budget are used
-    got = d.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < share).orderBy(F.xxhash64("text", "doc_id")).select("text", "lang").limit(2 * per_lang * len(counts))
+    got = d.join(small(counts, n), "lang").filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < F.col("share")).orderBy(F.xxhash64("text", "doc_id")).select("text", "lang")
     return [(r["text"], r["lang"]) for r in got.toLocalIterator()]
 
 
@@ -295,10 +296,11 @@ def identify(docs: DataFrame, field: Field | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("langid", _field.cache_clear)
+        at_once = max(1, 200 * FULL_LANGS**2 // max(FULL_LANGS, len(field.langs) if field else 0) ** 2)
         for whole in batches:
             low = 0
             while low < whole.num_rows:
-                b = whole.slice(low, 200)
+                b = whole.slice(low, at_once)
                 low += b.num_rows
                 texts = [t.lower().split() if t else [] for t in b.column(at).cast(pa.string()).to_pylist()]
                 pred, score, moves = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), np.int64)

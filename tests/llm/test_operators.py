@@ -430,3 +430,13 @@ def test_code_switch():
     g, _, _ = f.marginals([words])
     lab = g.argmax(1)
     assert (lab[:38] == f.langs.index("en")).all() and (lab[42:] == f.langs.index("de")).all()
+
+
+def test_every_language_is_learned(spark):
+    r = random.Random(8)
+    words = {f"l{k:02}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(6)] for k in range(70)}
+    docs = [(100 * k + i, " ".join(r.choice(words[x]) for _ in range(25)), x, None, None) for k, x in enumerate(words) for i in range(6 if k < 60 else 3)]
+    t = table(spark, docs)
+    assert {lang for _, lang in langid.sample_rows(t)} == {*words}
+    got = rows(langid.identify(t, langid.train(langid.sample_rows(t))))
+    assert np.mean([g["lang_pred"] == g["lang"] for g in got]) > 0.97 and {g["lang_pred"] for g in got} == {*words}
