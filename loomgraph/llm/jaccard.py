@@ -6,9 +6,10 @@ most one difference and hence two of its three sub-parts agree exactly. The proj
 sub-parts are its signatures; sets within the threshold share at least one, so no link is lost. Candidates are then
 verified exactly.
 
-Documents with equal sets are collapsed first and stand as one class. Signature collisions form candidate components;
-within a component sets are compared by matrix products in blocks of bounded size, and only counts and a spanning forest
-leave a block, never pairs.
+Documents with equal sets are collapsed first and stand as one class. Signature collisions form candidate components. One
+that fits into a block is compared whole; a wider one is first parted by a prefix filter, so that pages with a common
+frame are not compared with each other. Sets are compared by matrix products in blocks of bounded size, and only counts
+and a spanning forest leave a block, never pairs.
 """
 
 from __future__ import annotations
@@ -17,44 +18,37 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import BROADCAST_ROWS, as_bytes, claim, connected, dropped, groups_of, join_counted, least_labels, mix, small, stored
+from loomgraph.llm.common import BROADCAST_ROWS, as_bytes, claim, connected, dropped, groups_of, hashed_words, join_counted, least_labels, mapped, mix, pieces, scratch, small, stored
 
 #: Documents and elements a comparison block holds at most on each side.
 BLOCK_DOCS, BLOCK_ELEMENTS = 2048, 4_000_000
+#: Hash bins by whose counts the elements of wide components are ordered, rarest first.
+BINS = 1 << 20
 #: Ratio between the smallest and the largest size that start in one band.
 BAND_RATIO = 1.3
-_CACHE_WORDS = 500_000
-
-
-class _WordHash(dict):
-    """Word -> 64-bit hash, remembered; emptied when large."""
-
-    def __missing__(self, w: bytes) -> int:
-        if len(self) >= _CACHE_WORDS:
-            self.clear()
-        h = self[w] = xxhash.xxh3_64_intdigest(w)
-        return h
-
-
-_WORDS = _WordHash()
 _P = [np.uint64(pow(0x9E3779B97F4A7C15, i, 1 << 64)) for i in range(64)]
 
 
-def shingles(text: bytes | None, n: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the n-word shingles; of the whole sequence where it has fewer than n words."""
-    words = text.lower().split() if text else ()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    m = min(n, len(words))
-    s = np.full(len(words) - m + 1, np.uint64(m), np.uint64)
-    for i in range(m):
-        s = s + h[i : len(h) - m + 1 + i] * _P[i + 1]
-    return np.unique(mix(s))
+def shingles(texts: list[bytes | None], n: int) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its n-word shingles; of the whole sequence where it has fewer than
+    n words."""
+    words, counts = hashed_words(texts)
+    out, at = [], 0
+    for c in counts.tolist():
+        h, m = words[at : at + c], min(n, c)
+        at += c
+        if not c:
+            out.append(np.empty(0, np.uint64))
+            continue
+        s = np.full(c - m + 1, np.uint64(m), np.uint64)
+        for i in range(m):
+            s = s + h[i : c - m + 1 + i] * _P[i + 1]
+        out.append(np.unique(mix(s)))
+    return out
 
 
 def bands(num: int, den: int, largest: int, ratio: float = BAND_RATIO) -> list[tuple[int, int, int]]:
@@ -111,12 +105,11 @@ def _sign(n: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        claim("jaccard", _WORDS.clear)
+        claim("jaccard")
         sign, row = _Signer(num, den), TaskContext.get().partitionId() << 36
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                c = b.slice(at, 1000)
-                sets = [shingles(t, n) for t in as_bytes(c.column(1))]
+            for c in pieces(b, 1):
+                sets = shingles(as_bytes(c.column(1)), n)
                 p = [_prints(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(row, row + len(sets))), c.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in p], pa.int64()), pa.array([x for _, x in p], pa.int64()), _lists([sign(s) for s in sets])],
@@ -129,11 +122,14 @@ def _sign(n: int, num: int, den: int):
 
 def _shingled(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("jaccard", _WORDS.clear)
+        claim("jaccard")
+        seen: set[tuple[int, int]] = set()  # each class once a task
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                sets = [shingles(t, n) for t in as_bytes(b.slice(at, 1000).column(0))]
+            for c in pieces(b, 0):
+                sets = shingles(as_bytes(c.column(0)), n)
                 p = [_prints(s) for s in sets]
+                new = [i for i, x in enumerate(p) if x not in seen and not seen.add(x)]
+                sets, p = [sets[i] for i in new], [p[i] for i in new]
                 yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in p], pa.int64()), pa.array([x for _, x in p], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["n", "f1", "f2", "elements"])
 
     return run
@@ -160,9 +156,22 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by comp, p, q and row without rows that repeat the one before: a text that a table holds very often
+    is held once here."""
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = np.column_stack([b.column(x).to_numpy() for x in ("comp", "p", "q", "row")])
+        new = np.append(last is None or (k[0] != last).any(), (k[1:] != k[:-1]).any(1))
+        last = k[-1]
+        yield b if new.all() else b.filter(pa.array(new))
+
+
 def _verify(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups_of(batches, ["comp", "p", "q"]):
+        for g in groups_of(_once(batches), ["comp", "p", "q"]):
             row, first = np.unique(g.column("row").to_numpy(), return_index=True)
             side = g.column("b").to_numpy()[first]
             m = g.column("m").to_numpy()[first]
@@ -180,6 +189,73 @@ def _verify(num: int, den: int):
     return run
 
 
+def _bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many elements of the batches' sets fall into each hash bin."""
+    total = np.zeros(BINS, np.int64)
+    for b in batches:
+        for e in b.column(0).to_pylist():
+            total += np.bincount((np.frombuffer(e, np.uint64) >> np.uint64(44)).astype(np.int64), minlength=BINS)
+    hit = np.flatnonzero(total)
+    for at in range(0, len(hit), 100_000):
+        h = hit[at : at + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(total[h])], ["bin", "c"])
+
+
+def prefix(s: np.ndarray, weight: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The elements of a set that come first, those of the rarest bins before others, so many that two sets within the
+    threshold have one in common."""
+    n = len(s)
+    order = np.lexsort((s, weight[(s >> np.uint64(44)).astype(np.int64)]))
+    return s[order[: n - -(-num * n // den) + 1]]
+
+
+def _prefixes(weight: Broadcast, num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = weight.value
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _lists([prefix(np.frombuffer(e, np.uint64), w, num, den) for e in b.column(2).to_pylist()])], ["row", "component", "tokens"])
+
+    return run
+
+
+def _sized(cand: DataFrame) -> DataFrame:
+    """cand with nb, the number of blocks that its component is cut into."""
+    size = cand.groupBy("component").agg(F.count("*").alias("c"), F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_ELEMENTS)).cast("int").alias("nb"))
+    return join_counted(cand, size, ["component"], "c", cand.count(), "inner").drop("c")
+
+
+def _sets(docs: DataFrame, cand: DataFrame, n: int) -> DataFrame:
+    """cand's rows with `elements`, the sets of their texts."""
+    rows = cand.count()
+    ids = cand.select(F.col("doc_id").alias("c_id")).distinct()
+    if rows <= BROADCAST_ROWS:
+        text = docs.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("c_id")), "left_semi")
+    else:
+        text = docs.join(ids, F.coalesce(F.col("doc_id").cast("string"), F.lit("")) == F.coalesce(F.col("c_id").cast("string"), F.lit("")), "left_semi")
+    sets = mapped(text.select("text"), _shingled(n), "n long, f1 long, f2 long, elements binary")
+    return sets.join(small(cand.drop("doc_id"), rows), ["n", "f1", "f2"])
+
+
+def _narrowed(docs: DataFrame, wide: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The rows of components too wide for one block, with the components in which they share an element of their prefix;
+    rows that share none are left out. So only colliding pairs that pass the prefix filter are compared: pages that have
+    a frame in common but differ in the rest part here."""
+    spark = docs.sparkSession
+    bins = mapped(_sets(docs, wide, n).select("elements"), _bins, "bin long, c long").groupBy("bin").agg(F.sum("c").alias("c")).toPandas()
+    weight = np.zeros(BINS, np.int64)
+    weight[bins["bin"].to_numpy()] = bins["c"].to_numpy()
+    shared = spark.sparkContext.broadcast(weight)
+    pre = stored(mapped(_sets(docs, wide, n).select("row", "component", "elements"), _prefixes(shared, num, den), "row long, component long, tokens array<long>"), "prefix")
+    total = pre.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    tok = pre.select("row", "component", F.explode("tokens").alias("token"))
+    met = tok.groupBy("component", "token").agg(F.min("row").alias("v"), F.count("*").alias("c")).filter("c > 1")
+    edges = join_counted(tok, met, ["component", "token"], "c", total, "inner").filter("row <> v").select(F.col("row").alias("u"), "v")
+    parts = connected(edges)
+    out = stored(wide.drop("component", "nb").join(parts.withColumnRenamed("node", "row"), "row"), "narrow")
+    dropped(pre)
+    return out
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 90, den: int = 100) -> DataFrame:
     """Documents whose sets of n-word shingles have Jaccard similarity >= num / den are linked.
 
@@ -191,39 +267,37 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     read. Shingles are compared by 64-bit hashes."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    t = stored(docs.mapInArrow(_sign(n, num, den), f"row long, doc_id {kind}, n long, f1 long, f2 long, sigs array<long>"), "sig")
-    total = t.count()
+    t = stored(mapped(docs, _sign(n, num, den), f"row long, doc_id {kind}, n long, f1 long, f2 long, sigs array<long>"), "sig")
+    total, n_sigs = t.agg(F.count("*"), F.sum(F.size("sigs"))).first()
     key = ["n", "f1", "f2"]
-    reps = stored(t.filter("n > 0").groupBy(*key).agg(F.min("row").alias("row"), F.min("doc_id").alias("doc_id"), F.count("*").alias("m")), "reps")
-
-    sig = t.filter(F.size("sigs") > 0).join(reps.select("row"), "row", "left_semi").select("row", F.explode("sigs").alias("sig"))
-    met = sig.groupBy("sig").agg(F.min("row").alias("v"), F.count("*").alias("c")).filter("c > 1").select("sig", "v")
-    edges = sig.join(met, "sig").filter("row <> v").select(F.col("row").alias("u"), "v").distinct()
-    comp = connected(edges)
-
-    cand = comp.withColumnRenamed("node", "row").join(reps, "row")
-    size = cand.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_ELEMENTS)).cast("int").alias("nb"))
-    cand = stored(cand.join(size, "component"), "cand")
-    rows = cand.count()
-    ids = cand.select(F.col("doc_id").alias("c_id")).distinct()
-    text = docs.join(small(ids, rows), F.col("doc_id").eqNullSafe(F.col("c_id")), "left_semi") if rows <= BROADCAST_ROWS else docs.join(ids, F.coalesce(F.col("doc_id").cast("string"), F.lit("")) == F.coalesce(F.col("c_id").cast("string"), F.lit("")), "left_semi")
-    sets = text.select("text").mapInArrow(_shingled(n), "n long, f1 long, f2 long, elements binary")
-    sets = sets.join(small(cand.select(*key, "row", "m", "nb", F.col("component").alias("comp")), rows), key)
-    sets = sets.withColumn("b", F.pmod(F.xxhash64("row"), F.col("nb")).cast("long"))
-    sets = sets.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb").cast("long") - 1)))
-    sets = sets.select("comp", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), "b", "row", "m", "elements")
-    sets = sets.repartition("comp", "p", "q").sortWithinPartitions("comp", "p", "q")
-    found = stored(sets.mapInArrow(_verify(num, den), "row long, links long, label long"), "found")
-
-    links = found.groupBy("row").agg(F.sum("links").alias("links"), F.min("label").alias("label"))
-    split = cand.filter("nb > 1").select("row")
-    if split.limit(1).count():
-        across = connected(found.join(split, "row", "left_semi").select(F.col("row").alias("u"), F.col("label").alias("v")))
-        links = links.join(across.withColumnRenamed("node", "row"), "row", "left").select("row", "links", F.coalesce("component", "label").alias("label"))
-    links = stored(links.filter("links > 0"), "links")
-    least = links.join(reps.select("row", "doc_id"), "row").groupBy("label").agg(F.min("doc_id").alias("low"))
-    info = reps.join(links.join(least, "label"), "row", "left").select(*key, "m", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_similar"), F.coalesce("low", "doc_id").alias("component_id"))
-    info = stored(info, "info")
-    dropped(found, cand)
+    with scratch() as made:
+        reps = stored(t.filter("n > 0").groupBy(*key).agg(F.min("row").alias("row"), F.min("doc_id").alias("doc_id"), F.count("*").alias("m")), "reps")
+        sig = t.filter(F.size("sigs") > 0).join(reps.select("row"), "row", "left_semi").select("row", F.explode("sigs").alias("sig"))
+        met = sig.groupBy("sig").agg(F.min("row").alias("v"), F.count("*").alias("c")).filter("c > 1")
+        edges = join_counted(sig, met, ["sig"], "c", n_sigs or 0, "inner").filter("row <> v").select(F.col("row").alias("u"), "v")
+        comp = connected(edges)
+
+        cand = stored(_sized(stored(comp.withColumnRenamed("node", "row").join(reps, "row"), "met")), "cand")
+        wide = cand.filter("nb > 1")
+        if wide.limit(1).count():
+            narrow = _sized(_narrowed(docs, wide, n, num, den))
+            cand = stored(cand.filter("nb = 1").unionByName(narrow.select(*cand.columns)), "cand")
+        sets = _sets(docs, cand.select(*key, "row", "m", "nb", "doc_id", F.col("component").alias("comp")), n)
+        sets = sets.withColumn("b", F.pmod(F.xxhash64("row"), F.col("nb")).cast("long"))
+        sets = sets.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb").cast("long") - 1)))
+        sets = sets.select("comp", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), "b", "row", "m", "elements")
+        sets = sets.repartition("comp", "p", "q").sortWithinPartitions("comp", "p", "q", "row")
+        found = stored(mapped(sets, _verify(num, den), "row long, links long, label long"), "found")
+
+        links = found.groupBy("row").agg(F.sum("links").alias("links"), F.min("label").alias("label"))
+        split = cand.filter("nb > 1").select("row")
+        if split.limit(1).count():
+            across = connected(found.join(split, "row", "left_semi").select(F.col("row").alias("u"), F.col("label").alias("v")))
+            links = links.join(across.withColumnRenamed("node", "row"), "row", "left").select("row", "links", F.coalesce("component", "label").alias("label"))
+        links = stored(links.filter("links > 0"), "links")
+        least = links.join(reps.select("row", "doc_id"), "row").groupBy("label").agg(F.min("doc_id").alias("low"))
+        info = reps.join(links.join(least, "label"), "row", "left").select(*key, "m", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_similar"), F.coalesce("low", "doc_id").alias("component_id"))
+        info = stored(info, "info")
+        made[:] = [x for x in made if x is not info]
     out = join_counted(t.select("doc_id", *key), info, key, "m", total)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_similar", F.lit(0).cast("long")).alias("n_similar"), F.coalesce("component_id", "doc_id").alias("component_id"))
