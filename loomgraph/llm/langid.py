@@ -18,20 +18,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from loomgraph.llm.common import claim, small
+from loomgraph.llm.common import PIECE_BYTES, claim, mapped, pieces, small
 
 #: Training documents of one language, at most; the number of languages has no bound.
 MAX_DOCS_PER_LANG = 600
 #: Up to so many languages caches and batches have their full size; with more they shrink.
 FULL_LANGS = 64
-#: Training words of all languages, at most.
-MAX_TRAIN_WORDS = 240_000
+#: Training words of one document, at most, in runs spread over the whole of it; MAX_DOCS_PER_LANG documents then give a
+#: language this many words at most, whatever the number of languages.
+MAX_WORDS_PER_DOC = 120
 #: Hash buckets of the weight table.
 BUCKETS = 1 << 17
 ORDERS = (1, 2, 3, 4, 5)
 BLOCK = 64
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 150_000
 UNDETERMINED = "und"
 
 
@@ -65,12 +67,13 @@ def word_features(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray,
     return ids[order], np.searchsorted(owners[order], np.arange(len(words)))
 
 
-def forward_backward(potentials: np.ndarray, trans: np.ndarray, lengths: np.ndarray, block: int = BLOCK) -> np.ndarray:
+def forward_backward(potentials: np.ndarray, trans: np.ndarray, lengths: np.ndarray, block: int = BLOCK, moves: bool = False) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
     """Marginals of every word of texts that follow each other in `potentials` (words x labels, log scale); trans holds
-    log transition scores. A text's chain starts from all labels alike."""
+    log transition scores. A text's chain starts from all labels alike, by a transition from a word before it that is not
+    seen. With `moves` also the expected number of transitions between every two labels, these first ones included."""
     n, k = potentials.shape
     if not n:
-        return np.zeros((0, k))
+        return (np.zeros((0, k)), np.zeros((k, k))) if moves else np.zeros((0, k))
     t = np.exp(trans - trans.max())
     e = np.exp(np.maximum(potentials - potentials.max(1, keepdims=True), -25.0))
     lengths = np.asarray(lengths, np.int64)
@@ -114,9 +117,13 @@ def forward_backward(potentials: np.ndarray, trans: np.ndarray, lengths: np.ndar
         x = np.einsum("dkl,dl->dk", m[s], b[:c])
         b[:c] = x / x.sum(1, keepdims=True)
     out = np.empty((n, k))
+    expected, before = np.zeros((k, k)), []
+    # a_in and b_out are by segment; the words inside go longest segment first
     a = a_in
     for j in range(int(size[0])):
         c = live[j]
+        if moves:
+            before.append(a[:c] / a[:c].sum(1, keepdims=True))
         x = a[:c] @ t
         x *= e[at[:c] + j]
         if j % 8 == 7:
@@ -128,11 +135,18 @@ def forward_backward(potentials: np.ndarray, trans: np.ndarray, lengths: np.ndar
         c = live[j]
         w = at[:c] + j
         out[w] *= b[:c]
-        x = (b[:c] * e[w]) @ t.T
+        y = b[:c] * e[w]
+        if moves:  # message from the left, transition, and all that the right says: the marginal of both words
+            x = before[j]
+            y = y / np.maximum(((x @ t) * y).sum(1, keepdims=True), 1e-300)
+            expected += t * (x.T @ y)
+            y = b[:c] * e[w]
+        x = y @ t.T
         if j % 8 == 7:
             x /= x.sum(1, keepdims=True)
         b[:c] = x
-    return out / (out @ np.ones((k, 1)))
+    out /= out @ np.ones((k, 1))
+    return (out, expected) if moves else out
 
 
 class _Ids(dict):
@@ -204,29 +218,44 @@ def _field(langs: tuple[str, ...], weights: bytes, trans: bytes) -> Field:
     return Field(list(langs), np.frombuffer(weights, np.float32).reshape(-1, k), np.frombuffer(trans, np.float64).reshape(k, k))
 
 
-def train(rows: list[tuple[str, str]], max_words: int = MAX_TRAIN_WORDS, epochs: int = 6, rate: float = 0.3, seed: int = 7) -> Field | None:
-    """Conditional likelihood by adaptive gradient steps on spliced sequences of (text, language) rows; None without rows."""
+def excerpt(words: list[str], seed: int, most: int = MAX_WORDS_PER_DOC) -> list[list[str]]:
+    """Runs of words, of geometric length, together at most `most` and spread over the whole list; all of a short list."""
+    rng = np.random.default_rng(seed)
+    runs, left = [], min(most, len(words))
+    sizes = []
+    while left > 0:
+        sizes.append(min(left, int(rng.geometric(1 / 20))))
+        left -= sizes[-1]
+    gap = (len(words) - sum(sizes)) / max(1, len(sizes))  # each run lies somewhere in its own share of the rest
+    at = used = 0
+    for i, size in enumerate(sizes):
+        at = used + int((i + rng.random()) * gap)
+        runs.append(words[at : at + size])
+        used += size
+    return runs
+
+
+def seen_moves(y: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """The transitions of the true labels. What a text's first word comes from is not seen: it counts by its posterior."""
+    k = len(trans)
+    seen = np.zeros((k, k))
+    first = np.zeros(len(y), bool)
+    first[(np.cumsum(lengths) - lengths)[np.asarray(lengths) > 0]] = True
+    i = np.flatnonzero(~first)
+    np.add.at(seen, (y[i - 1], y[i]), 1)
+    t = np.exp(trans - trans.max())
+    return seen + t / t.sum(0) * np.bincount(y[first], minlength=k)
+
+
+def train(rows: list[tuple[list[list[str]], str]], epochs: int = 6, rate: float = 0.3, seed: int = 7) -> Field | None:
+    """Conditional likelihood by adaptive gradient steps on spliced sequences, from rows of (runs of words, language); None
+    without rows."""
     rng = np.random.default_rng(seed)
     langs = sorted({lang for _, lang in rows})
     if not langs:
         return None
-    pool: dict[str, list[list[str]]] = {x: [] for x in langs}
-    for text, lang in rows:
-        words = text.lower().split()
-        if words:
-            pool[lang].append(words)
-    runs: list[tuple[int, list[str]]] = []
-    for i, lang in enumerate(langs):
-        budget = max(1, max_words // len(langs))
-        for words in pool[lang]:
-            at = 0
-            while at < len(words) and budget > 0:
-                size = int(rng.geometric(1 / 20))
-                runs.append((i, words[at : at + size]))
-                budget -= size
-                at += size
-            if budget <= 0:
-                break
+    number = {x: i for i, x in enumerate(langs)}
+    runs: list[tuple[int, list[str]]] = [(number[lang], r) for rs, lang in rows for r in rs if r]
     rng.shuffle(runs)
     seqs: list[list[tuple[int, list[str]]]] = []
     while runs:
@@ -247,7 +276,7 @@ def train(rows: list[tuple[str, str]], max_words: int = MAX_TRAIN_WORDS, epochs:
             lengths = np.array([sum(len(r) for _, r in s) for s in part], np.int64)
             ids, starts = word_features(words)
             p = np.add.reduceat(w[ids], starts, axis=0)
-            g = forward_backward(p, trans, lengths)
+            g, expected = forward_backward(p, trans, lengths, moves=True)
             d = g.copy()
             d[np.arange(len(y)), y] -= 1
             d /= 64
@@ -257,57 +286,56 @@ def train(rows: list[tuple[str, str]], max_words: int = MAX_TRAIN_WORDS, epochs:
             grad = np.stack([np.bincount(where, each[:, j], len(hit)) for j in range(k)], 1)
             gw[hit] += grad**2
             w[hit] -= rate * grad / np.sqrt(gw[hit])
-            ends = np.cumsum(lengths)
-            inner = np.ones(len(y), bool)
-            inner[(ends - lengths)[lengths > 0]] = False
-            i = np.flatnonzero(inner)
-            seen = np.zeros((k, k))
-            np.add.at(seen, (y[i - 1], y[i]), 1)
-            # expected transitions, from neighbouring marginals tied by the transition scores
-            t, e = np.exp(trans), np.exp(p[i] - p[i].max(1, keepdims=True))
-            each = np.maximum(((g[i - 1] @ t) * e).sum(1, keepdims=True), 1e-300)
-            grad_t = (t * (g[i - 1].T @ (e / each)) - seen) / 64
+            grad_t = (expected - seen_moves(y, lengths, trans)) / 64
             gt += grad_t**2
             trans = trans - rate * grad_t / np.sqrt(gt)
     return Field(langs, w, trans)
 
 
-def sample_rows(docs: DataFrame, per_lang: int = MAX_DOCS_PER_LANG) -> list[tuple[str, str]]:
-    """(text, lang) of at most about per_lang documents of each language, chosen by a hash."""
+def sample_rows(docs: DataFrame, per_lang: int = MAX_DOCS_PER_LANG) -> list[tuple[list[list[str]], str]]:
+    """(runs of words, lang) of about per_lang documents of each language at most, chosen by a hash; rows equal in id and
+    text count as one. Only the runs, MAX_WORDS_PER_DOC words a document, leave the executors. Documents without text or
+    language, or labelled `und`, are left out."""
     d = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != UNDETERMINED))
     share = F.greatest(F.lit(1), F.floor(F.least(F.lit(1.0), F.lit(per_lang) / F.col("count")) * 1_000_000)).alias("share")
     counts = d.groupBy("lang").count().select("lang", share)
     n = counts.count()
     if not n:
         return []
-    # a whole text may be very long: of the sample, only runs up to the word budget are used
-    got = d.join(small(counts, n), "lang").filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < F.col("share")).orderBy(F.xxhash64("text", "doc_id")).select("text", "lang")
-    return [(r["text"], r["lang"]) for r in got.toLocalIterator()]
+    h = F.xxhash64("doc_id", "text")
+    got = d.join(small(counts, n), "lang").filter(F.pmod(h, F.lit(1_000_000)) < F.col("share")).select(F.col("lang").cast("string").alias("lang"), h.alias("h"), F.col("text").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seeds = b.column(1).to_pylist()
+            cut = [[" ".join(r) for r in excerpt(t.lower().split(), s & 0xFFFFFFFF)] for t, s in zip(b.column(2).to_pylist(), seeds)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cut, pa.list_(pa.string()))], ["lang", "h", "runs"])
+
+    rows = mapped(got, run, "lang string, h long, runs array<string>").groupBy("lang", "h").agg(F.first("runs").alias("runs"))
+    return [([x.split() for x in r["runs"]], r["lang"]) for r in sorted(rows.toLocalIterator(), key=lambda r: (r["lang"], r["h"]))]
 
 
 def identify(docs: DataFrame, field: Field | None) -> DataFrame:
     """docs with lang_pred (string), score (double, the expected share of its words in that language) and n_switches (long,
     changes of language between neighbouring words with letters); own columns of these names are replaced. A null text,
-    or one without letters, is `und` with score 0, as every text is if nothing was learned."""
+    or one without letters, is `und` with score 0, as every text is if nothing was learned. Equal shares go to the
+    language that comes first by code point; repeated rows get the same; an empty table gives none."""
     own = ["lang_pred", "score", "n_switches"]
     docs = docs.drop(*own)
-    names = docs.columns
-    at = names.index("text")
+    at = docs.columns.index("text")
+    shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("langid", _field.cache_clear)
-        at_once = max(1, 200 * FULL_LANGS**2 // max(FULL_LANGS, len(field.langs) if field else 0) ** 2)
+        field = shared.value
+        claim("langid", field._forget if field else lambda: None)
+        wide = (len(field.langs) if field else 1) / FULL_LANGS
         for whole in batches:
-            low = 0
-            while low < whole.num_rows:
-                b = whole.slice(low, at_once)
-                low += b.num_rows
+            for b in pieces(whole, at, int(PIECE_BYTES / max(1, wide**2))):
                 texts = [t.lower().split() if t else [] for t in b.column(at).cast(pa.string()).to_pylist()]
                 pred, score, moves = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
                 if field is not None:
                     g, letters, lengths = field.marginals(texts)
                     best = g.argmax(1)
-                    end = np.cumsum(lengths)
                     own_doc = np.repeat(np.arange(len(texts)), lengths)[letters]
                     lab, gl = best[letters], g[letters]
                     cnt = np.bincount(own_doc, minlength=len(texts))
@@ -317,11 +345,10 @@ def identify(docs: DataFrame, field: Field | None) -> DataFrame:
                     top = tot.argmax(1)
                     score = np.where(cnt > 0, tot[np.arange(len(texts)), top] / np.maximum(cnt, 1), 0.0)
                     pred = [field.langs[j] if c else UNDETERMINED for j, c in zip(top, cnt)]
-                    del end
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(np.minimum(score, 1.0)), pa.array(moves)], [*b.schema.names, *own])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "lang_pred string, score double, n_switches long"])
-    return docs.mapInArrow(run, schema)
+    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("n_switches", LongType())])
+    return mapped(docs, run, schema)
 
 
 def held_out() -> F.Column:
@@ -330,6 +357,7 @@ def held_out() -> F.Column:
 
 
 def language_id(docs: DataFrame, per_lang: int = MAX_DOCS_PER_LANG) -> DataFrame:
-    """identify() with a field trained on the documents with a language that are not held out (null ids aren't)."""
+    """identify() with a field trained on the documents with a language that are not held out (null ids aren't). Documents
+    labelled `und` teach nothing and `und` is no learned language. Columns other than doc_id, text and lang pass through."""
     rows = sample_rows(docs.filter(~held_out()), per_lang)
     return identify(docs, train(rows))
