@@ -1,13 +1,15 @@
 """SentencePiece encoding and decoding as shortest paths of a weighted finite-state transducer.
 
-The model file is compiled into a transducer: the normaliser (character map, space escape, dummy prefix), one arc a piece,
-and byte fallback for characters outside the vocabulary. Composing it with an input leaves a lattice over the positions of
-that input, and the encoding is its tropical shortest path.
+The model file is compiled into a transducer: the normaliser (character map, space escape, dummy prefix), whose longest
+match makes it deterministic, one arc a piece, and for each character without a piece a fallback arc that writes the
+pieces of its bytes. Composed with an input it is a lattice over the positions of that input, and the encoding is the
+lattice's shortest path in the tropical semiring.
 
-* Unigram models: an arc weighs the negated score of its piece.
+* Unigram models: an arc weighs the negated score of its piece, a fallback arc the cost of an unknown character.
 * BPE models: merging has no such weights, but a segmentation is the one that merging gives exactly if each piece encodes
   to itself and each neighbouring pair encodes to that pair. So the states carry the last piece, an arc after a state
-  weighs 0 if the pair is admissible and infinity if not, and the one path of finite weight is the encoding.
+  weighs 0 if the pair is admissible and infinity if not, and the one path of finite weight is the encoding. It is found
+  depth first, longest arcs first: as a prefix has only one encoding, a position that led nowhere never need be met again.
 
 Words are composed apart where no piece spans the seam, and paths of words already met are remembered."""
 
@@ -15,7 +17,6 @@ from __future__ import annotations
 
 import re
 import struct
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -25,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import claim
+from loomgraph.llm.common import claim, mapped, pieces
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-_CACHE_WORDS, _CACHE_PAIRS = 400_000, 400_000
+#: Words whose paths a worker remembers, their characters and pieces, and pairs of pieces; each is emptied when full.
+_CACHE_WORDS, _CACHE_SIZE, _CACHE_PAIRS = 250_000, 6_000_000, 300_000
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -93,6 +95,33 @@ class CharMap:
         return done.decode("utf-8", "replace")
 
 
+class _Words(dict):
+    """Word -> number; a word met for the first time gets the next one and waits in `new`."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, w: str) -> int:
+        i = self[w] = len(self)
+        self.new.append(w)
+        return i
+
+
+class _Fallback(dict):
+    """Character -> the pieces that its fallback arc writes, made of the byte pieces when it is first met."""
+
+    def __init__(self, bytes_: dict[int, int], unknown: int):
+        super().__init__()
+        self.bytes, self.unknown = bytes_, unknown
+
+    def __missing__(self, c: str) -> tuple[int, ...]:
+        p = tuple(self.bytes[b] for b in c.encode("utf-8", "replace")) if self.bytes else (self.unknown,)
+        if len(self) < 100_000:
+            self[c] = p
+        return p
+
+
 class Transducer:
     """The compiled model. encode() gives piece ids, decode() the text they stand for."""
 
@@ -125,7 +154,7 @@ class Transducer:
         self.text = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else b" \xe2\x81\x87 " if t == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, t in pieces]
         # arcs out of a position: a trie of nodes [children by character, piece id or -1]
         self.arcs: dict[str, list] = {}
-        for p, i in self.ids.items():
+        for p, i in () if self.bpe else self.ids.items():
             at = self.arcs
             for c in p:
                 node = at.setdefault(c, [{}, -1])
@@ -136,9 +165,22 @@ class Transducer:
         alone = "" if any("\n" in p for p in self.ids) else "\n"
         seams = not inner and not any(t == USER for _, _, t in pieces)
         self.cut = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (f"|{alone}" if alone else "")).findall if seams else lambda s: [s] if s else []
-        self._split: dict[int, tuple[int, int] | None] = {}
-        self._pair: dict[int, bool] = {}
-        self._paths: dict[str, bytes] = {}
+        if self.bpe:  # the arcs of pieces that encode to themselves, and how far arcs reach that begin alike
+            self.whole = {p: i for p, i in self.ids.items() if self._merge(p) == [p]}
+            self.reach: dict[str, int] = {}
+            for p in self.whole:
+                for k in range(1, min(3, len(p)) + 1):
+                    self.reach[p[:k]] = max(len(p), self.reach.get(p[:k], 0))
+        # pairs of pieces that are known to be admissible, or not
+        self._good: dict[int, set[int]] = {}
+        self._bad: dict[int, set[int]] = {}
+        self._pairs = 0
+        self.fallback = _Fallback(self.bytes, self.unk)
+        self._forget()
+
+    def _forget(self) -> None:
+        self._words, self._size, self._start = _Words(), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self._flat, self._used, self._chars = np.zeros(4096, np.int32), 0, 0
 
     def normalise(self, text: str) -> str:
         if self.charmap:
@@ -151,9 +193,6 @@ class Transducer:
             text = " " + text
         return text.replace(" ", SPACE) if self.escape else text
 
-    def _fallback(self, c: str) -> tuple[int, ...]:
-        return tuple(self.bytes[b] for b in c.encode("utf-8", "replace")) if self.bytes else (self.unk,)
-
     def _merge(self, s: str) -> list[str]:
         """The segmentation that merging gives: best score first, leftmost among equals. For short strings."""
         parts = list(s)
@@ -168,57 +207,54 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def _admits(self, a: int, b: int) -> bool:
-        """Whether merging a's and b's text gives exactly a, b. A negative a stands for a character without a piece."""
-        if a < 0 or b < 0:
-            return True
-        key = a << 32 | b
-        r = self._pair.get(key)
-        if r is None:
-            if len(self._pair) > _CACHE_PAIRS:
-                self._pair.clear()
-            x, y = self.pieces[a][0], self.pieces[b][0]
-            r = self._pair[key] = self._merge(x + y) == [x, y]
-        return r
-
-    def _whole(self, a: int) -> bool:
-        r = self._split.get(a)
-        if r is None:
-            r = self._split[a] = self._merge(self.pieces[a][0]) == [self.pieces[a][0]]
-        return r
+        """Whether merging a's and b's text gives exactly a, b."""
+        if b in self._bad.get(a, ()):
+            return False
+        x, y = self.pieces[a][0], self.pieces[b][0]
+        ok = self._merge(x + y) == [x, y]
+        if self._pairs > _CACHE_PAIRS:
+            self._good.clear()
+            self._bad.clear()
+            self._pairs = 0
+        (self._good if ok else self._bad).setdefault(a, set()).add(b)
+        self._pairs += 1
+        return ok
+
+    def _search(self, s: str) -> tuple[int, ...]:
+        """The path of finite weight through a BPE model's states (position, last piece) composed with s."""
+        n, get, good, reach, admits = len(s), self.whole.get, self._good, self.reach.get, self._admits
+        i, last, j = 0, -1, min(n, reach(s[:3], 2))  # a negative piece stands for a fallback arc
+        taken: list[tuple[int, int]] = []  # where an arc begins, and its piece
+        dead: set[int] = set()
+        while i < n:
+            after = good.get(last, ())
+            while j > i:
+                t = get(s[i:j])
+                if t is not None and (last < 0 or t in after or admits(last, t)) and j not in dead:
+                    break
+                j -= 1
+            if j == i:
+                if s[i] in self.whole or i + 1 in dead:
+                    if not taken:
+                        raise ValueError("no path")  # cannot be: merging always gives one
+                    dead.add(i)
+                    j = i - 1
+                    i = taken.pop()[0]
+                    last = taken[-1][1] if taken else -1
+                    continue
+                t, j = -1, i + 1
+            taken.append((i, t))
+            last, i = t, j
+            j += reach(s[i : i + 3], 2)
+            if j > n:
+                j = n
+        return tuple([t for _, t in taken] if min([t for _, t in taken], default=0) >= 0 else [x for at, t in taken for x in ((t,) if t >= 0 else self.fallback[s[at]])])
 
     def path(self, s: str) -> tuple[int, ...]:
         """The shortest path of the transducer composed with s, a normalised string."""
         n, ids, arcs = len(s), self.ids, self.arcs
         if self.bpe:
-            pairs, admits, whole = self._pair, self._admits, self._whole
-            last: list[int | None] = [None] * (n + 1)
-            back = [0] * (n + 1)
-            for i in range(n):
-                a = last[i]
-                at = arcs.get(s[i])
-                if at is None or s[i] not in ids:
-                    if last[i + 1] is None:
-                        last[i + 1], back[i + 1] = -1 - i, i
-                j = i + 1
-                while at is not None:
-                    t = at[1]
-                    if t >= 0 and last[j] is None:
-                        ok = True if a is None or a < 0 else pairs.get(a << 32 | t)
-                        if ok is None:
-                            ok = admits(a, t)
-                        if ok and whole(t):
-                            last[j], back[j] = t, i
-                    if j == n:
-                        break
-                    at = at[0].get(s[j])
-                    j += 1
-            out: list[tuple[int, ...]] = []
-            i = n
-            while i:
-                t = last[i]
-                out.append((t,) if t >= 0 else self._fallback(s[back[i] : i]))
-                i = back[i]
-            return tuple(x for p in reversed(out) for x in p)
+            return self._search(s)
         cost = [0.0] + [float("inf")] * n
         arc: list[tuple[int, int]] = [(0, 0)] * (n + 1)
         for i in range(n):
@@ -236,32 +272,60 @@ class Transducer:
                 j += 1
             if not single and c + self.unknown_cost < cost[i + 1]:
                 cost[i + 1], arc[i + 1] = c + self.unknown_cost, (i, -1)
-        out, i = [], n
+        out: list[tuple[int, ...]] = []
+        i = n
         while i:
             j, t = arc[i]
-            out.append((t,) if t >= 0 else self._fallback(s[j:i]))
+            out.append((t,) if t >= 0 else self.fallback[s[j:i]])
             i = j
         return tuple(x for p in reversed(out) for x in p)
 
-    def encode_raw(self, text: str) -> tuple[bytearray, bool]:
-        """The piece ids as 32-bit integers, and whether they, decoded, are the normalised text."""
-        known = self._paths
-        if len(known) > _CACHE_WORDS:
-            known.clear()
-        out, normal = bytearray(), self.normalise(text)
-        for w in self.cut(normal):
-            p = known.get(w)
-            if p is None:
-                p = array("i", self.path(w)).tobytes()
-                if len(w) <= 64:
-                    known[w] = p
-            out += p
-        return out, self.decode(array("i", bytes(out))) == self._plain(normal.replace(SPACE, " "))
+    def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool]]:
+        """The piece ids of all texts one after the other, where each text's end, and whether they, decoded, are the
+        normalised text."""
+        if len(self._words) > _CACHE_WORDS or self._used + self._chars > _CACHE_SIZE:
+            self._forget()
+        known, words, counts, normal = self._words, [], [], []
+        for x in texts:
+            x = self.normalise(x)
+            w = self.cut(x)
+            words += w
+            counts.append(len(w))
+            normal.append(x)
+        low = len(known)
+        at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        if known.new:
+            self._learn(low, known.new)
+            known.new = []
+        size = self._size[at]
+        ends = np.cumsum(size)
+        flat = self._flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self._start[at] - (ends - size), size)]
+        ends = np.append(0, ends)[np.cumsum(counts, dtype=np.int64)] if texts else np.zeros(0, np.int64)
+        exact, ids, a = [], flat.tolist(), 0
+        for x, b in zip(normal, ends.tolist()):
+            exact.append(self.decode(ids[a:b]) == self._plain(x.replace(SPACE, " ")))
+            a = b
+        return flat, ends, exact
+
+    def _learn(self, low: int, new: list[str]) -> None:
+        """Remembers the paths of new words, which are numbered from `low`."""
+        paths = [self.path(w) for w in new]
+        size = np.array([len(p) for p in paths], np.int64)
+        ids = np.fromiter((i for p in paths for i in p), np.int32, int(size.sum()))
+        high, used = low + len(new), self._used + len(ids)
+        if high > len(self._size):
+            grow = max(high, 2 * len(self._size))
+            self._size, self._start = (np.append(x, np.zeros(grow - len(x), np.int64)) for x in (self._size, self._start))
+        if used > len(self._flat):
+            self._flat = np.append(self._flat, np.zeros(max(used, 2 * len(self._flat)) - len(self._flat), np.int32))
+        self._size[low:high], self._start[low:high] = size, self._used + np.cumsum(size) - size
+        self._flat[self._used : used] = ids
+        self._used, self._chars = used, self._chars + sum(map(len, new))
 
     def encode(self, text: str) -> list[int]:
-        return array("i", bytes(self.encode_raw(text)[0])).tolist()
+        return self.encode_batch([text])[0].tolist()
 
-    def decode(self, ids: list[int] | array) -> str:
+    def decode(self, ids: list[int]) -> str:
         return self._plain(b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "replace"))
 
     def _plain(self, s: str) -> str:
@@ -302,28 +366,34 @@ def encode(docs: DataFrame, model: Model, with_ids: bool = True) -> DataFrame:
         in_bytes = np.zeros(len(transducer.pieces), np.int64)
         in_bytes[list(transducer.is_byte)] = 1
         for whole in batches:
-            for low in range(0, whole.num_rows, 200):
-                b = whole.slice(low, 200)
-                got = [(b"", None) if x is None else transducer.encode_raw(x) for x in b.column(1).to_pylist()]
-                flat = np.frombuffer(b"".join(i for i, _ in got), np.int32)
-                ends = np.cumsum([0, *(len(i) // 4 for i, _ in got)]).astype(np.int32)
+            for b in pieces(whole, 1):
+                texts = b.column(1).to_pylist()
+                flat, ends, same = transducer.encode_batch([x or "" for x in texts])
+                ends = np.append(0, ends)
                 sums = np.concatenate([[0], np.cumsum(in_bytes[flat])])
-                exact = pa.array([e for _, e in got], pa.bool_())
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=exact.is_null()) if exact.null_count else pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array((sums[ends[1:]] - sums[ends[:-1]]).astype(np.int64)), exact], ["doc_id", "ids", "n_bytes", "exact"])
+                exact = pa.array([None if x is None else e for x, e in zip(texts, same)], pa.bool_())
+                ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat), mask=exact.is_null() if exact.null_count else None)
+                yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array(sums[ends[1:]] - sums[ends[:-1]]), exact], ["doc_id", "ids", "n_bytes", "exact"])
 
-    out = t.mapInArrow(run, f"doc_id {kind}, ids array<int>, n_bytes long, exact boolean")
+    out = mapped(t, run, f"doc_id {kind}, ids array<int>, n_bytes long, exact boolean")
     own = [F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "n_bytes", F.xxhash64("ids").alias("digest"), "exact"]
     return out.select("doc_id", *(["ids"] if with_ids else []), *own)
 
 
 def decode(tokens: DataFrame, model: Model) -> DataFrame:
-    """tokens(doc_id, ids) as (doc_id, text); null ids are null text. Ids outside the vocabulary raise an error."""
+    """tokens(doc_id, ids) as (doc_id, text); null ids are null text, and so are ids that are no pieces: lists with a null,
+    a negative number or one beyond the vocabulary. Repeated rows are decoded each; other columns are not read."""
     kind = tokens.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("spm", _compiled.cache_clear)
         transducer = model.transducer()
+        n = len(transducer.pieces)
+
+        def text(ids: list[int | None] | None) -> str | None:
+            return None if ids is None or any(i is None or not 0 <= i < n for i in ids) else transducer.decode(ids)
+
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if i is None else transducer.decode(i) for i in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(text, b.column(1).to_pylist()), pa.string())], ["doc_id", "text"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
+    return mapped(tokens.select("doc_id", F.col("ids").cast("array<long>").alias("ids")), run, f"doc_id {kind}, text string")
