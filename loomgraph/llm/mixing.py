@@ -12,7 +12,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import BROADCAST_ROWS, stored
+from loomgraph.llm.common import small as counted
+from loomgraph.llm.common import stored
 
 #: The weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -23,34 +24,18 @@ HASH_BITS, LEVEL_BITS = 60, 12
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def targets(sizes: list[int], weights: list[float], epochs: int = MAX_EPOCHS) -> list[float]:
-    """Shares of sum(sizes) by weight, at most epochs * size each; what goes beyond is shared again among the others."""
-    out, open_, left = [0.0] * len(sizes), set(range(len(sizes))), float(sum(sizes))
-    while open_:
-        unit = left / sum(weights[i] for i in open_)
-        over = sorted(i for i in open_ if unit * weights[i] > epochs * sizes[i])
-        if not over:
-            for i in open_:
-                out[i] = unit * weights[i]
-            break
-        for i in over:
-            out[i] = float(epochs * sizes[i])
-            left -= out[i]
-        open_ -= set(over)
-    return out
-
-
 def _target_table(sources: DataFrame, weights: tuple[int, ...], epochs: int) -> DataFrame:
-    """sources(source, source_size) with weight and target. The cap is solved on the table itself: sources whose share at
-    the level `unit` exceeds their cap are fixed, and unit is summed anew, until none is fixed any more."""
-    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod("k", F.lit(len(weights))) + 1).cast("int")).cast("double")
-    n = sources.count()
-    if n <= 100_000:  # a bounded table: its order and its targets are worked out in one place
-        rows = sorted(sources.collect(), key=lambda r: (r["source"] is None, r["source"] or ""))
-        t = targets([r["source_size"] for r in rows], [weights[i % len(weights)] for i in range(len(rows))], epochs)
-        return sources.sparkSession.createDataFrame([(r["source"], r["source_size"], x) for r, x in zip(rows, t)], "source string, source_size long, target double")
-    ranked = sources.rdd.map(lambda r: (r["source"] is None, r["source"] or "", r["source_size"])).sortBy(lambda r: r[:2]).zipWithIndex()
-    s = stored(ranked.map(lambda x: (None if x[0][0] else x[0][1], x[0][2], x[1])).toDF("source string, source_size long, k long").withColumn("w", w), "sources")
+    """sources(source, source_size) with its target: its share of all sizes by weight, at most epochs times its own size;
+    what goes beyond is shared again among the others. Weights go by the place of the source in code point order, null
+    last, worked out range by range. The cap is solved on the table: sources whose share at the level `unit` exceeds
+    their cap are fixed, and unit is summed anew, until none is fixed any more."""
+    ranged = sources.withColumn("none", F.col("source").isNull()).repartitionByRange("none", "source").sortWithinPartitions("none", "source")
+    at = F.monotonically_increasing_id()
+    ranged = stored(ranged.select("source", "source_size", F.shiftright(at, 33).alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("place")), "sources")
+    parts = ranged.groupBy("part").agg(F.count("*").alias("n"))  # one row a range
+    first = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first"))
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("first") + F.col("place"), F.lit(len(weights))) + 1).cast("int")).cast("double")
+    s = ranged.join(F.broadcast(first), "part").select("source", "source_size", w.alias("w"))
     total = s.agg(F.sum("source_size")).first()[0] or 0
     unit, before = math.inf, -1
     while True:
@@ -62,27 +47,27 @@ def _target_table(sources: DataFrame, weights: tuple[int, ...], epochs: int) ->
     return s.select("source", "source_size", F.least(F.col("w") * unit, (epochs * F.col("source_size")).cast("double")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MAX_EPOCHS, text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: its columns, and size, source_size, target, copies (how often the mix takes the
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MAX_EPOCHS, text_col: str = "text", ids_only: bool = False) -> DataFrame:
+    """One row for each row of docs: its columns (with ids_only doc_id alone, and no text is read twice), and size, source_size, target, copies (how often the mix takes the
     document) and taken = copies * size. Columns of docs with these names are replaced.
 
     size is the number of words; a null text has none. Sources are ordered by code point with null last; weights repeat.
     A source takes target // source_size whole passes, and of one more pass the documents with a hash below its threshold,
     which leaves it off its target by at most half of one document (or of documents of equal id). A document with size 0 is
     taken with its pass, but counts nothing. The hash is of the id alone (of the text where the id is null), so reruns
-    agree and rows of the same id go together. A source without words has target 0 and takes nothing."""
+    agree and rows of the same id go together, ties of hashes too. A source without words has target 0 and takes nothing."""
     own = ("size", "source_size", "target", "copies", "taken")
     docs = docs.drop(*own)
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.coalesce(F.col(text_col), F.lit(""))))
     d = docs.withColumn("size", F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")).withColumn("__h", F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long"))
-    t = stored(d.select(F.col("source").cast("string").alias("source"), "__h", "size"), "mix")
+    t = stored(d.select("doc_id", F.col("source").cast("string").alias("source"), "__h", "size"), "mix")
     sources = _target_table(t.groupBy("source").agg(F.sum("size").alias("source_size")), weights, epochs)
     sources = sources.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     sources = stored(sources.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")), "mixsrc")
     n = sources.count()
 
     def small(x: DataFrame) -> DataFrame:
-        return F.broadcast(x) if n <= BROADCAST_ROWS else x
+        return counted(x, n)
 
     # state: hashes below `low` are taken and hold `sum` words; the budget ends among those below low + 2^bits
     state = sources.select(F.col("source").alias("s_source"), "rest", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("got"), F.lit(0).cast("long").alias("step"))
@@ -112,6 +97,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MAX_E
     # at single hash values: the boundary value is taken if that comes nearer to the budget
     cut = state.select("s_source", F.when((F.col("rest") > 0) & (F.col("got") + F.col("step") - F.col("rest") < F.col("rest") - F.col("got")), F.col("low")).otherwise(F.col("low") - 1).alias("upto"))
     plan = stored(sources.join(small(cut), F.col("source").eqNullSafe(F.col("s_source")), "left").select(F.col("source").alias("s_source"), "source_size", "target", "passes", F.coalesce("upto", F.lit(-1).cast("long")).alias("upto")), "mixplan")
+    d = t if ids_only else d
     out = d.join(small(plan), F.col("source").cast("string").eqNullSafe(F.col("s_source")), "inner")
     copies = F.when(F.col("target") > 0, F.least(F.col("passes") + (F.col("__h") <= F.col("upto")).cast("long"), F.lit(epochs).cast("long"))).otherwise(F.lit(0).cast("long"))
-    return out.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).select(*docs.columns, *own)
+    return out.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).select(*(["doc_id"] if ids_only else docs.columns), *own)
