@@ -6,6 +6,7 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,7 +35,7 @@ def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm.mixing import mix
 
-    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(_table(spark, sf_dir, "documents"), ids_only=True).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +55,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm.toxicity import toxicity
 
     t = toxicity(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
-    return t.select("doc_id", "p_mention", "p_dense", "p_toxic", "toxic")
+    return t.select("doc_id", "p_junk", "p_toxic", "toxic")
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +79,8 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm.lm import lm_scores
 
-    return lm_scores(_table(spark, sf_dir, "documents"), order=LM_ORDER).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    t = lm_scores(_table(spark, sf_dir, "documents"), order=LM_ORDER)
+    return t.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,5 +226,51 @@ FROM embeddings e JOIN comp ON comp.a = e.vec_id LEFT JOIN deg ON deg.a = e.vec_
 """
 
 
+# crc32 by a table of 256 remainders; a start and an end of a text are words that no text can have. K is found by halving
+# its range on the logarithmic scale
+OP9_SQL = r"""
+WITH RECURSIVE bit AS (
+  SELECT i AS byte, i::BIGINT AS c, 0 AS step FROM range(256) AS r(i)
+  UNION ALL SELECT byte, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, step + 1 FROM bit WHERE step < 8),
+crc AS (SELECT list(c ORDER BY byte) AS t FROM bit WHERE step = 8),
+walk AS (
+  SELECT doc_id, doc_id::VARCHAR AS s, 1 AS i, 4294967295::BIGINT AS c FROM documents
+  UNION ALL SELECT doc_id, s, i + 1, xor(c >> 8, t[(xor(c, ascii(s[i])) & 255) + 1]) FROM walk, crc WHERE i <= length(s)),
+h AS (SELECT doc_id, xor(c, 4294967295) % 10 = 0 AS held FROM walk WHERE s IS NULL OR i = length(s) + 1),
+d AS (
+  SELECT doc_id, coalesce(held, false) AS held,
+    list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' end') AS w
+  FROM documents LEFT JOIN h USING (doc_id)),
+g AS (
+  SELECT doc_id, held, w[i] AS w3, CASE WHEN i = 1 THEN ' start' ELSE w[i - 1] END AS w2, CASE WHEN i = 2 THEN ' start' WHEN i > 2 THEN w[i - 2] END AS w1
+  FROM (SELECT doc_id, held, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+c1 AS (SELECT w3 AS a, count(*)::DOUBLE AS c FROM g WHERE NOT held GROUP BY ALL),
+c2 AS (SELECT w2 AS a, w3 AS b, count(*)::DOUBLE AS c FROM g WHERE NOT held GROUP BY ALL),
+c3 AS (SELECT w1 AS a, w2 AS b, w3 AS e, count(*)::DOUBLE AS c FROM g WHERE NOT held AND w1 IS NOT NULL GROUP BY ALL),
+s AS (SELECT coalesce((SELECT sum(c) FROM c1), 0) AS n, (SELECT count(*) FROM c1)::DOUBLE AS v, (SELECT count(*) FROM d WHERE NOT held)::DOUBLE AS texts),
+h1 AS (SELECT c, count(*)::DOUBLE AS n FROM c1 GROUP BY c),
+h2 AS (SELECT c, count(*)::DOUBLE AS n FROM c2 GROUP BY c),
+once AS (SELECT (SELECT count(*) FROM c2 WHERE c = 1)::DOUBLE AS o2, (SELECT count(*) FROM c3 WHERE c = 1)::DOUBLE AS o3),
+halve AS (
+  SELECT 0 AS step, 0.01::DOUBLE AS l2, 1e6::DOUBLE AS u2, 0.01::DOUBLE AS l3, 1e6::DOUBLE AS u3
+  UNION ALL
+  SELECT step + 1, CASE WHEN n2 < o2 THEN k2 ELSE l2 END, CASE WHEN n2 < o2 THEN u2 ELSE k2 END, CASE WHEN n3 < o3 THEN k3 ELSE l3 END, CASE WHEN n3 < o3 THEN u3 ELSE k3 END
+  FROM (SELECT *, (SELECT coalesce(sum(n * CASE WHEN c < 1023 THEN c * k2 / (c - 1 + k2) ELSE k2 END), 0) FROM h1) AS n2, (SELECT coalesce(sum(n * CASE WHEN c < 1023 THEN c * k3 / (c - 1 + k3) ELSE k3 END), 0) FROM h2) AS n3
+    FROM (SELECT *, sqrt(l2 * u2) AS k2, sqrt(l3 * u3) AS k3 FROM halve WHERE step < 100)), once),
+k AS (SELECT sqrt(l2 * u2) AS k2, sqrt(l3 * u3) AS k3 FROM halve WHERE step = 100),
+p AS (
+  SELECT g.doc_id, g.w1, (coalesce(x.c, 0) + 0.1) / (n + 0.1 * (v + 1)) AS p1, x.c IS NOT NULL AS known,
+    coalesce(y.c, 0) AS cy, CASE WHEN g.w2 = ' start' THEN texts ELSE coalesce(hx.c, 0) END AS chx, coalesce(z.c, 0) AS cz, coalesce(hy.c, 0) AS chy
+  FROM g CROSS JOIN s LEFT JOIN c1 x ON x.a = g.w3 LEFT JOIN c1 hx ON hx.a = g.w2 LEFT JOIN c2 y ON y.a = g.w2 AND y.b = g.w3
+    LEFT JOIN c2 hy ON hy.a = g.w1 AND hy.b = g.w2 LEFT JOIN c3 z ON z.a = g.w1 AND z.b = g.w2 AND z.e = g.w3),
+q AS (SELECT *, (cy + k2 * p1) / (chx + k2) AS p2 FROM p, k),
+r AS (
+  SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (known) AS n_known, round(sum(log10(p1)), 6) AS base_score,
+    round(sum(log10(CASE WHEN w1 IS NULL THEN p2 ELSE (cz + k3 * p2) / (chy + k3) END)), 6) AS score
+  FROM q GROUP BY doc_id)
+SELECT doc_id, held AS held_out, n_tokens, n_known, n::BIGINT AS train_tokens, base_score, score FROM d JOIN r USING (doc_id), s
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_vectors": OP1_SQL, "op3_quality_rules": OP3_SQL, "op4_license_scan": OP4_SQL, "op2_mixing": OP2_SQL, "op8_ngram_jaccard": OP8_SQL}
+    return {"op1_near_vectors": OP1_SQL, "op3_quality_rules": OP3_SQL, "op4_license_scan": OP4_SQL, "op2_mixing": OP2_SQL, "op8_ngram_jaccard": OP8_SQL, "op9_lm_scores": OP9_SQL}
