@@ -56,15 +56,3 @@ def chi2_cut(p: float) -> float:
         mid = (low + high) / 2
         low, high = (mid, high) if math.erfc(math.sqrt(mid / 2)) > p else (low, mid)
     return high
-
-
-def g2(a: np.ndarray, b: np.ndarray, n1: float, n0: float) -> np.ndarray:
-    """Log-likelihood ratio of presence in a of n1 positive and b of n0 negative rows."""
-
-    def part(o, e):
-        return np.where(o > 0, o * np.log(np.maximum(o, 1e-12) / np.maximum(e, 1e-12)), 0.0)
-
-    a, b = np.asarray(a, np.float64), np.asarray(b, np.float64)
-    n = n1 + n0
-    r = a + b
-    return 2 * (part(a, r * n1 / n) + part(b, r * n0 / n) + part(n1 - a, (n - r) * n1 / n) + part(n0 - b, (n - r) * n0 / n))

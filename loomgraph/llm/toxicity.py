@@ -1,58 +1,106 @@
-"""Toxicity categories by a classifier chain.
+"""Toxicity by a classifier chain.
 
-Labels say only whether a document is toxic, so the chain's categories are read off them and a lexicon that the labels
-themselves single out: `mention` (toxic, with a lexicon word), `dense` (toxic, with lexicon words making up at least
-DENSE of its words) and `toxic`. The models are linear; each later one also sees the probabilities of the categories
-before it, which in training are out-of-fold predictions.
+The categories are those that labels tell apart, in this order: `junk` (quality 0) and `toxic`. Each has a linear model; a
+later one also sees the probabilities of the categories before it, which in training are out-of-fold predictions, so that
+it learns how far they can be trusted.
 
-The lexicon holds the words whose presence goes with toxic labels by a likelihood-ratio test that is corrected for the
-number of words tested, so chance words stay out however large the sample."""
+Features are the words, pairs of neighbouring words and four-byte runs inside words of the whole text, hashed. A hash value
+counts if it goes with a category by a likelihood-ratio test that is corrected for the number of values tested, so chance
+features stay out however large the sample; what passes counts without a bound on its number. The models see the presence
+of these values, hashed into COLUMNS, and for each category how many of them a text has and their share of its words."""
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from loomgraph.llm.common import as_bytes, claim
-from loomgraph.llm.linear import chi2_cut, fit_logistic, g2, predict
+from loomgraph.llm.common import as_bytes, claim, mapped, pieces
+from loomgraph.llm.linear import chi2_cut, fit_logistic, predict
 
 #: Labelled documents used to fit, at most.
 MAX_LABELLED = 20_000
-#: Words of the lexicon, at most.
-MAX_WORDS = 256
-#: Share of lexicon words from which a toxic document counts as dense.
-DENSE = 0.02
+#: Hash values of each kind of feature, and columns that those that count are hashed into.
+VALUES, COLUMNS = 1 << 20, 192
+#: Chance that any feature counts that goes with no category.
+LEVEL = 0.01
 FOLDS = 5
-CATEGORIES = ("mention", "dense", "toxic")
+#: The categories of the chain in their order: the label and its value that stand for them.
+CATEGORIES = {"junk": ("quality", 0), "toxic": ("toxic", 1)}
 #: ASCII letters in lower case; digits and bytes beyond ASCII stay; the rest separates words.
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c > 127 else 32 for c in range(256))
+BLANK = bytes(32 if 9 <= c <= 13 else c for c in range(256))
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _hash(h: np.ndarray) -> np.ndarray:
+    return ((h * _SPREAD) >> np.uint64(44)).astype(np.int64)
+
+
+def values(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash values of all features of the texts, the text that each is of, and how many words each text has. Words
+    have values from 0, pairs from VALUES, runs from 2 * VALUES; runs see marks, words do not."""
+    n = len(texts)
+    of = np.repeat(np.arange(n), [len(t or b"") + 1 for t in texts])  # the text of each byte
+    raw = b"".join((t or b"") + b" " for t in texts)
+    b = np.frombuffer(raw.translate(LETTERS), np.uint8)
+    word = np.zeros(len(b) + 2, np.int8)
+    word[1:-1] = b != 32
+    turn = np.diff(word)
+    start, stop = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+    # a word's hash is the difference of running sums, with a multiplier for each place in it
+    owner = of[start]
+    counts = np.bincount(owner, minlength=n)
+    out = []
+    if len(start):
+        size = stop - start
+        letters = b[word[1:-1].view(bool)].astype(np.uint64) + np.uint64(1)
+        at = np.cumsum(size) - size
+        place = np.arange(len(letters)) - np.repeat(at, size)
+        letters *= np.cumprod(np.full(int(size.max()), 0x100000001B3, np.uint64))[place]
+        h = np.add.reduceat(letters, at)
+        out.append((_hash(h), owner))
+        same = np.flatnonzero(owner[1:] == owner[:-1])
+        out.append((VALUES + _hash(h[same] * np.uint64(31) + h[same + 1]), owner[same]))
+    r = np.frombuffer(raw.lower().translate(BLANK), np.uint8).astype(np.uint64)
+    if len(r) > 3:
+        inside = r != 32
+        inside = np.flatnonzero(inside[:-3] & inside[1:-2] & inside[2:-1] & inside[3:])
+        four = r[inside] | r[inside + 1] << np.uint64(8) | r[inside + 2] << np.uint64(16) | r[inside + 3] << np.uint64(24)
+        out.append((2 * VALUES + _hash(four + np.uint64(1)), of[inside]))
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, np.int64), counts
+    return np.concatenate([v for v, _ in out]), np.concatenate([o for _, o in out]), counts
 
 
 @dataclass
 class Chain:
-    words: dict[bytes, int]
-    models: list[np.ndarray]
+    """What counts: `columns` has for each hash value its column, or -1, and `kinds` the categories it goes with, as bits;
+    and one model a category."""
+
+    columns: np.ndarray = field(default_factory=lambda: np.full(3 * VALUES, -1, np.int16))
+    kinds: np.ndarray = field(default_factory=lambda: np.zeros(3 * VALUES, np.uint8))
+    models: list[np.ndarray] = field(default_factory=list)
 
     def features(self, texts: list[bytes | None]) -> np.ndarray:
-        """Presence of each lexicon word, the logarithm of their count, and their share of all words."""
-        x = np.zeros((len(texts), len(self.words) + 2))
-        known = self.words.keys()
-        for i, t in enumerate(texts):
-            if not t:
-                continue
-            all_words = t.translate(LETTERS).split()
-            hits = known & set(all_words)
-            if hits:
-                k = sum(map(all_words.count, hits))
-                for w in hits:
-                    x[i, self.words[w]] = 1
-                x[i, -2:] = np.log1p(k), min(1.0, 10 * k / len(all_words))
+        """Presence of each column; for each category the logarithm of how many of its values a text has, and their share
+        of its words."""
+        k = len(CATEGORIES)
+        x = np.zeros((len(texts), COLUMNS + 2 * k))
+        v, owner, words = values(texts)
+        at = np.flatnonzero(self.columns[v] >= 0)
+        v, owner = v[at], owner[at]
+        x[owner, self.columns[v]] = 1
+        for j in range(k):
+            n = np.bincount(owner[(self.kinds[v] >> j & 1) > 0], minlength=len(texts))
+            x[:, COLUMNS + 2 * j] = np.log1p(n)
+            x[:, COLUMNS + 2 * j + 1] = np.minimum(1.0, 10 * n / np.maximum(words, 1))
         return x
 
     def scores(self, x: np.ndarray) -> np.ndarray:
@@ -62,100 +110,133 @@ class Chain:
         return out
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    claim("toxicity")
-    counts = (Counter(), Counter())
-    for b in batches:
-        for t, y in zip(as_bytes(b.column(0)), b.column(1).to_pylist()):
-            counts[y].update(set(t.translate(LETTERS).split()) if t else ())
-    words = list(counts[0].keys() | counts[1].keys())
-    yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([counts[1][w] for w in words], pa.int64()), pa.array([counts[0][w] for w in words], pa.int64())], ["word", "pos", "neg"])
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
     """(doc_id, text, y) of at most about `bound` labelled documents, chosen by a hash of the id. Ids without a label of 0
     or 1, and null ids, are left out; an id with several labels has the largest."""
     y = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(_bounded(y, bound), "doc_id")
+
+
+def _bounded(y: DataFrame, bound: int) -> DataFrame:
     n = y.count()
     if n > bound:
         y = y.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * bound / n))
-    y = F.broadcast(y) if n * 16 <= 64_000_000 or bound <= 100_000 else y
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(y, "doc_id")
+    return F.broadcast(y) if bound <= 100_000 else y
+
+
+def _flags(labels: DataFrame) -> DataFrame:
+    """(doc_id, y0, y1, ...): 1 or 0 by category, -1 where the label is missing; of several labels the one that stands for
+    the category counts."""
+    by = [F.max(F.when(F.col(c).isin(0, 1), (F.col(c) == v).cast("int"))) if c in labels.columns else F.lit(None).cast("int") for c, v in CATEGORIES.values()]
+    return labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(*(F.coalesce(x, F.lit(-1)).alias(f"y{j}") for j, x in enumerate(by))).filter(" OR ".join(f"y{j} >= 0" for j in range(len(by))))
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each hash value in how many texts it is, by category and label."""
+    claim("toxicity")
+    k = len(CATEGORIES)
+    total = np.zeros((2 * k, 3 * VALUES), np.int32)
+    for b in (x for whole in batches for x in pieces(whole, 0)):
+        v, owner, _ = values(as_bytes(b.column(0)))
+        once = np.unique(owner * (3 * VALUES) + v)
+        v, owner = once % (3 * VALUES), once // (3 * VALUES)
+        for j in range(k):
+            y = b.column(1 + j).to_numpy(zero_copy_only=False)[owner]
+            for label in (0, 1):
+                total[2 * j + label] += np.bincount(v[y == label], minlength=3 * VALUES).astype(np.int32)
+    hit = np.flatnonzero(total.any(0))
+    for at in range(0, len(hit), 100_000):
+        h = hit[at : at + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(h), *(pa.array(total[c, h]) for c in range(2 * k))], ["value", *_COUNTS])
+
+
+_COUNTS = [f"{c}{j}" for j in range(len(CATEGORIES)) for c in ("neg", "pos")]
+
+
+def _g2(a: Column, b: Column, n1: float, n0: float) -> Column:
+    """Log-likelihood ratio of presence in a of n1 positive and b of n0 negative rows."""
+    n, r = n1 + n0, a + b
+    part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
+    return 2 * (part(a, r * n1 / n) + part(b, r * n0 / n) + part(n1 - a, (n - r) * n1 / n) + part(n0 - b, (n - r) * n0 / n))
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Chain:
-    """Fits the chain on a sample of at most about `bound` labelled documents. Without toxic labels the lexicon is empty and
-    every document scores alike; without labels at all none is toxic."""
-    sample = labelled_sample(docs, labels, "toxic", bound)
-    counts = sample.select("text", "y").mapInArrow(_word_counts, "word binary, pos long, neg long").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    size = sample.groupBy("y").count().collect()
-    n1, n0 = (sum(r["count"] for r in size if r["y"] == v) for v in (1, 0))
-    words: dict[bytes, int] = {}
-    if n1 and n0:
-        kept = counts.filter((F.col("pos") + F.col("neg") >= 3) & (F.col("pos") * n0 > F.col("neg") * n1))
-        tested = max(1, kept.count())
-        top = kept.orderBy(F.col("pos") - F.col("neg") * (n1 / n0), "word", ascending=[False, True]).limit(8 * MAX_WORDS).toPandas()
-        stat = g2(top["pos"].to_numpy(), top["neg"].to_numpy(), n1, n0) if len(top) else np.empty(0)
-        order = [i for i in np.argsort(-stat, kind="stable") if stat[i] > chi2_cut(0.01 / tested)][:MAX_WORDS]
-        words = {bytes(top["word"][i]): j for j, i in enumerate(order)}
-    chain = Chain(words, [])
+    """Fits the chain on a sample of at most about `bound` labelled documents. Without labels of a category its
+    probability is next to none everywhere; without positive ones no feature counts for it."""
+    k = len(CATEGORIES)
+    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(_bounded(_flags(labels), bound), "doc_id")
+    ys = [f"y{j}" for j in range(k)]
+    sizes = sample.agg(*(F.count(F.when(F.col(y) == v, 1)).alias(f"{y}_{v}") for y in ys for v in (0, 1))).first()
+    chain = Chain()
+    counts = mapped(sample.select("text", *ys), _counts, "value long, " + ", ".join(f"{c} int" for c in _COUNTS)).groupBy("value").agg(*(F.sum(c).alias(c) for c in _COUNTS)).filter(" + ".join(_COUNTS) + f" >= {3 * k}")
+    tested = counts.count()
+    cut = chi2_cut(LEVEL / max(1, k * tested))
+    goes = [F.when((F.col(f"pos{j}") * sizes[f"y{j}_0"] > F.col(f"neg{j}") * sizes[f"y{j}_1"]) & (_g2(F.col(f"pos{j}"), F.col(f"neg{j}"), float(sizes[f"y{j}_1"]), float(sizes[f"y{j}_0"])) > cut), 1 << j).otherwise(0) if sizes[f"y{j}_1"] and sizes[f"y{j}_0"] else F.lit(0) for j in range(k)]
+    got = counts.select("value", sum(goes).cast("int").alias("kinds")).filter("kinds > 0").toPandas()  # at most a row a hash value
+    v = got["value"].to_numpy(np.int64)
+    chain.kinds[v] = got["kinds"].to_numpy(np.uint8)
+    chain.columns[v] = _hash(v.astype(np.uint64) + np.uint64(7)) % COLUMNS
+    shared = docs.sparkSession.sparkContext.broadcast(chain)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # documents without a lexicon word are alike: they are only counted
-        blank: Counter = Counter()
+        # documents without any feature that counts are alike: they are only counted
+        claim("toxicity")
+        chain, blank = shared.value, Counter()
         kind = pa.list_(pa.float32())
-        for b in batches:
+        for b in (x for whole in batches for x in pieces(whole, 0)):
             x = chain.features(as_bytes(b.column(0)))
-            y, fold = b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
+            y = np.stack([b.column(1 + j).to_numpy(zero_copy_only=False) for j in range(k + 1)], 1)
             hit = x.any(1)
-            blank.update(zip(y[~hit].tolist(), fold[~hit].tolist()))
-            yield pa.RecordBatch.from_arrays([pa.array(y[hit]), pa.array(fold[hit]), pa.array(np.ones(hit.sum(), np.int64)), pa.array(list(x[hit].astype(np.float32)), kind)], ["y", "fold", "n", "x"])
-        k = list(blank)
-        yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in k], pa.int32()), pa.array([f for _, f in k], pa.int32()), pa.array([blank[i] for i in k], pa.int64()), pa.array([None] * len(k), kind)], ["y", "fold", "n", "x"])
-
-    got = sample.select("text", "y", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold")).mapInArrow(rows, "y int, fold int, n long, x array<float>").toPandas()
-    if not len(got):
-        chain.models += [np.append(np.zeros(len(words) + 2 + j), -20.0) for j in range(len(CATEGORIES))]
-        return chain
-    x = np.zeros((len(got), len(words) + 2))
-    for i, v in enumerate(got["x"]):
-        if v is not None:
-            x[i] = v
-    y, fold, weight = got["y"].to_numpy(np.int64), got["fold"].to_numpy(), got["n"].to_numpy(np.float64)
-    hit = x[:, :-2].any(1)
-    targets = {"mention": (y == 1) & hit, "dense": (y == 1) & (x[:, -1] >= 10 * DENSE), "toxic": y == 1}
-    before = np.zeros((len(y), 0))
-    for name in CATEGORIES:
-        t, z = targets[name].astype(float), np.hstack([x, before])
-        oof = np.zeros(len(t))
-        for k in range(FOLDS):
-            out = fold == k
-            if out.any():
-                oof[out] = predict(fit_logistic(z[~out], t[~out], weight[~out], l2=0.05), z[out])
-        chain.models.append(fit_logistic(z, t, weight, l2=0.05))
-        before = np.hstack([before, oof[:, None]])
+            blank.update(map(tuple, y[~hit].tolist()))
+            yield pa.RecordBatch.from_arrays([*(pa.array(y[hit, j]) for j in range(k + 1)), pa.array(np.ones(hit.sum(), np.int64)), pa.array(list(x[hit].astype(np.float32)), kind)], [*ys, "fold", "n", "x"])
+        rest = list(blank)
+        yield pa.RecordBatch.from_arrays([*(pa.array([r[j] for r in rest], pa.int32()) for j in range(k + 1)), pa.array([blank[r] for r in rest], pa.int64()), pa.array([None] * len(rest), kind)], [*ys, "fold", "n", "x"])
+
+    fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold")
+    got = mapped(sample.select("text", *ys, fold), rows, ", ".join(f"{y} int" for y in ys) + ", fold int, n long, x array<float>").toPandas()
+    x = np.zeros((len(got), COLUMNS + 2 * k), np.float32)
+    for i, r in enumerate(got["x"]):
+        if r is not None:
+            x[i] = r
+    fold, weight = got["fold"].to_numpy(), got["n"].to_numpy(np.float64)
+    before = np.zeros((len(got), 0), np.float32)
+    for j in range(k):
+        y = got[f"y{j}"].to_numpy()
+        z = np.hstack([x, before])
+        use = y >= 0
+        if not use.any():
+            chain.models.append(np.append(np.zeros(z.shape[1]), -20.0))
+        else:
+            chain.models.append(fit_logistic(z[use], y[use], weight[use], l2=0.05))
+        oof = predict(chain.models[-1], z)
+        for f in range(FOLDS):
+            rest, out = use & (fold != f), fold == f
+            if rest.any() and out.any():
+                oof[out] = predict(fit_logistic(z[rest], y[rest], weight[rest], l2=0.05), z[out])
+        before = np.hstack([before, oof[:, None].astype(np.float32)])
     return chain
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
-    """docs with p_mention, p_dense, p_toxic (double) added; its own columns of these names are replaced. A null or empty
-    text has no lexicon words, and the scores that go with none."""
-    docs = docs.drop(*(f"p_{c}" for c in CATEGORIES))
-    names = docs.columns
-    at = names.index("text")
-    kinds = [f.dataType for f in docs.schema]
+    """docs with p_junk and p_toxic (double) added; its own columns of these names are replaced. A null or empty text has no
+    features, and the scores that go with none; texts however long are read whole; an empty table gives none."""
+    own = [f"p_{c}" for c in CATEGORIES]
+    docs = docs.drop(*own)
+    at = docs.columns.index("text")
+    shared = docs.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("toxicity")
-        for b in batches:
+        chain = shared.value
+        for b in (x for whole in batches for x in pieces(whole, at)):
             p = chain.scores(chain.features(as_bytes(b.column(at))))
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(np.ascontiguousarray(p[:, j])) for j in range(len(CATEGORIES)))], [*b.schema.names, *(f"p_{c}" for c in CATEGORIES)])
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(np.ascontiguousarray(p[:, j])) for j in range(p.shape[1]))], [*b.schema.names, *own])
 
-    schema = ", ".join([*(f"`{n}` {k.simpleString()}" for n, k in zip(names, kinds)), *(f"p_{c} double" for c in CATEGORIES)])
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, StructType([*docs.schema.fields, *(StructField(c, DoubleType()) for c in own)]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.5, bound: int = MAX_LABELLED) -> DataFrame:
-    """docs with the chain's probabilities and `toxic` (boolean, p_toxic >= cut). docs needs doc_id and text, labels
-    doc_id and toxic; other columns pass through, and a column called toxic is replaced. Repeated rows are scored each."""
-    return score(docs.drop("toxic"), fit(docs, labels, bound)).withColumn("toxic", F.col("p_toxic") >= cut)
+    """docs with the chain's probabilities and `toxic` (boolean, p_toxic > cut, so a tie is not). docs needs doc_id and text,
+    labels doc_id, toxic and quality, of which either may be missing; other columns pass through, and a column called toxic
+    is replaced. Repeated rows are scored each."""
+    return score(docs.drop("toxic"), fit(docs, labels, bound)).withColumn("toxic", F.col("p_toxic") > cut)
