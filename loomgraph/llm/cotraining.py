@@ -1,13 +1,15 @@
 """A quality classifier by co-training.
 
-Two views of a document are each enough to judge it: its content (frequencies of hashed byte pairs, repetition, word
-lengths) and its page metadata (source, language, recorded length, and how its lines are laid out). One linear classifier
-a view starts from the labelled documents; in each round either names the unlabelled documents that it is surest of, and
-the other one learns from them. Both are then calibrated on labelled documents kept out of training, and the mean of
-their calibrated log-odds is the score."""
+Two views of a document: its content (frequencies of hashed byte pairs, repetition, marks, the layout of its lines), which
+is read off the text alone, and its page metadata (source, language, recorded length), for which the text is not read.
+One linear classifier a view starts from the labelled documents; in each round either names the unlabelled documents that
+it is surest of, and the other one learns from them. Both are then calibrated on labelled documents kept out of training.
+As the views share nothing but the class, their calibrated log-odds add up, less the log-odds of the class that both
+contain: that is the score."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -18,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import as_bytes
+from loomgraph.llm.common import as_bytes, claim, mapped, pieces
 from loomgraph.llm.linear import calibrate, fit_logistic, predict
 from loomgraph.llm.toxicity import labelled_sample
 
@@ -27,39 +29,49 @@ MAX_LABELLED, MAX_UNLABELLED = 8_000, 8_000
 ROUNDS = 4
 #: Pseudo-labels that a view gives in a round: this share of the pool, split by class as the labels are, at this confidence.
 SHARE, CONFIDENCE = 0.05, 0.9
-PAIR_BUCKETS, SOURCE_BUCKETS, LANG_BUCKETS = 64, 32, 16
+#: Hash buckets of byte pairs, sources and languages; lengths fall into classes by powers of two.
+PAIR_BITS, SOURCE_BUCKETS, LANG_BUCKETS, LENGTHS = 8, 128, 64, 24
+PAIRS, SHAPES = 1 << PAIR_BITS, 11
+MARKS, CAPITALS = b"#*$%&|<>!", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def content(text: bytes | None) -> np.ndarray:
-    """The content view of a whole text."""
-    out = np.zeros(PAIR_BUCKETS + 5)
+    """The content view of a whole text; zeros for an empty one."""
+    out = np.zeros(PAIRS + SHAPES)
     if not text:
         return out
     b = np.frombuffer(text, np.uint8)
     if len(b) > 1:
-        pair = (b[:-1].astype(np.uint32) * 251 + b[1:]) * np.uint32(2654435761) >> np.uint32(26)
-        out[:PAIR_BUCKETS] = np.sqrt(np.bincount(pair, minlength=PAIR_BUCKETS)[:PAIR_BUCKETS] / (len(b) - 1))
+        pair = (b[:-1].astype(np.uint32) * 251 + b[1:]) * np.uint32(2654435761) >> np.uint32(32 - PAIR_BITS)
+        out[:PAIRS] = np.sqrt(np.bincount(pair, minlength=PAIRS) / (len(b) - 1))
     words = text.split()
-    n = len(words)
+    n, size = len(words), len(text)
+    lines = [x for x in text.split(b"\n") if x]
+    m = max(1, len(lines))
+    stops = sum(x.endswith((b".", b"!", b"?", b":")) for x in lines)
+    marks, upper = (size - len(text.translate(None, x)) for x in (MARKS, CAPITALS))
+    out[PAIRS : PAIRS + 6] = np.log1p(len(lines)), np.log1p(size / m), stops / m, 1 - len(set(lines)) / m, min(1.0, 5 * marks / size), upper / size
     if n:
-        out[PAIR_BUCKETS:] = np.log1p(n), len(set(words)) / n, sum(map(eq, words, words[1:])) / n, np.log1p(len(b) / n), 1.0
+        out[PAIRS + 6 :] = np.log1p(n), len(set(words)) / n, sum(map(eq, words, words[1:])) / n, np.log1p(size / n), 1.0
     return out
 
 
-def metadata(source: str | None, lang: str | None, n_chars: int | None, text: bytes | None) -> np.ndarray:
-    """The metadata view: fields of the page, and the layout of its lines."""
-    out = np.zeros(SOURCE_BUCKETS + LANG_BUCKETS + 7)
-    out[xxhash.xxh3_64_intdigest(source or "") % SOURCE_BUCKETS] = 1
-    out[SOURCE_BUCKETS + xxhash.xxh3_64_intdigest(lang or "") % LANG_BUCKETS] = 1
-    t = text or b""
-    lines = t.split(b"\n")
-    full = [x for x in lines if x]
-    n = max(1, len(full))
-    size = max(1, len(t))
-    stops = sum(x.endswith((b".", b"!", b"?", b":")) for x in full)
-    marks = len(t) - len(t.translate(None, b"#*$%&|<>!"))
-    upper = len(t) - len(t.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-    out[SOURCE_BUCKETS + LANG_BUCKETS :] = np.log1p(max(0, n_chars or 0)), np.log1p(len(lines)), np.log1p(size / n), stops / n, 1 - len(set(full)) / n, min(1.0, 5 * marks / size), upper / size
+def metadata(source: str | None, lang: str | None, n_chars: int | None) -> np.ndarray:
+    """The metadata view: fields of the page, each with a place for null."""
+    out = np.zeros(SOURCE_BUCKETS + LANG_BUCKETS + LENGTHS)
+    out[0 if source is None else 1 + xxhash.xxh3_64_intdigest(source) % (SOURCE_BUCKETS - 1)] = 1
+    out[SOURCE_BUCKETS + (0 if lang is None else 1 + xxhash.xxh3_64_intdigest(lang) % (LANG_BUCKETS - 1))] = 1
+    out[SOURCE_BUCKETS + LANG_BUCKETS + (0 if n_chars is None or n_chars < 0 else 1 + min(LENGTHS - 2, int(n_chars).bit_length()))] = 1
+    return out
+
+
+def held_out(y: np.ndarray, seed: int) -> np.ndarray:
+    """Every fifth row of each class, for calibration only."""
+    out = np.zeros(len(y), bool)
+    rng = np.random.default_rng(seed)
+    for c in (0, 1):
+        at = rng.permutation(np.flatnonzero(y == c))
+        out[at[4::5]] = True
     return out
 
 
@@ -82,9 +94,9 @@ class Scaled:
 
 
 def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], seed: int = 11) -> tuple[Scaled, Scaled]:
-    """Trains both views from labelled rows and a pool; every fifth labelled row is for calibration only."""
-    rng = np.random.default_rng(seed)
-    held = rng.permutation(len(y)) % 5 == 0 if len(y) >= 50 else np.zeros(len(y), bool)
+    """Trains both views from labelled rows and a pool. A view's calibration sees only rows that are held out; a class with
+    fewer than five rows has none, and the models stay as trained."""
+    held = held_out(y, seed)
     mean = [np.vstack([v, u]).mean(0) if len(v) + len(u) else np.zeros(v.shape[1]) for v, u in zip(views, pool)]
     std = [np.maximum(np.vstack([v, u]).std(0), 1e-3) if len(v) + len(u) else np.ones(v.shape[1]) for v, u in zip(views, pool)]
     z = [(v - m) / s for v, m, s in zip(views, mean, std)]
@@ -108,19 +120,24 @@ def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np
                 given[1 - i].update(dict.fromkeys(fresh, label))
         w = [fitted(0), fitted(1)]
     out = [Scaled(m, s, c) for m, s, c in zip(mean, std, w)]
-    on = held if held.any() and 0 < y[held].mean() < 1 else ~held
     for m, v in zip(out, views):
-        if on.any() and 0 < y[on].mean() < 1:
-            m.a, m.b = calibrate(m.raw(v[on]), y[on])
+        if held.any() and 0 < y[held].mean() < 1:
+            m.a, m.b = calibrate(m.raw(v[held]), y[held])
     return out[0], out[1]
 
 
+def _views(c: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both views of the rows, whose text, source, lang and n_chars are the columns from `at` on."""
+    x = [content(t) for t in as_bytes(c.column(at))]
+    m = [metadata(*r) for r in zip(*(c.column(at + i).to_pylist() for i in (1, 2, 3)))]
+    return np.stack(x), np.stack(m)
+
+
 def _view_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("cotraining")
     f = pa.list_(pa.float32())
-    for b in batches:
-        t = as_bytes(b.column(0))
-        x = [content(v).astype(np.float32) for v in t]
-        m = [metadata(s, g, n, v).astype(np.float32) for s, g, n, v in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), t)]
+    for b in (x for whole in batches for x in pieces(whole, 0)):
+        x, m = (list(v.astype(np.float32)) for v in _views(b, 0))
         yield pa.RecordBatch.from_arrays([b.column(4), pa.array(x, f), pa.array(m, f)], ["y", "x", "m"])
 
 
@@ -129,42 +146,44 @@ def _inputs(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", *((F.col(c) if c in docs.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()))
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = MAX_LABELLED, unlabelled: int = MAX_UNLABELLED) -> tuple[Scaled, Scaled]:
-    """Fits both views on bounded samples of the labelled documents and of the others, chosen by hashes."""
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = MAX_LABELLED, unlabelled: int = MAX_UNLABELLED) -> tuple[Scaled, Scaled, float]:
+    """Fits both views, and the log-odds of the labels, on bounded samples of the labelled documents and of the others,
+    chosen by hashes."""
     d = _inputs(docs)
-    y = labelled_sample(d, labels, "quality", labelled).select("doc_id", "y")
+    y = labelled_sample(d, labels, "quality", labelled).select("doc_id", "y").distinct()
     n = d.count()
     share = min(1.0, unlabelled / max(1, n))
     known = d.join(F.broadcast(y), "doc_id")
     ids = labels.select("doc_id").distinct()
     rest = d.filter(F.pmod(F.xxhash64("doc_id", F.lit("pool")), F.lit(1_000_000)) < int(share * 1_000_000)).join(ids, "doc_id", "left_anti").withColumn("y", F.lit(-1))
     cols = ["text", "source", "lang", "n_chars", "y"]
-    got = known.select(*cols).unionByName(rest.select(*cols)).mapInArrow(_view_rows, "y int, x array<float>, m array<float>").toPandas()
-    empty = (np.zeros((0, PAIR_BUCKETS + 5)), np.zeros((0, SOURCE_BUCKETS + LANG_BUCKETS + 7)))
+    got = mapped(known.select(*cols).unionByName(rest.select(*cols)), _view_rows, "y int, x array<float>, m array<float>").toPandas()
+    widths = (PAIRS + SHAPES, SOURCE_BUCKETS + LANG_BUCKETS + LENGTHS)
     part = {}
     for name, rows in (("known", got[got["y"] >= 0]), ("pool", got[got["y"] < 0])):
-        part[name] = tuple(np.vstack(rows[c].to_list()).astype(np.float64) if len(rows) else e for c, e in zip(("x", "m"), empty))
-    return co_train(part["known"], got.loc[got["y"] >= 0, "y"].to_numpy(np.float64), part["pool"])
+        part[name] = tuple(np.vstack(rows[c].to_list()).astype(np.float64) if len(rows) else np.zeros((0, w)) for c, w in zip(("x", "m"), widths))
+    y = got.loc[got["y"] >= 0, "y"].to_numpy(np.float64)
+    del got
+    a, b = co_train(part["known"], y, part["pool"])
+    return a, b, math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.5) -> DataFrame:
     """One row per document: doc_id, p_content, p_metadata (calibrated), score (both views together, 0 to 1) and kept (score
-    >= cut). Null texts and fields are empty ones. Without labels every score is one half and all is kept. Repeated rows
-    are scored each; columns other than doc_id, text, source, lang and n_chars are not read, missing ones are null."""
-    a, b = fit(docs, labels)
+    >= cut, so a tie is kept). Null texts and fields have places of their own. Without labels every score is one half and
+    all is kept. Repeated rows are scored each; an empty table gives none; columns other than doc_id, text, source, lang
+    and n_chars are not read, missing ones are null."""
+    a, b, prior = fit(docs, labels)
     d = _inputs(docs)
     kind = d.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                c = whole.slice(at, 1000)
-                t = as_bytes(c.column(1))
-                x = np.stack([content(v) for v in t])
-                m = np.stack([metadata(s, g, n, v) for s, g, n, v in zip(c.column(2).to_pylist(), c.column(3).to_pylist(), c.column(4).to_pylist(), t)])
-                la, lb = a.logit(x), b.logit(m)
-                p = [1 / (1 + np.exp(-np.clip(z, -40, 40))) for z in (la, lb, (la + lb) / 2)]
-                yield pa.RecordBatch.from_arrays([c.column(0), *map(pa.array, p)], ["doc_id", "p_content", "p_metadata", "score"])
-
-    out = d.mapInArrow(run, f"doc_id {kind}, p_content double, p_metadata double, score double")
+        claim("cotraining")
+        for c in (x for whole in batches for x in pieces(whole, 1)):
+            x, m = _views(c, 1)
+            la, lb = a.logit(x), b.logit(m)
+            p = [1 / (1 + np.exp(-np.clip(z, -40, 40))) for z in (la, lb, la + lb - prior)]
+            yield pa.RecordBatch.from_arrays([c.column(0), *map(pa.array, p)], ["doc_id", "p_content", "p_metadata", "score"])
+
+    out = mapped(d, run, f"doc_id {kind}, p_content double, p_metadata double, score double")
     return out.withColumn("kept", F.col("score") >= cut)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import BROADCAST_ROWS, stored
+from loomgraph.llm.common import BROADCAST_ROWS, mapped, stored
 
 #: False rejection of good documents per stratum, at most, and the level of all tests together.
 ALPHA, DELTA = 0.04, 0.05
@@ -75,7 +75,7 @@ def statistics(docs: DataFrame) -> DataFrame:
             x = np.array([text_stats(t.as_py()) for t in b.column(2)], np.int64).reshape(-1, len(STATS))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(x[:, j])) for j in range(len(STATS)))], ["doc_id", "stratum", *STATS])
 
-    return d.mapInArrow(run, f"doc_id {kind}, stratum string, " + ", ".join(f"{s} long" for s in STATS))
+    return mapped(d, run, f"doc_id {kind}, stratum string, " + ", ".join(f"{s} long" for s in STATS))
 
 
 def base_failed() -> F.Column:
@@ -116,7 +116,7 @@ def thresholds(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
             ok = [x <= risk * n and binomial_tail(x, n, risk) <= level for x, n in zip(b.column(3).to_pylist(), b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(4), pa.array(ok, pa.bool_())], ["stratum", "rule", "cut", "ok"])
 
-    tested = above.select("stratum", "rule", "n", "bad", "cut").mapInArrow(test, "stratum string, rule string, cut int, ok boolean")
+    tested = mapped(above.select("stratum", "rule", "n", "bad", "cut"), test, "stratum string, rule string, cut int, ok boolean")
     return tested.groupBy("stratum").agg(*(F.coalesce(F.min(F.when((F.col("rule") == r) & F.col("ok"), F.col("cut"))), F.lit(GRID)).alias(f"cut_{r}") for r in RULES))
 
 
