@@ -104,10 +104,28 @@ def test_traversal_is_nearest_first():
 # --- 2: mixing
 
 
-def test_targets():
-    assert mixing.targets([10, 10, 80], [5, 2, 1]) == pytest.approx([30, 30, 40])
-    assert mixing.targets([0, 5], [5, 2]) == pytest.approx([0, 5])
-    assert mixing.targets([], []) == []
+def brute_targets(sizes, weights, epochs=3):
+    out, open_, left = [0.0] * len(sizes), set(range(len(sizes))), float(sum(sizes))
+    while open_:
+        unit = left / sum(weights[i] for i in open_)
+        over = [i for i in open_ if unit * weights[i] > epochs * sizes[i]]
+        for i in over or open_:
+            out[i] = float(epochs * sizes[i]) if over else unit * weights[i]
+            left -= out[i]
+        if not over:
+            break
+        open_ -= set(over)
+    return out
+
+
+@pytest.mark.parametrize("sizes", [[10, 10, 80], [0, 5], [1, 900, 3, 40, 7, 0, 2, 60], []])
+def test_targets(spark, sizes):
+    names = ["", "Z", "a", "b", "ß", "\U0001f642", "\uffff", None][: len(sizes)]
+    names = sorted((x for x in names if x is not None), key=lambda x: x.encode()) + [x for x in names if x is None]
+    t = spark.createDataFrame(list(zip(names, sizes)), "source string, source_size long")
+    got = {r["source"]: r["target"] for r in mixing._target_table(t, (5, 2, 1), 3).collect()}
+    want = brute_targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(sizes))])
+    assert [got[x] for x in names] == pytest.approx(want)
 
 
 def test_mix(spark, odd, none):
@@ -177,6 +195,25 @@ def test_scanner_is_exact():
         assert sorted(m[:3] for m in s.matches(words)) == want
 
 
+def test_long_templates_and_long_texts(spark):
+    r = random.Random(6)
+    words = [f"t{r.randrange(260)}" for _ in range(500)]
+    changed = [w if r.random() > 0.05 else "other" for w in words]
+    s = licenses.Scanner({}, {"long": " ".join(words), "short": "so short a notice"})
+    for before in (0, 13, 700, 5000):
+        text = ["x"] * before + changed + ["y"] * 900
+        got = s.matches([w.encode() for w in text])
+        assert {m[0] for m in got} == {"long"} and any(a <= before and b >= before + 500 for _, a, b, _ in got)
+    assert not s.matches([w.encode() for w in words[:300]])
+    began = __import__("time").process_time()
+    many = [b"cc", b"by"] * 500_000
+    assert len(licenses.phrase_places(many)) == 500_000 and licenses.Scanner({}).matches(many) == []
+    assert __import__("time").process_time() - began < 20
+    t = spark.createDataFrame([("l", " ".join(words)), ("l", "another text of it"), (None, "x"), ("n", None)], "label string, text string")
+    docs = table(spark, [(1, " ".join(changed), None, None, 0), (2, "This is another text of it.", None, None, 0), (3, "x", None, None, 0)])
+    assert [g["labels"] for g in rows(licenses.license_scan(docs, t))] == ["l", "l", ""]
+
+
 def test_license_scan(odd, none):
     got = {r["doc_id"]: r for r in rows(licenses.license_scan(odd))}
     assert got[6]["base_labels"] == "cc-by" and got[11]["n_base"] == 2 and got[11]["first_word"] == 0 and got[11]["last_word"] == 3
@@ -196,12 +233,68 @@ def test_toxicity(odd, none, labels, clean):
     assert not any(r["toxic"] for r in toxicity.toxicity(docs, y.limit(0)).collect())
 
 
-def test_chain_uses_earlier_scores():
-    words = {b"a": 0, b"b": 1}
-    c = toxicity.Chain(words, [np.array([3.0, 0, 0, 0, -1]), np.array([0, 0, 0, 0, 4.0, -2])])
-    x = c.features([b"a x", b"", None])
-    s = c.scores(x)
-    assert s[0, 1] == pytest.approx(1 / (1 + math.exp(-(4 * s[0, 0] - 2)))) and (x[1:] == 0).all()
+def brute_values(text):
+    """The features of a text one by one."""
+    import re
+
+    words = re.findall(rb"[a-z0-9\x80-\xff]+", text.lower())
+    runs = [w[i : i + 4] for w in re.findall(rb"[^ \t\n\x0b\x0c\r]+", text.lower()) for i in range(len(w) - 3)]
+    return words, list(zip(words, words[1:])), runs
+
+
+def test_toxicity_values():
+    """Equal features have equal values and others mostly not, whatever texts stand around them."""
+    texts = [b"The cat, the CAT sat!!!!", None, b"", b"a bb ccc dddd \xc3\xa9\xc3\xa9", b"the cat###", b" \n "]
+    v, owner, words = toxicity.values(texts)
+    seen = collections.defaultdict(set)
+    for i, t in enumerate(texts):
+        parts = brute_values(t or b"")
+        got = v[owner == i]
+        for kind, part in enumerate(parts):
+            own = got[(got >= kind * toxicity.VALUES) & (got < (kind + 1) * toxicity.VALUES)]
+            assert len(own) == len(part)
+            for x, y in zip(part, own.tolist()):
+                seen[kind, x].add(y)
+        assert words[i] == len(parts[0])
+    assert all(len(y) == 1 for y in seen.values()) and len({y for ys in seen.values() for y in ys}) == len(seen)
+
+
+def test_chain_uses_earlier_scores(clean):
+    """Against a plain chain: features one by one, tested, and models fitted fold by fold."""
+    docs, y = clean
+    chain = toxicity.fit(docs, y)
+    raw = corpus()
+    sets = [set(toxicity.values([r[1].encode()])[0].tolist()) for r in raw]
+    flags = {"junk": [1 - r[5] for r in raw], "toxic": [r[6] for r in raw]}
+    n = collections.Counter(v for s in sets for v in s)
+    tested = sum(c >= 3 for c in n.values())
+    cut, k = linear.chi2_cut(toxicity.LEVEL / (2 * tested)), 0
+    for j, f in enumerate(flags.values()):
+        n1 = sum(f)
+        pos = collections.Counter(v for s, t in zip(sets, f) if t for v in s)
+        for v in n:
+            a, b = pos[v], n[v] - pos[v]
+            table = [(a, n[v] * n1), (b, n[v] * (300 - n1)), (n1 - a, (300 - n[v]) * n1), (300 - n1 - b, (300 - n[v]) * (300 - n1))]
+            g = 2 * sum(o * math.log(o * 300 / e) for o, e in table if o)
+            want = n[v] >= 3 and a * (300 - n1) > b * n1 and g > cut
+            assert bool(chain.kinds[v] >> j & 1) == want, (v, j)
+            k += want
+    assert k > 4
+    x = chain.features([r[1].encode() for r in raw])
+    p = chain.scores(x)
+    for j in range(2):
+        w = chain.models[j]
+        assert np.allclose(p[:, j], 1 / (1 + np.exp(-np.clip(np.hstack([x, p[:, :j]]) @ w[:-1] + w[-1], -40, 40))))
+    assert len(chain.models[1]) == len(chain.models[0]) + 1
+    assert not chain.features([None, b""]).any()
+
+
+def test_toxicity_tie(spark):
+    """One clean and one toxic document that are alike: one half each, and nothing is rejected."""
+    docs = table(spark, [(i, "the same words", None, None, 0) for i in range(20)])
+    y = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
+    got = toxicity.toxicity(docs, y).collect()
+    assert len(got) == 20 and not any(r["toxic"] for r in got) and all(r["p_junk"] < 1e-6 for r in got)
 
 
 def test_quality_classifier(odd, none, labels, clean):
@@ -267,6 +360,12 @@ def test_encode_table(spark, odd, none):
     assert not spm.encode(none, m).collect()
 
 
+def test_ids_that_are_no_pieces(spark):
+    m = spm.load(tokenizer_path())
+    t = table(spark, [(1, [-1]), (2, [None, 5]), (3, [10**9]), (4, []), (5, None), (6, m.transducer().encode("so it is"))], "doc_id long, ids array<long>")
+    assert [r["text"] for r in rows(spm.decode(t, m))] == [None, None, None, "", None, "so it is"]
+
+
 def test_op7_has_ids_that_decode(spark, tmp_path):
     texts = {1: "the cat sat", 2: "été 🙂 x", 3: "", 4: None}
     table(spark, [(i, t, None, None, None) for i, t in texts.items()]).write.parquet(f"{tmp_path}/documents.parquet")
@@ -278,9 +377,9 @@ def test_op7_has_ids_that_decode(spark, tmp_path):
 
 def test_exact_comes_from_decoding_each_text():
     t = spm.Transducer(spm.load(tokenizer_path()).data)
-    assert t.encode_raw("the cat")[1]
+    assert t.encode_batch(["the cat", "a"])[2] == [True, True]
     t.text[t.encode("the cat")[0]] = b"?"  # the paths are remembered by now
-    assert not t.encode_raw("the cat")[1]
+    assert t.encode_batch(["the cat", "a"])[2] == [False, True]
 
 
 # --- 8: Jaccard
@@ -322,6 +421,29 @@ def test_jaccard(spark, monkeypatch, block):
     assert [(g["n_shingles"], g["n_similar"], g["component_id"]) for g in got] == brute_jaccard(docs)
 
 
+def test_pages_with_a_common_frame_are_parted(spark, monkeypatch):
+    """Pages that share 80 % of a frame collide in signatures; the prefix filter parts them, and true links stay."""
+    monkeypatch.setattr(jaccard, "BLOCK_DOCS", 50)
+    r = random.Random(2)
+    frame, docs = [f"f{i}" for i in range(300)], []
+    for i in range(400):
+        docs.append((i, " ".join(w if r.random() > 0.04 else f"own{i}_{j}" for j, w in enumerate(frame))))
+    docs += [(1000 + i, docs[i][1] + " tail") for i in range(10)]
+    t = table(spark, docs, "doc_id long, text string")
+    seen = []
+    verify = jaccard._narrowed
+    monkeypatch.setattr(jaccard, "_narrowed", lambda d, wide, *a: seen.append((wide.count(), (n := verify(d, wide, *a)).count())) or n)
+    got = rows(jaccard.jaccard_join(t))
+    assert [(g["n_shingles"], g["n_similar"], g["component_id"]) for g in got] == brute_jaccard(docs)
+    assert seen and seen[0][0] > 100 and seen[0][1] < 0.5 * seen[0][0]
+
+
+def test_a_text_held_very_often(spark):
+    docs = [(1, "a b c d e f g")] * 500 + [(2, "a b c d e f g"), (3, " ".join(f"x{i}" for i in range(80))), (4, " ".join(f"x{i}" for i in range(79)))] * 2
+    got = rows(jaccard.jaccard_join(table(spark, docs, "doc_id long, text string")))
+    assert {(g["doc_id"], g["n_similar"], g["component_id"]) for g in got} == {(1, 501, 1), (2, 501, 1), (3, 3, 3), (4, 3, 3)}
+
+
 def test_jaccard_odd(odd, none):
     assert len(jaccard.jaccard_join(odd).collect()) == len(TEXTS) + 2
     assert not jaccard.jaccard_join(none).collect()
@@ -330,55 +452,105 @@ def test_jaccard_odd(odd, none):
 # --- 9: language model
 
 
-def test_lm_brute_force(odd, none):
-    got = rows(lm.lm_scores(odd, block_tokens=500))
-    docs = [(r["doc_id"], (r["text"] or "").encode().lower().split() + [None]) for r in rows(odd)]
-    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
-    c, b, n = collections.Counter(), collections.Counter(), 0
-    for i, w in docs:
-        if not held(i):
-            c.update(w)
-            b.update(zip(["<s>", *w[:-1]], w))
-            n += 1
-    total, known = sum(c.values()), len(c)
-    want = []
-    for i, w in docs:
-        base = score = 0.0
-        for v, x in zip(["<s>", *w[:-1]], w):
-            p = (c[x] + 0.1) / (total + 0.1 * (known + 1))
-            base += math.log10(p)
-            score += math.log10((b[v, x] + lm.PRIOR * p) / ((n if v == "<s>" else c[v]) + lm.PRIOR))
-        want.append((i, len(w), sum(c[x] > 0 for x in w), round(base, 4), round(score, 4)))
-    key = lambda t: (t[0] is None, t)
-    assert sorted(((g["doc_id"], g["n_tokens"], g["n_known"], round(g["base_score"], 4), round(g["score"], 4)) for g in got), key=key) == sorted(want, key=key)
-    assert {g["train_tokens"] for g in got} == {total}
-    assert not lm.lm_scores(none).collect()
+def brute_k(shorter, once):
+    lo, hi = lm.K_RANGE
+    for _ in range(100):
+        k = math.sqrt(lo * hi)
+        if sum(c * k / (c - 1 + k) for c in shorter) < once:
+            lo = k
+        else:
+            hi = k
+    return math.sqrt(lo * hi)
 
 
-@pytest.mark.parametrize("order", [1, 3, 4])
-def test_lm_longer_histories(odd, order):
-    docs = [(r["doc_id"], (r["text"] or "").encode().lower().split() + [None]) for r in rows(odd)]
+def brute_lm(docs, order, prior=None):
+    """docs: (id, words and their end); the recursive definition on plain counts."""
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
     c, n = collections.Counter(), 0
     for i, w in docs:
-        s = ["<s>", *w]
         if not held(i):
+            s = ["<s>", *w]
             c.update(tuple(s[j - k + 1 : j + 1]) for j in range(1, len(s)) for k in range(1, order + 1) if j - k + 1 >= 0)
             n += 1
+    by = {k: [v for g, v in c.items() if len(g) == k] for k in range(1, order + 1)}
+    prior = prior or [brute_k(by[k], by[k + 1].count(1)) for k in range(1, order)]
+    total, known = sum(by[1]), len(by[1])
     c[("<s>",)] = n
-    total, known = sum(v for k, v in c.items() if len(k) == 1) - n, sum(len(k) == 1 for k in c) - 1
-    want = []
+    out = []
     for i, w in docs:
-        s, score = ["<s>", *w], 0.0
+        s, base, score = ["<s>", *w], 0.0, 0.0
         for j in range(1, len(s)):
             p = (c[(s[j],)] + 0.1) / (total + 0.1 * (known + 1))
+            base += math.log10(p)
             for k in range(2, min(order, j + 1) + 1):
-                p = (c[tuple(s[j - k + 1 : j + 1])] + lm.PRIOR * p) / (c[tuple(s[j - k + 1 : j])] + lm.PRIOR)
+                p = (c[tuple(s[j - k + 1 : j + 1])] + prior[k - 2] * p) / (c[tuple(s[j - k + 1 : j])] + prior[k - 2])
             score += math.log10(p)
-        want.append((i, round(score, 4)))
+        out.append((i, held(i), len(w), sum(c[(x,)] > 0 for x in w), total, round(base, 4), round(score, 4)))
+    return out
+
+
+def lm_rows(df):
+    key = lambda t: (t[0] is None, t)
+    return sorted(((g["doc_id"], g["held_out"], g["n_tokens"], g["n_known"], g["train_tokens"], round(g["base_score"], 4), round(g["score"], 4)) for g in df.collect()), key=key)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm_brute_force(odd, none, order, monkeypatch):
+    docs = [(r["doc_id"], (r["text"] or "").encode().lower().split() + [None]) for r in rows(odd)]
     key = lambda t: (t[0] is None, t)
-    got = [(g["doc_id"], round(g["score"], 4)) for g in rows(lm.lm_scores(odd, block_tokens=500, order=order))]
-    assert sorted(got, key=key) == sorted(want, key=key)
+    wide = odd.withColumn("score", F.lit("x")).withColumn("bucket", F.lit(-1)).withColumn("train_tokens", F.lit(0))
+    assert lm_rows(lm.lm_scores(wide, block_tokens=500, order=order)) == sorted(brute_lm(docs, order), key=key)
+    if order == 3:
+        monkeypatch.setattr(lm, "BUCKET_ENTRIES", 4000)
+        assert lm_rows(lm.lm_scores(odd, block_tokens=100, order=3, prior=[30.0, 2.0])) == sorted(brute_lm(docs, 3, [30.0, 2.0]), key=key)
+        assert not lm.lm_scores(none).collect()
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_traversal_carries_its_state(order):
+    """The automaton walked word by word in plain Python gives what the traversal from many places at once gives."""
+    rng = np.random.default_rng(order)
+    lengths = np.array([1, 300, 2, 75])
+    tokens = np.minimum(rng.geometric(0.2, lengths.sum()) - 1, 29)
+    words = np.arange(30, dtype=np.uint64) * np.uint64(977)
+    numbers, counts = [tokens], [rng.integers(0, 4, 30).astype(float)]
+    for ends, keys in lm.gram_keys(words, tokens, lengths, order):
+        distinct, at = np.unique(keys, return_inverse=True)
+        numbers.append(np.full(len(tokens), -1))
+        numbers[-1][ends] = at
+        counts.append(rng.integers(0, 3, len(distinct)).astype(float))
+    for m in range(order - 1, 0, -1):  # what is seen has seen parts
+        for i in np.flatnonzero(numbers[m] >= 0):
+            if counts[m][numbers[m][i]]:
+                counts[m - 1][numbers[m - 1][i]] = max(1, counts[m - 1][numbers[m - 1][i]])
+                if m > 1 or i > 0:
+                    counts[m - 1][numbers[m - 1][i - 1]] = max(1, counts[m - 1][numbers[m - 1][i - 1]])
+    start = np.cumsum(lengths) - lengths
+    a = lm.compiled(counts, numbers, start, 3, 100, 20, [5.0, 2.0, 1.0])
+    want = []
+    for s, n in zip(start, lengths):
+        state = 1 if order > 1 else 0
+        for i in range(s, s + n):
+            w, m = 0.0, state
+            while m and not (numbers[m][i] >= 0 and a.arcs[m][numbers[m][i]]):
+                w += a.start_fail if m == 1 and i == s else a.fails[m - 1][numbers[m - 1][i - 1]]
+                m -= 1
+            want.append(w + a.weights[m][numbers[m][i]])
+            state = min(m + 1, order - 1) if m or a.arcs[0][numbers[0][i]] else 0
+    for stride in (1, 7, 64):
+        assert np.allclose(lm.traverse(a, numbers, start, lengths, 3, stride), want)
+    full = np.concatenate([[a.weights[min(order - 1, j)][numbers[min(order - 1, j)][s + j]] if j else a.weights[min(order, 2) - 1][numbers[min(order, 2) - 1][s]] for j in range(n)] for s, n in zip(start, lengths)]) if order < 3 else None
+    assert full is None or np.allclose(full, want)
+
+
+def test_lm_coding():
+    rng = np.random.default_rng(1)
+    for keys in ([], [0], [5, 5 + 2**40], np.sort(rng.integers(7, 2**56, 3000)), np.arange(9, 400)):
+        k = np.array(keys, np.uint64)
+        assert (lm.unpacked(lm.packed(k, 0), 0) == k).all() and (lm.unpacked(lm.packed(k[k >= 5], 5), 5) == k[k >= 5]).all()
+    v = np.array([0, 1, 254, 255, 256, 2**40, 3], np.uint64)
+    assert (lm.grown(lm.shrunk(v)) == v).all() and not len(lm.grown(lm.shrunk(v[:0])))
+    assert (lm.expanded(lm.squeezed(v[:5])) == v[:5].astype(np.int64)).all() and not len(lm.expanded(lm.squeezed(v[:0])))
 
 
 def test_op9_sees_two_words_back(spark, tmp_path):
@@ -412,6 +584,44 @@ def test_forward_backward():
         at += n
 
 
+def test_training_gradient():
+    """Expected minus seen transitions is the derivative of the likelihood summed over all label sequences."""
+    import itertools
+
+    rng = np.random.default_rng(4)
+    k, lengths = 3, [4, 1, 0, 3]
+    p, t, y = rng.normal(size=(8, k)), rng.normal(size=(k, k)), rng.integers(0, k, 8)
+
+    def loss(trans):
+        out, at = 0.0, 0
+        for n in lengths:
+            e, z, gold = p[at : at + n], 0.0, 0.0
+            for path in itertools.product(range(k), repeat=n + 1 if n else 0):  # the label before the first word is hidden
+                s = math.exp(sum(trans[a, b] + e[i, b] for i, (a, b) in enumerate(zip(path, path[1:]))))
+                z += s
+                gold += s if tuple(path[1:]) == tuple(y[at : at + n]) else 0.0
+            out += math.log(z) - math.log(gold) if n else 0.0
+            at += n
+        return out
+
+    g, expected = langid.forward_backward(p, t, np.array(lengths), block=2, moves=True)
+    grad = expected - langid.seen_moves(y, np.array(lengths), t)
+    for a in range(k):
+        for b in range(k):
+            d = np.zeros((k, k))
+            d[a, b] = 1e-5
+            assert (loss(t + d) - loss(t - d)) / 2e-5 == pytest.approx(grad[a, b], abs=1e-5)
+    assert expected.sum() == pytest.approx(8)
+
+
+def test_excerpts_cover_whole_texts():
+    words = [str(i) for i in range(5000)]
+    runs = langid.excerpt(words, 3)
+    flat = [int(x) for r in runs for x in r]
+    assert len(flat) == langid.MAX_WORDS_PER_DOC and flat == sorted(set(flat)) and flat[-1] > 3000
+    assert [x for r in langid.excerpt(words[:50], 1) for x in r] == words[:50] and langid.excerpt([], 1) == []
+
+
 def test_language_id(odd, none, clean):
     docs, _ = clean
     got = rows(langid.language_id(docs.withColumn("score", F.lit(1)).withColumn("lang_pred", F.lit("x")), per_lang=60))
@@ -424,7 +634,7 @@ def test_language_id(odd, none, clean):
 
 
 def test_code_switch():
-    f = langid.train([(" ".join(x[1].split()), x[2]) for x in corpus(80, 2)])
+    f = langid.train([(langid.excerpt(x[1].split(), i), x[2]) for i, x in enumerate(corpus(80, 2))])
     en, de = corpus(2, 9)
     words = en[1].replace("###", "").split()[:40] + de[1].split()[:40]
     g, _, _ = f.marginals([words])
