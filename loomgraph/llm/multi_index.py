@@ -5,31 +5,37 @@ cells; a vector is listed in the cell of its nearest codewords. A search visits
 distances (the multi-sequence order) and compares the vector with those listed there. How many cells it visits is fixed
 beforehand, on pairs of known similarity, as the number that reaches TARGET_RECALL; all vectors are listed and all search.
 
-The codebooks and the number of visits come from a bounded sample. Vectors equal in all components are one class with a
-count. Full cells are compared in blocks by matrix products, and only counts and a spanning forest leave a block. A pair
-that both of its vectors' searches meet is counted once, as each vector knows the cells that the other visits."""
+The codebooks and the number of visits come from a sample that grows with the square root of the table. Neighbouring
+codewords of a half form groups, and pairs of groups regions of the grid: a vector is sent once to each region that its
+search enters, with the cells that it visits there, and not once a cell. Vectors equal in all components are one class
+with a count. Full regions are compared in blocks, cell by cell, by matrix products, and only counts and a spanning forest
+leave a block. A pair that both of its vectors' searches meet is counted once, as each vector knows the cells that the
+other visits."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import connected, groups_of, join_counted, least_labels, small, stored
+from loomgraph.llm.common import claim, connected, groups_of, join_counted, least_labels, mapped, scratch, small, stored
 
-#: Vectors of the sample that the codebooks are fitted on, at most, and codewords of a half, at most.
-SAMPLE, MAX_CODEWORDS = 20_000, 1024
-#: Vectors listed in a cell, about, below the largest codebook.
-PER_CELL = 8
+#: Vectors of the sample that the codebooks are fitted on, at least (or all), and for each codeword.
+SAMPLE, PER_WORD = 20_000, 16
+#: Vectors listed in a cell, about; codewords of a group, about.
+PER_CELL, PER_GROUP = 32, 8
+#: Vectors of one length that are too few for a grid: they share one cell.
+FEW = 256
 #: Share of the pairs at or above the threshold that searches shall meet.
 TARGET_RECALL = 0.99
-#: Vectors of a side of a comparison block, at most.
-BLOCK = 1024
+#: Vectors that search and that are listed in a comparison block, at most.
+BLOCK, LISTED = 1024, 2048
 
 
 def parse(values: list | None) -> np.ndarray | None:
@@ -61,6 +67,13 @@ class Index:
     first: np.ndarray
     second: np.ndarray
     visits: int
+    #: the group of each codeword of either half
+    groups: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.zeros(1, np.int64), np.zeros(1, np.int64)))
+
+    def regions(self, cells: np.ndarray) -> np.ndarray:
+        """The region of each cell."""
+        a, b = self.groups
+        return a[cells // len(self.second)] * (b.max() + 1) + b[cells % len(self.second)]
 
     def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = x.shape[1] // 2
@@ -82,15 +95,24 @@ class Index:
     def rank(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
         """The place (from 0) of the given cell in the traversal of each row."""
         d1, d2 = self.distances(x)
-        total = d1[:, :, None] + d2[:, None, :]
-        own = d1[np.arange(len(x)), cells // len(self.second)] + d2[np.arange(len(x)), cells % len(self.second)]
-        return (total < own[:, None, None] - 1e-12).sum((1, 2))
+        out = np.empty(len(x), np.int64)
+        for i, c in enumerate(cells):
+            own = d1[i, c // len(self.second)] + d2[i, c % len(self.second)] - 1e-12
+            out[i] = np.searchsorted(np.sort(d2[i]), own - d1[i], "left").sum()
+        return out
+
+
+def grouped(words: np.ndarray) -> np.ndarray:
+    """Groups of neighbouring codewords."""
+    c = kmeans(words, max(1, round(len(words) / PER_GROUP)))
+    at = ((c * c).sum(1) - 2 * (words @ c.T)).argmin(1)
+    return np.unique(at, return_inverse=True)[1]
 
 
 def fit(sample: np.ndarray, rows: int, cosine: float, recall: float = TARGET_RECALL, seed: int = 5) -> Index:
     """Codebooks for `rows` vectors, and the visits that meet the share `recall` of pairs at or above the threshold: of
     those in the sample, and of as many made by turning sampled vectors by angles up to the threshold's."""
-    k = int(np.clip(round((rows / PER_CELL) ** 0.5), 1, min(MAX_CODEWORDS, max(1, len(sample) // 4))))
+    k = int(np.clip(round((rows / PER_CELL) ** 0.5), 1, max(1, len(sample) // 4)))
     h = sample.shape[1] // 2
     index = Index(kmeans(sample[:, :h], k), kmeans(sample[:, h:], k), 1)
     rng = np.random.default_rng(seed)
@@ -116,9 +138,15 @@ def fit(sample: np.ndarray, rows: int, cosine: float, recall: float = TARGET_REC
         r = np.sort(np.concatenate(ranks))
         need = max(need, int(r[min(len(r) - 1, int(np.ceil(recall * len(r))) - 1)]) + 1)
     index.visits = need
+    index.groups = grouped(index.first), grouped(index.second)
     return index
 
 
+def sample_size(rows: int) -> int:
+    """Vectors of the sample for a table of so many: it grows as the codebooks do, with the square root."""
+    return max(SAMPLE, int(PER_WORD * (rows / PER_CELL) ** 0.5))
+
+
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         vecs = [parse(v) for v in b.column(1).to_pylist()]
@@ -138,56 +166,120 @@ def _unit_rows(rows: list[bytes], dim: int) -> np.ndarray:
     return unit(np.stack([np.frombuffer(r, np.float32 if len(r) == 4 * dim else np.float64) for r in rows]).astype(np.float64))
 
 
-def _visits(index: Index, dim: int):
+def _parts(dims: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The rows of each vector length, in pieces."""
+    for d in np.unique(dims):
+        rows = np.flatnonzero(dims == d)
+        for low in range(0, len(rows), 500):
+            yield int(d), rows[low : low + 500]
+
+
+def _visits(indexes: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("multi_index")
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
-                cells = index.traverse(_unit_rows(b.column(2).to_pylist(), dim))
-                v = cells.shape[1]
-                row = np.repeat(np.arange(b.num_rows), v)
-                take = pa.array(row)
+            for dim, rows in _parts(whole.column("dim").to_numpy()):
+                index = indexes.value[dim]
+                b = whole.take(pa.array(rows))
+                cells = index.traverse(_unit_rows(b.column("raw").to_pylist(), dim))
+                own = cells[:, 0].copy()
+                cells.sort(1)
+                region = index.regions(cells)
+                order = np.argsort(region, 1, kind="stable")
+                cells, region = np.take_along_axis(cells, order, 1), np.take_along_axis(region, order, 1)
+                regions, parts = [], []
+                for c, r in zip(cells, region):
+                    cut = np.flatnonzero(np.diff(r)) + 1
+                    regions.append(r[np.append(0, cut)])
+                    parts.append([x.astype(np.int32).tobytes() for x in np.split(c, cut)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cells.ravel()), b.column(0).take(take), b.column(1).take(take), b.column(2).take(take), pa.array(cells[row, 0]), pa.array([np.sort(c).tobytes() for c in cells], pa.binary()).take(take)],
-                    ["cell", "row", "m", "raw", "own", "seen"],
+                    [b.column("row"), b.column("dim"), b.column("m"), b.column("raw"), pa.array(own), pa.array(index.regions(own)), pa.array(regions, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.binary()))],
+                    ["row", "dim", "m", "raw", "own", "home", "regions", "cells"],
                 )
 
     return run
 
 
-def _compare(cosine: float, dim: int):
+def _compare(cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups_of(batches, ["cell", "p", "q"]):
-            row, m, own = (g.column(n).to_numpy() for n in ("row", "m", "own"))
-            # of a row that lies in both blocks there are two copies
+        claim("multi_index")
+        for g in groups_of(batches, ["dim", "region", "p", "q"]):
+            g = g.combine_chunks()
             listed = np.flatnonzero(g.column("listed").to_numpy(zero_copy_only=False))
             asks = np.flatnonzero(~g.column("listed").to_numpy(zero_copy_only=False))
             if not len(listed) or not len(asks):
                 continue
-            x = _unit_rows(g.column("raw").to_pylist(), dim)
-            near = (x[asks] @ x[listed].T >= cosine) & (row[asks][:, None] != row[listed][None, :])
-            if not near.any():
+            row, m, own = (g.column(n).to_numpy() for n in ("row", "m", "own"))
+            x = _unit_rows(g.column("raw").to_pylist(), g.column("dim")[0].as_py())
+            seen = [np.frombuffer(c, np.int32) for c in g.column("seen").to_pylist()]
+            # the cells of the block one by one: who is listed there, and who visits
+            visited = np.concatenate([seen[i] for i in asks])
+            who = np.repeat(asks, [len(seen[i]) for i in asks])
+            by = np.argsort(visited, kind="stable")
+            visited, who = visited[by], who[by]
+            there = listed[np.argsort(own[listed], kind="stable")]
+            cells, start = np.unique(own[there], return_index=True)
+            low, high = np.searchsorted(visited, cells, "left"), np.searchsorted(visited, cells, "right")
+            links: list[tuple[np.ndarray, np.ndarray]] = []
+            for c, (s, e) in enumerate(zip(start, [*start[1:], len(there)])):
+                a, l = who[low[c] : high[c]], there[s:e]
+                if not len(a):
+                    continue
+                near = (x[a] @ x[l].T >= cosine) & (row[a][:, None] != row[l][None, :])
+                if near.any():
+                    i, j = np.nonzero(near)
+                    links.append((a[i], l[j]))
+            if not links:
                 continue
+            i, j = (np.concatenate(z) for z in zip(*links))
             # a listed vector whose own search meets the asker's cell counts the pair there
-            raw = g.column("seen")
-            back = near.copy()
-            at_own = own[asks]
-            for j in np.flatnonzero(near.any(0)):
-                back[:, j] &= ~np.isin(at_own, np.frombuffer(raw[int(listed[j])].as_py(), np.int64))
-            links = np.concatenate([near @ m[listed], back.T @ m[asks]]).astype(np.int64)
-            rows, at = np.unique(np.concatenate([row[asks], row[listed]]), return_inverse=True)
+            back = np.ones(len(i), bool)
+            by = np.argsort(j, kind="stable")
+            edge = np.flatnonzero(np.diff(j[by])) + 1
+            for part in np.split(by, edge):
+                back[part] = ~np.isin(own[i[part]], seen[j[part[0]]])
+            rows, at = np.unique(row, return_inverse=True)
+            total = np.bincount(at[i], m[j], len(rows)) + np.bincount(at[j][back], m[i][back], len(rows))
             adj = np.zeros((len(rows), len(rows)), bool)
-            i, j = np.nonzero(near)
-            a, b = at[: len(asks)][i], at[len(asks) :][j]
-            adj[a, b] = adj[b, a] = True
+            adj[at[i], at[j]] = adj[at[j], at[i]] = True
             lab = least_labels(adj)
             hit = adj.any(1)
-            total = np.bincount(at, links, len(rows)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[hit]), pa.array(total[hit]), pa.array(rows[lab][hit])], ["row", "links", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[hit]), pa.array(total[hit].astype(np.int64)), pa.array(rows[lab][hit])], ["row", "links", "label"])
 
     return run
 
 
+def _found(reps: DataFrame, cosine: float, recall: float) -> DataFrame | None:
+    """(row, links, label) of the classes that found others, by blocks; None where no length has two vectors."""
+    spark = reps.sparkSession
+    many = reps.groupBy("dim").count().filter("count > 1")
+    # a length for each row
+    indexes = {(d := r["dim"]): Index(np.zeros((1, d // 2)), np.zeros((1, d - d // 2)), 1) for r in many.select("dim").collect()}
+    for r in many.filter(F.col("count") > FEW).collect():
+        dim, n = r["dim"], r["count"]
+        own, want = reps.filter(F.col("dim") == dim), sample_size(n)
+        picked = own if n <= want else own.filter(F.pmod(F.xxhash64("digest"), F.lit(1_000_000)) < max(1, int(1_000_000 * want / n)))
+        sample = picked.select("raw").orderBy(F.xxhash64("raw")).toPandas()["raw"]
+        indexes[dim] = fit(_unit_rows(list(sample), dim), n, cosine, recall)
+    if not indexes:
+        return None
+    shared = spark.sparkContext.broadcast(indexes)
+    v = reps.select("row", "dim", "m", "raw").join(F.broadcast(many.select("dim")), "dim", "left_semi").select("row", "dim", "m", "raw")
+    v = stored(mapped(v, _visits(shared), "row long, dim int, m long, raw binary, own long, home long, regions array<long>, cells array<binary>"), "visits")
+    sizes = v.select("dim", F.explode("regions").alias("region"), F.col("home")).groupBy("dim", "region").agg(F.count("*").alias("asks"), F.count(F.when(F.col("home") == F.col("region"), 1)).alias("listed"))
+    # regions where nothing or only the asker itself is listed need no comparison
+    sizes = stored(sizes.filter("listed > 0 AND asks > 1").select("dim", "region", F.ceil(F.col("listed") / LISTED).cast("long").alias("nl"), F.ceil(F.col("asks") / BLOCK).cast("long").alias("na")), "regions")
+    n = sizes.count()
+    place = lambda k: F.pmod(F.xxhash64("row"), F.col(k))
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
+    asks = v.select("row", "dim", "m", "raw", "own", F.explode(F.arrays_zip("regions", "cells")).alias("x")).select("row", "dim", "m", "raw", "own", F.col("x.regions").alias("region"), F.col("x.cells").alias("seen"))
+    asks = asks.join(small(sizes, n), ["dim", "region"]).select("dim", "region", every("nl").alias("p"), place("na").alias("q"), F.lit(False).alias("listed"), "row", "m", "raw", "own", "seen")
+    lists = v.withColumnRenamed("home", "region").join(small(sizes, n), ["dim", "region"])
+    lists = lists.select("dim", "region", place("nl").alias("p"), every("na").alias("q"), F.lit(True).alias("listed"), "row", "m", "raw", "own", F.expr("aggregate(cells, X'', (a, c) -> concat(a, c))").alias("seen"))
+    pairs = asks.unionByName(lists).repartition("dim", "region", "p", "q").sortWithinPartitions("dim", "region", "p", "q")
+    return stored(mapped(pairs, _compare(cosine), "row long, links long, label long"), "links")
+
+
 def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = TARGET_RECALL) -> DataFrame:
     """One row per vector: vec_id, n_links (other vectors with a found cosine at or above the threshold), component_id (the
     smallest vec_id reachable by links, itself included), kept (vec_id = component_id).
@@ -197,31 +289,13 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
     gets its component's id, and kept false where that is not null, else true. Other columns are not read."""
     d = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("embedding"))
     kind = d.schema["vec_id"].dataType.simpleString()
-    t = stored(d.mapInArrow(_classes, f"vec_id {kind}, dim int, digest binary, raw binary"), "vec")
+    t = stored(mapped(d, _classes, f"vec_id {kind}, dim int, digest binary, raw binary"), "vec")
     total = t.count()
     reps = t.filter("digest IS NOT NULL").groupBy("dim", "digest").agg(F.first("raw").alias("raw"), F.count("*").alias("m"), F.min("vec_id").alias("vec_id"))
     reps = stored(reps.withColumn("row", F.monotonically_increasing_id()), "reps")
-    found = None
-    for dim, n in ((r["dim"], r["count"]) for r in reps.groupBy("dim").count().orderBy("dim").collect()):
-        if n < 2:
-            continue
-        own = reps.filter(F.col("dim") == dim)
-        want = max(2, min(SAMPLE, 8_000_000 // dim))
-        picked = own if n <= want else own.filter(F.pmod(F.xxhash64("digest"), F.lit(1_000_000)) < max(1, int(1_000_000 * want / n)))
-        sample = picked.select("raw").orderBy(F.xxhash64("raw")).limit(want).toPandas()["raw"]
-        if not len(sample):
-            continue
-        index = fit(_unit_rows(list(sample), dim), n, cosine, recall)
-        seen = own.select("row", "m", "raw").mapInArrow(_visits(index, dim), "cell long, row long, m long, raw binary, own long, seen binary")
-        sizes = own.select("row", "m", "raw").mapInArrow(_cells(index, dim), "cell long, own boolean, n long").groupBy("cell").agg(F.sum(F.when(F.col("own"), F.col("n")).otherwise(0)).alias("listed"), F.sum("n").alias("asks"))
-        # cells where nothing or only the asker itself is listed need no comparison
-        sizes = stored(sizes.filter("listed > 0 AND asks > 1").select("cell", F.ceil(F.col("listed") / BLOCK).cast("long").alias("nl"), F.ceil(F.col("asks") / BLOCK).cast("long").alias("na"), "asks"), "cells")
-        s = seen.join(small(sizes, sizes.count()), "cell")
-        asks = s.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nl") - 1)).alias("p"), F.pmod(F.xxhash64("row"), F.col("na")).alias("q"), F.lit(False).alias("listed"), "row", "m", "raw", "own", F.lit(None).cast("binary").alias("seen"))
-        lists = s.filter("own = cell").select("cell", F.pmod(F.xxhash64("row"), F.col("nl")).alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("na") - 1)).alias("q"), F.lit(True).alias("listed"), "row", "m", "raw", "own", "seen")
-        pairs = asks.unionByName(lists).repartition("cell", "p", "q").sortWithinPartitions("cell", "p", "q")
-        part = stored(pairs.mapInArrow(_compare(cosine, dim), "row long, links long, label long"), "links")
-        found = part if found is None else found.unionByName(part)
+    with scratch() as made:
+        found = _found(reps, cosine, recall)
+        made[:] = [x for x in made if x is not found]
     key = ["dim", "digest"]
     if found is None:
         info = reps.select(*key, "m", (F.col("m") - 1).alias("n_links"), F.col("vec_id").alias("low"))
@@ -236,16 +310,3 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
     whole = join_counted(t.filter("digest IS NOT NULL").select("vec_id", *key), info, key, "m", total).select("vec_id", "n_links", F.coalesce("low", "vec_id").alias("component_id"))
     alone = t.filter("digest IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return whole.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
-
-
-def _cells(index: Index, dim: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
-                cells = index.traverse(_unit_rows(b.column(2).to_pylist(), dim))
-                own, n = np.unique(cells[:, 0], return_counts=True)
-                rest, k = np.unique(cells[:, 1:], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([own, rest])), pa.array([True] * len(own) + [False] * len(rest)), pa.array(np.concatenate([n, k]).astype(np.int64))], ["cell", "own", "n"])
-
-    return run

@@ -84,6 +84,7 @@ def test_near_vectors_brute_force(spark):
 
 def test_near_vectors_blocks(spark, monkeypatch):
     monkeypatch.setattr(multi_index, "BLOCK", 16)
+    monkeypatch.setattr(multi_index, "LISTED", 16)
     rng = np.random.default_rng(1)
     x = np.ones(8) + 0.01 * rng.normal(size=(120, 8))
     got = rows(multi_index.near_vectors(table(spark, [(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")), "vec_id")
@@ -91,6 +92,35 @@ def test_near_vectors_blocks(spark, monkeypatch):
     assert sum(r["n_links"] for r in got) >= 0.9 * 120 * 119 and max(r["n_links"] for r in got) <= 119
 
 
+def test_near_vectors_by_regions(spark, monkeypatch):
+    """Several groups of codewords, blocks and lengths at once, ties at the threshold, repeated and null ids."""
+    for k, v in {"BLOCK": 40, "LISTED": 30, "PER_CELL": 4, "PER_GROUP": 3, "FEW": 50}.items():
+        monkeypatch.setattr(multi_index, k, v)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 12))
+    x[100:220] = x[0] + 0.12 * rng.normal(size=(120, 12))
+    data = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(1000 + i, [1.0, float(i)]) for i in range(30)] + [(5, [float(v) for v in x[5]]), (None, [float(v) for v in x[7]])]
+    data += [(2000, [1.0, 0.0, 0.0]), (2001, [0.9, 0.19**0.5, 0.0]), (2002, [0.0, 0.0, 2.0])]
+    got = multi_index.near_vectors(table(spark, data, "vec_id long, embedding array<double>").withColumn("row", F.lit(0)).withColumn("label", F.lit(1))).collect()
+    v = [multi_index.unit(np.array(e)) for _, e in data]
+    link = np.array([[i != j and len(a) == len(b) and a @ b >= 0.9 for j, b in enumerate(v)] for i, a in enumerate(v)])
+    assert len(got) == len(data) and 0.95 * link.sum() <= sum(r["n_links"] for r in got) <= link.sum()
+    ids = {r["vec_id"]: r for r in got}
+    assert ids[2000]["n_links"] == link[-3].sum() and ids[2002]["n_links"] == 0
+    assert sorted(r["n_links"] for r in got if r["vec_id"] == 5) == [link[5].sum()] * 2
+    assert [(r["component_id"], r["kept"]) for r in got if r["vec_id"] is None] == [(7, False)]
+    assert {r["component_id"] for r in got if r["vec_id"] is not None and 100 <= r["vec_id"] < 220} == {0}
+
+
+def test_rank_is_the_place_in_the_traversal():
+    rng = np.random.default_rng(2)
+    index = multi_index.Index(rng.normal(size=(9, 3)), rng.normal(size=(7, 3)), 63)
+    x = rng.normal(size=(20, 6))
+    cells = index.traverse(x)
+    for k in (0, 5, 62):
+        assert (index.rank(x, cells[:, k]) == k).all()
+
+
 def test_traversal_is_nearest_first():
     rng = np.random.default_rng(2)
     index = multi_index.Index(rng.normal(size=(9, 3)), rng.normal(size=(7, 3)), 20)
