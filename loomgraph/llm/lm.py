@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import as_bytes, claim, groups_of, hashed_words, mapped, mix, pieces, scratch, stored
 
 #: Tokens of a block, about; entries a bucket shall hold, about, and in how many parts it adds them up.
-BLOCK_TOKENS, BUCKET_ENTRIES, PARTS = 1_000_000, 6_000_000, 8
+BLOCK_TOKENS, BUCKET_ENTRIES, PARTS = 1_000_000, 3_000_000, 8
 #: Counts that are told apart when K is fitted; what is seen more often counts as seen endlessly often.
 HIST = 1024
 #: K lies within these.
