@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.plans.storage import stored
+
+#: Labels whose nodes a ranked search looks at.
+SEARCHABLE = ("Function", "Class", "File", "Struct", "Module")
 K1, B = 1.5, 0.75
 PART = r"[A-Z]?[a-z]+|[A-Z]+(?=[A-Z]|$)|[0-9]+"
 
@@ -19,7 +24,8 @@ def tokens(text: Column) -> Column:
     def expand(w: Column) -> Column:
         parts = F.regexp_extract_all(w, F.lit(f"({PART})"), 1)
         more = F.filter(F.transform(parts, F.lower), lambda p: F.length(p) > 1)
-        return F.concat(F.array(F.lower(w)), F.when(F.size(parts) > 1, more).otherwise(F.array().cast("array<string>")))
+        several = F.concat(F.array(F.lower(w)), F.when(F.size(parts) > 1, more).otherwise(F.array().cast("array<string>")))
+        return F.when(w.rlike("[A-Z0-9]"), several).otherwise(F.array(w))  # small letters alone are one part
 
     return F.flatten(F.transform(raw, expand))
 
@@ -35,20 +41,22 @@ def idf(posts: DataFrame, n_docs: int) -> DataFrame:
     return d.withColumn("idf", F.log((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
 
 
+def counted(docs: DataFrame, words: list[str], text: str = "text") -> DataFrame:
+    """(id, dl, tf0, tf1, ...): each document's tokens, and how often it has each of the words. Stored, as totals and scores
+    both need it and the texts are to be cut once; the generator keeps the plan from cutting them once a column."""
+    t = docs.select("id", F.explode(F.array(tokens(F.lower(F.coalesce(text, F.lit("")))))).alias("t"))
+    tf = [(F.size("t") - F.size(F.array_remove("t", w))).alias(f"tf{i}") for i, w in enumerate(words)]
+    return stored(t.select("id", F.size("t").alias("dl"), *tf), "tf")
+
+
 def bm25(docs: DataFrame, query: str, text: str = "text") -> DataFrame:
     """(id, bm25) of the documents with a token of the query; a token said twice counts twice. One scan: each document is
     reduced to its length and its frequencies of the query's tokens, so nothing is shuffled but sums."""
     spark = docs.sparkSession
     q = [r[0] for r in spark.range(1).select(F.explode(tokens(F.lower(F.lit(query))))).collect()]
-    t = docs.select("id", tokens(F.lower(F.coalesce(text, F.lit("")))).alias("t"))
     words = sorted(set(q))
-
-    def count(w: str) -> Column:
-        return F.size(F.filter("t", lambda x: x == F.lit(w)))
-
-    d = t.select("id", F.size("t").alias("dl"), *(count(w).alias(f"tf{i}") for i, w in enumerate(words)))
-    s = d.agg(F.count("*").alias("n"), F.avg("dl").alias("avg"), *(F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(words))))
-    r = s.first()  # one row of totals
+    d = counted(docs, words, text)
+    r = d.agg(F.count("*").alias("n"), F.avg("dl").alias("avg"), *(F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(words)))).first()  # one row of totals
     total = F.lit(0.0)
     for w in q:
         i = words.index(w)
@@ -72,11 +80,26 @@ def relevance(docs: DataFrame, query: str) -> DataFrame:
 def fused(docs: DataFrame, query: str, text: str = "text", weights: tuple[float, float] = (0.7, 0.3)) -> DataFrame:
     """(id, score): both scores, each divided by its maximum, weighted and added, over all documents with either."""
     b, g = bm25(docs, query, text), relevance(docs, query)
-    j = b.join(g, "id", "full")
+    j = stored(b.join(g, "id", "full"), "fused")
     mb, mg = (x or 1.0 for x in j.agg(F.max("bm25"), F.max("graph")).first())
     return j.select("id", F.round(weights[0] * F.coalesce("bm25", F.lit(0.0)) / mb + weights[1] * F.coalesce("graph", F.lit(0.0)) / mg, 4).alias("score"))
 
 
+def ranked(nodes: DataFrame, query: str, label: str | None = None, limit: int = 20, weights: tuple[float, float] = (0.7, 0.3)) -> DataFrame:
+    """(id, score): the best of the nodes with a searchable label, scored among all of these; a label filter comes before
+    the cut. A query without tokens finds nothing. nodes need id and label; of name, file, path, body, message and summary
+    those that they have are searched."""
+    n = nodes.filter(F.col("label").isin(*SEARCHABLE))
+    cols = [c for c in ("name", "file", "path", "body", "message", "summary") if c in nodes.columns]
+    docs = n.withColumn("text", F.concat_ws(" ", *(F.when(F.col(c) != "", F.col(c)) for c in cols)))
+    if not re.search("[a-zA-Z0-9]", query):
+        return docs.select("id", F.lit(0.0).alias("score")).limit(0)
+    found = fused(docs, query, "text", weights)
+    if label is not None:
+        found = found.join(n.filter(F.col("label") == label).select("id").distinct(), "id", "left_semi")
+    return found.orderBy(F.desc("score"), "id").limit(limit)
+
+
 def snippet(text: Column, words: list[str], width: int = 150, stride: int = 20) -> Column:
     """The window, of those that begin every `stride` characters, with the most of the words; the first among equals."""
     n = F.length(text)

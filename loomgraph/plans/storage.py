@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,18 +15,34 @@ BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark) -> str:
-    """The folder that all executors share; one is made where spark.checkpoint.dir is unset, as in tests."""
+    """The folder that all executors share. Where spark.checkpoint.dir is unset, one is made on a single machine, as in
+    tests; on a cluster that is an error."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="loom_shared_")
         spark.conf.set("spark.checkpoint.dir", d)
+        atexit.register(shutil.rmtree, d[7:], ignore_errors=True)
     return d.rstrip("/")
 
 
 def stored(df: DataFrame, name: str = "t") -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/loom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._loom_path = path
+    return out
+
+
+def dropped(*dfs: DataFrame) -> None:
+    """Deletes stored tables that nothing will read again."""
+    for df in dfs:
+        path = getattr(df, "_loom_path", None)
+        if path:
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def small(df: DataFrame) -> DataFrame:
