@@ -209,17 +209,18 @@ class Planner:
             steps = e.select(F.col("src").alias("_s"), F.col("dst").alias(end), edge.alias(rel))
             df = df.join(steps, F.col(left.var)["id"] == F.col("_s")).drop("_s")
             st.rels[rel] = False
-        elif self.distinct_ends and not s.var and not named and s.low == 1:
+        elif s.forward is not None and self.distinct_ends and not s.var and not named and s.low == 1:
             starts = df.select(F.col(left.var)["id"].alias("id")).distinct()
             pairs = closure_pairs(e, starts) if s.high is None else reachable(e, starts, s.high)
             df = df.join(pairs.select(F.col("start").alias("_s"), F.col("end").alias(end)), F.col(left.var)["id"] == F.col("_s")).drop("_s")
         else:
             if s.high is None or s.high > MAX_DEPTH:
                 raise Refused(f"a trail needs an upper bound of at most {MAX_DEPTH}")
-            steps = e.select(F.col("src").alias("_a"), F.col("dst").alias("_b"), edge.alias("_e"))
+            # undirected ones too, where reachability would walk an edge back and forth
             cur = df.withColumn(rel, F.array().cast(e.select(F.array(edge).alias("x")).schema["x"].dataType)).withColumn(end, F.col(left.var)["id"])
             out = cur if s.low == 0 else None
             for d in range(1, s.high + 1):
+                steps = e.select(F.col("src").alias("_a"), F.col("dst").alias("_b"), edge.alias("_e"))  # anew, so that its columns are not those of the step before
                 cur = cur.join(steps, F.col(end) == F.col("_a")).filter(~F.exists(rel, lambda x: _same(x, F.col("_e"), s.forward is None)))
                 cur = cur.withColumn(rel, F.concat(rel, F.array("_e"))).withColumn(end, F.col("_b")).drop("_a", "_b", "_e")
                 if d >= s.low:
