@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.operators.paths import reachable, reverse, trails
+from loomgraph.operators.paths import reachable, reverse, trails, trails_between
+from loomgraph.plans.storage import stored
 
 
 def confidence(sources: str) -> Column:
@@ -64,3 +65,18 @@ def change_risk(functions: DataFrame, calls: DataFrame, files: DataFrame) -> Dat
     n = F.col("sinks_reached")
     level = F.when(F.col("i") & F.col("s"), "CRITICAL").when(F.col("s") | (n > 3), "HIGH").when(F.col("i") | (n > 0), "MEDIUM").otherwise("LOW")
     return x.select("changed_functions", "sinks_reached", level.alias("risk_level"))
+
+
+def taint_paths(functions: DataFrame, calls: DataFrame, depth: int = 5, limit: int = 50) -> DataFrame:
+    """(source_name, start_id, sink_name, end_id, depth, trail): the first `limit` call trails from input sources to dangerous
+    sinks, shortest first. Lengths are worked out one after the other, and none beyond the one that fills the limit."""
+    f = stored(functions.select("id", "name", "is_input_source", "is_dangerous_sink"), "functions")
+    found, n = None, 0
+    for t in trails_between(calls, f.filter("is_input_source = true").select("id"), f.filter("is_dangerous_sink = true").select("id"), depth):
+        t = stored(t.select("start", "end", "depth", F.array_join("nodes", " ").alias("trail")).orderBy("trail").limit(limit), "taint")
+        found = t if found is None else found.unionByName(t)
+        n += t.count()
+        if n >= limit:
+            break
+    j = found.join(f.select(F.col("id").alias("start"), F.col("name").alias("source_name")), "start").join(f.select(F.col("id").alias("end"), F.col("name").alias("sink_name")), "end")
+    return j.select("source_name", F.col("start").alias("start_id"), "sink_name", F.col("end").alias("end_id"), "depth", "trail").orderBy("depth", "trail").limit(limit)

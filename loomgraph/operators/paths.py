@@ -6,10 +6,12 @@ one row a pair or a node and don't grow with the number of paths."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.plans.storage import stored
+from loomgraph.plans.storage import dropped, stored
 
 
 def trails(edges: DataFrame, starts: DataFrame, depth: int, carry: tuple[str, ...] = (), shortest: int = 1) -> DataFrame:
@@ -27,6 +29,25 @@ def trails(edges: DataFrame, starts: DataFrame, depth: int, carry: tuple[str, ..
     return out.filter(F.col("depth") >= shortest).drop("eids")
 
 
+def trails_between(edges: DataFrame, starts: DataFrame, ends: DataFrame, depth: int, carry: tuple[str, ...] = ()) -> Iterator[DataFrame]:
+    """Trails of exactly 1, 2, ... depth edges from starts(id) to ends(id), one table a length, columns as trails(). Before a
+    step is taken it is known how far each node is from the nearest end, so only steps that can still reach one are."""
+    e = edges.select("src", "dst", *carry)
+    far = reachable(reverse(e), ends, depth).groupBy(F.col("end").alias("dst")).agg(F.min("depth").alias("far"))
+    far = stored(far.unionByName(ends.select(F.col("id").alias("dst"), F.lit(0).alias("far"))).groupBy("dst").agg(F.min("far").alias("far")), "far")
+    e = stored(e.join(far, "dst").select("src", "dst", "far", *carry), "edges")
+    eid = F.concat_ws("\u0001", "src", "dst")
+    cur = starts.select(F.col("id").alias("start")).join(e.filter(F.col("far") < depth), F.col("start") == F.col("src")).select(
+        "start", F.col("dst").alias("end"), F.lit(1).alias("depth"), F.array("start", "dst").alias("nodes"), F.array(eid).alias("eids"), *(F.array(c).alias(f"{c}s") for c in carry))
+    for d in range(1, depth + 1):
+        if d > 1:
+            cur = cur.join(e.filter(F.col("far") <= depth - d), F.col("end") == F.col("src")).filter(~F.array_contains("eids", eid)).select(
+                "start", F.col("dst").alias("end"), F.lit(d).alias("depth"), F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("eids", F.array(eid)).alias("eids"),
+                *(F.concat(f"{c}s", F.array(c)).alias(f"{c}s") for c in carry))
+        cur = stored(cur, "trails")
+        yield cur.join(ends.select(F.col("id").alias("end")).distinct(), "end", "left_semi").drop("eids")
+
+
 def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *(c for c in edges.columns if c not in ("src", "dst")))
 
@@ -64,18 +85,21 @@ def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 def bfs(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """(start, id, depth, step): what a queue visits from each start within depth hops, in its order. A node's place is that
-    of the first visited node that leads to it, then the edge's seq, then its id."""
-    e = edges.groupBy("src", "dst").agg(F.min("seq").alias("seq"))
-    cur = stored(starts.select(F.col("id").alias("start"), F.col("id")).distinct().withColumn("depth", F.lit(0)).withColumn("order", F.lit("")), "bfs")
-    e, seen = stored(e, "calls"), cur
+    of the first visited node that leads to it, then the edge's seq (null first), then its id. A level is ordered by the
+    places of the one before, so what a row carries doesn't grow with the depth."""
+    e = stored(edges.groupBy("src", "dst").agg(F.min("seq").alias("seq")), "calls")
+    cur = stored(starts.select(F.col("id").alias("start"), F.col("id")).distinct().select("start", "id", F.lit(0).alias("depth"), F.lit(0).alias("step")), "bfs")
+    seen = cur
     for d in range(1, depth + 1):
-        nxt = cur.join(e, F.col("id") == F.col("src")).select("start", F.col("dst").alias("id"), F.concat("order", F.format_string("%020d%s\u0001", F.coalesce("seq", F.lit(0)), F.col("dst"))).alias("order"))
-        nxt = nxt.groupBy("start", "id").agg(F.min("order").alias("order")).withColumn("depth", F.lit(d))
-        cur = stored(nxt.join(seen.select("start", "id"), ["start", "id"], "left_anti").select(*seen.columns), "bfs")
+        nxt = cur.join(e, F.col("id") == F.col("src")).groupBy("start", F.col("dst").alias("id")).agg(F.min(F.struct("step", "seq", "dst")).alias("place"))
+        nxt = nxt.join(seen.select("start", "id"), ["start", "id"], "left_anti")
+        base = seen.groupBy("start").agg(F.max("step").alias("base"))
+        rank = F.row_number().over(Window.partitionBy("start").orderBy("place"))
+        cur = stored(nxt.join(base, "start").select("start", "id", F.lit(d).alias("depth"), (F.col("base") + rank).cast("int").alias("step")), "bfs")
         if cur.isEmpty():
             break
         seen = seen.unionByName(cur)
-    return seen.withColumn("step", (F.row_number().over(Window.partitionBy("start").orderBy("depth", "order")) - 1).cast("int")).drop("order")
+    return seen
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -83,6 +107,7 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     alternately towards greater and smaller neighbours, in O(log n) rounds."""
     pairs = edges.filter(F.col("src") != F.col("dst")).select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
     cur, mark = stored(pairs.distinct(), "cc"), None
+    last = cur
     while True:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -90,6 +115,8 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         low = big.groupBy("u").agg(F.min("v").alias("m"))
         little = big.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         cur = stored(little.unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "cc")
+        dropped(last)
+        last = cur
         now = tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == mark:
             break
