@@ -40,13 +40,31 @@ def clean_version(v: Column) -> Column:
     return F.trim(F.regexp_replace(F.trim(v), r"^[~^>=<vV!*]+\s*", ""))
 
 
+def version_key(v: Column) -> Column:
+    """A version's numbers as an array, which compares as versions do; what follows a dash or plus sign is left out, and a
+    part that is no number counts as 0."""
+    parts = F.split(F.regexp_replace(clean_version(v), r"[-+].*$", ""), r"\.")
+    key = F.transform(parts, lambda x: F.coalesce(F.regexp_extract(x, r"^\d{1,18}", 0).try_cast("long"), F.lit(0).cast("long")))
+    return F.concat(key, F.array_repeat(F.lit(0).cast("long"), F.greatest(F.lit(0), 6 - F.size(key))))
+
+
+def severity_of(severity: Column, label: Column) -> Column:
+    """The first severity score if there is one, else the label of the database, else UNKNOWN."""
+    return F.coalesce(F.when(severity != "", severity), F.when(label != "", label), F.lit("UNKNOWN"))
+
+
 def vulnerabilities(dependencies: DataFrame, osv: DataFrame) -> DataFrame:
     """(dep, vuln_id, summary, severity, severity_label): dependencies(name, version, source) of a known ecosystem, with a
-    name and a version, that the snapshot osv(vuln_id, ecosystem, package, versions, ...) lists."""
+    name and a version, that the snapshot osv(vuln_id, ecosystem, package, versions, ...) lists, or that lie in one of its
+    ranges (array of introduced and fixed, where it has such a column), fixed itself left out."""
     eco = F.create_map(*(F.lit(x) for kv in OSV_ECOSYSTEM.items() for x in kv))
     d = dependencies.withColumn("version", clean_version(F.col("version"))).withColumn("ecosystem", eco[F.col("source")]).filter("name <> '' AND version <> '' AND ecosystem IS NOT NULL")
-    j = d.join(osv, (d["name"] == osv["package"]) & (d["ecosystem"] == osv["ecosystem"]) & F.array_contains(osv["versions"], d["version"]))
-    return j.select(F.concat(F.lit("dep:"), d["name"]).alias("dep"), "vuln_id", F.substring("summary", 1, 500).alias("summary"), "severity", "severity_label").distinct()
+    d = d.select("name", F.col("version").alias("own_version"), "ecosystem").distinct().withColumn("own_key", version_key(F.col("own_version")))
+    hit = F.coalesce(F.array_contains("versions", F.col("own_version")), F.lit(False))
+    if "ranges" in osv.columns:
+        hit = hit | F.coalesce(F.exists("ranges", lambda r: (F.col("own_key") >= version_key(F.coalesce(r["introduced"], F.lit("0")))) & (r["fixed"].isNull() | (F.col("own_key") < version_key(r["fixed"])))), F.lit(False))
+    j = d.join(osv.withColumnsRenamed({"package": "name"}), ["name", "ecosystem"]).filter(hit)
+    return j.select(F.concat(F.lit("dep:"), "name").alias("dep"), "vuln_id", F.substring("summary", 1, 500).alias("summary"), "severity", "severity_label").distinct()
 
 
 def entry_points(functions: DataFrame, calls: DataFrame) -> DataFrame:

@@ -33,8 +33,9 @@ class Store:
 
     def load(self, repo: str | None = None) -> Graph:
         n, e = self._read("nodes"), self._read("edges")
-        if n is None or e is None:
+        if n is None:
             raise FileNotFoundError(self.path)
+        e = self.spark.createDataFrame([], "src string, dst string, type string, seq long, repo string") if e is None else e
         return Graph(n, e) if repo is None else Graph(n.filter(F.col("repo") == repo), e.filter(F.col("repo") == repo))
 
     def upsert(self, graph: Graph, repo: str) -> None:
@@ -43,11 +44,13 @@ class Store:
         nodes = dedup_nodes(_union(mine(old_n), graph.nodes.drop("repo"), 1)).withColumn("seq", F.col("seq.seq"))
         edges = dedup_edges(_union(mine(old_e), graph.edges.drop("repo"), 1)).withColumn("seq", F.col("seq.seq"))
         edges = Graph(nodes, edges).stored_edges()
+        schema = {}
         for kind, df, by in (("nodes", nodes, "label"), ("edges", edges, "type")):
-            side = f"{self.path}/_next_{kind}"
-            df.withColumn("repo", F.lit(repo)).write.mode("overwrite").partitionBy("repo", by).parquet(side)
+            df = df.withColumn("repo", F.lit(repo))
+            schema[kind] = df.schema
+            df.write.mode("overwrite").partitionBy("repo", by).parquet(f"{self.path}/_next_{kind}")
         for kind, by in (("nodes", "label"), ("edges", "type")):
-            new = self.spark.read.parquet(f"{self.path}/_next_{kind}")
+            new = self.spark.read.schema(schema[kind]).parquet(f"{self.path}/_next_{kind}")
             new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo", by).parquet(f"{self.path}/{kind}")
 
     def clear(self, repo: str) -> None:

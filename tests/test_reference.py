@@ -169,7 +169,7 @@ def tree(tmp_path):
 def test_extract_store_and_verbs(spark, tree, tmp_path):
     g = extract(spark, str(tree))
     labels = {r["name"]: r["n"] for r in g.stats().filter("kind = 'node'").collect()}
-    assert labels["File"] == 2 and labels["Function"] == 2 and labels["Class"] == 1 and labels["Dependency"] == 1 and labels["Annotation"] == 1
+    assert labels["File"] == 2 and labels["Function"] == 4 and labels["Class"] == 1 and labels["Dependency"] == 1 and labels["Annotation"] == 1
     assert "func:src/a.py:helper:8" in {r["id"] for r in g.nodes.collect()}
     s = sinks.Store(spark, str(tmp_path / "store"))
     s.upsert(g, "one")
