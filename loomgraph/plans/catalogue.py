@@ -256,10 +256,7 @@ def change_risk(c):
 @query(f"""WITH RECURSIVE {FN}, {CALLS}, src AS (SELECT id FROM fn WHERE is_input_source), {trail_sql(5, 'calls', 'src')}
 SELECT a.name AS source_name, start_id, b.name AS sink_name, end_id, depth, trail FROM t JOIN fn a ON a.id = start_id JOIN fn b ON b.id = end_id WHERE b.is_dangerous_sink ORDER BY depth, trail LIMIT 50""")
 def taint_paths(c):
-    f = c.functions().select("id", "name", "is_input_source", "is_dangerous_sink")
-    t = paths.trails(c.calls(), f.filter("is_input_source = true"), 5)
-    t = t.join(f.filter("is_dangerous_sink = true").select(F.col("id").alias("end"), F.col("name").alias("sink_name")), "end").join(f.select(F.col("id").alias("start"), F.col("name").alias("source_name")), "start")
-    return t.select("source_name", F.col("start").alias("start_id"), "sink_name", F.col("end").alias("end_id"), "depth", F.array_join("nodes", " ").alias("trail")).orderBy("depth", "trail").limit(50)
+    return impact.taint_paths(c.functions(), c.calls(), 5, 50)
 
 
 @query(f"""WITH RECURSIVE {FN}, {CALLS}, r(id) AS (SELECT id FROM fn WHERE is_input_source UNION SELECT dst FROM r JOIN calls ON src = r.id) SELECT id FROM r""")
@@ -339,7 +336,10 @@ def process_class(c):
     return enrich.classify(enrich.processes(c.functions(), c.calls()), c.functions())
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PROC}, dist AS (SELECT s, id, min(d) AS d FROM r GROUP BY ALL),
+w(s, id, d, o) AS (SELECT id, id, 0, '' FROM en UNION ALL
+  SELECT w.s, e.dst, w.d + 1, min(w.o || lpad(substr(e.dst, 6), 20, '0') || e.dst || chr(1)) FROM w JOIN calls e ON e.src = w.id JOIN dist ON dist.s = w.s AND dist.id = e.dst AND dist.d = w.d + 1 GROUP BY w.s, e.dst, w.d)
+SELECT 'process:' || w.s AS process, w.id, (row_number() OVER (PARTITION BY w.s ORDER BY w.d, w.o) - 1)::INT AS step FROM w JOIN big USING (s)""")
 def process_steps(c):
     return enrich.processes(c.functions(), c.calls())
 
@@ -418,14 +418,6 @@ def nearest_def(c):
     return resolve.nearest(f.select("file", "name", ((F.col("line_start") * 7) % 50).alias("line")).distinct(), f)
 
 
-@query(f"WITH {FN}, {CALLS} SELECT 'funcref:' || name AS id FROM (SELECT DISTINCT name FROM fn) WHERE name NOT IN (SELECT name FROM calls JOIN fn ON id = dst WHERE source IS NULL)")
-def orphan_drop(c):
-    f = c.functions()
-    refs = f.select(F.concat(F.lit("funcref:"), "name").alias("id")).distinct()
-    left = c.calls().filter("source IS NULL").join(f.select(F.col("id").alias("dst"), "name"), "dst").select(F.concat(F.lit("funcref:"), "name").alias("dst"))
-    return resolve.orphans(refs, left)
-
-
 # --- search --------------------------------------------------------------------------------------------------------
 
 QUERY = "the ing 4 src0"
@@ -462,7 +454,9 @@ def fused_search(c):
     return search.fused(c.search_docs(), QUERY)
 
 
-@query()
+@query(r"""WITH d AS (SELECT 'doc:' || doc_id AS id, text, length(text) AS n FROM documents), p AS (SELECT id, text, n, unnest(range(0, greatest(coalesce(n, 0) - 1, 0) + 1, 20)) AS p FROM d),
+k AS (SELECT *, contains(lower(substr(text, p + 1, 150)), 'license')::INT + contains(lower(substr(text, p + 1, 150)), 'thing')::INT AS k FROM p), b AS (SELECT id, any_value(text) AS text, any_value(n) AS n, arg_max(p, coalesce(k, 0) * 1000000000 - p) AS p FROM k GROUP BY id)
+SELECT id, CASE WHEN coalesce(n, 0) = 0 THEN '' ELSE CASE WHEN p > 0 THEN '...' ELSE '' END || regexp_replace(substr(text, p + 1, 150), '^\s+|\s+$', '', 'g') || CASE WHEN p + 150 < n THEN '...' ELSE '' END END AS snippet FROM b""")
 def snippets(c):
     return c.search_docs().select("id", search.snippet(F.col("text"), ["license", "thing"]).alias("snippet"))
 
@@ -520,3 +514,23 @@ def match_reach(c):
 @query(f"WITH {FN}, {CALLS} SELECT f.id, 'file:' || f.file AS file, count(c.dst) AS calls FROM fn f LEFT JOIN calls c ON c.src = f.id GROUP BY f.id, f.file")
 def match_optional(c):
     return match.run(_graph(c), "MATCH (x:File)-[:CONTAINS]->(f:Function) OPTIONAL MATCH (f)-[:CALLS]->(g:Function) RETURN f.id AS id, x.id AS file, count(g) AS calls")
+
+
+# trails that may cross an edge either way, but no edge twice
+_BOTH = f"""{FN}, {CALLS}, far AS (SELECT * FROM calls WHERE source IS NULL), u AS (SELECT src, dst, src || '>' || dst AS e FROM far UNION ALL SELECT dst, src, src || '>' || dst FROM far),
+t AS (SELECT src AS s, dst AS x, [e] AS es, 1 AS depth FROM u), t2 AS (SELECT s, u.dst AS x, 2 AS depth FROM t JOIN u ON u.src = t.x WHERE NOT list_contains(es, u.e))"""
+
+
+def _unknown_calls(c) -> graph.Graph:
+    g = _graph(c)
+    return graph.Graph(g.nodes, g.edges.filter("type = 'CALLS' AND source IS NULL"))
+
+
+@query(f"WITH {_BOTH} SELECT s AS start_id, x AS end_id FROM t UNION SELECT s, x FROM t2")
+def match_undirected(c):
+    return match.run(_unknown_calls(c), "MATCH (a:Function)-[:CALLS*1..2]-(b:Function) RETURN DISTINCT a.id AS start_id, b.id AS end_id")
+
+
+@query(f"WITH {_BOTH} SELECT s AS start_id, x AS end_id, depth FROM t UNION ALL SELECT s, x, depth FROM t2")
+def match_undirected_trails(c):
+    return match.run(_unknown_calls(c), "MATCH p = (a:Function)-[:CALLS*1..2]-(b:Function) RETURN a.id AS start_id, b.id AS end_id, length(p) AS depth")

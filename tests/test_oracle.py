@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from loomgraph.plans import catalogue
+from loomgraph.plans import catalogue_extract as catalogue
 
 DATA = os.environ.get("LOOM_TEST_DATA", "/root/testdata/sf0.001")
 
