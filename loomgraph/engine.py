@@ -14,7 +14,8 @@ from loomgraph.operators.communities import communities
 from loomgraph.operators.graph import Graph, change_set
 from loomgraph.plans import match
 from loomgraph.plans.storage import stored
-from loomgraph.sources import files, history, manifests
+from loomgraph.sources import files, history, manifests, state
+from loomgraph.sources.sinks import Store
 
 TYPES = {"annotation": "Annotation", "class": "Class", "enum": "Enum", "file": "File", "function": "Function", "interface": "Interface", "macro": "Macro", "module": "Module", "struct": "Struct", "typealias": "TypeAlias"}
 
@@ -118,11 +119,7 @@ class Engine:
 
     def schema(self) -> dict[str, DataFrame]:
         """The labels, edge types and property names in use, each as (name)."""
-        n, e = self.graph.nodes, self.graph.edges
-        used = [c for c in n.columns if c not in ("id", "label", "seq")]
-        has = n.agg(*(F.max(F.col(c).isNotNull()).alias(c) for c in used)) if used else None
-        keys = has.select(F.explode(F.array_compact(F.array(*(F.when(F.col(c), F.lit(c)) for c in used)))).alias("name")) if used else n.select(F.col("id").alias("name")).limit(0)
-        return {"labels": n.select(F.col("label").alias("name")).distinct(), "types": e.select(F.col("type").alias("name")).distinct(), "keys": keys}
+        return {k: match.procedure(self.graph, p, "name") for k, p in (("labels", "labels"), ("types", "relationshipTypes"), ("keys", "propertyKeys"))}
 
     def find_vulnerabilities(self, severity: str | None = None, limit: int | None = None) -> DataFrame:
         """(dependency_id, dependency, vulnerability, severity), the severest first; with a severity, of those that hold it."""
@@ -219,6 +216,34 @@ def extract(spark: SparkSession, root: str, changed: DataFrame | None = None, gi
     return graph.deduplicate()
 
 
+def incremental(spark: SparkSession, root: str, store: Store, repo: str, manifest: str, **options) -> str:
+    """Brings a repo of the store up to date with its tree and saves the manifest: `full` without a usable manifest or where
+    history has taken another way, `none` if nothing changed, else `changed`: only changed files are read again, and what
+    they and deleted ones had held goes first."""
+    local = root.split("://")[-1]
+    now = stored(files.manifest(files.source_files(spark, root)), "manifest")
+    head, deps = history.head(local), state.deps_hash(files.scan(spark, root, manifests.SKIP))
+    old = state.load_manifest(spark, manifest)
+    how = "full"
+    if old is not None:
+        c = state.changes(old, now, head, deps)
+        diverged = old.head and head and old.head != head and not history.is_ancestor(local, old.head)
+        if not diverged:
+            how = "changed" if c.any() or old.head != head else "none"
+    if how == "none":
+        return how
+    if how == "full":
+        store.clear(repo)
+        store.upsert(extract(spark, root, **options), repo)
+    else:
+        again, gone = (stored(x, "paths") for x in state.changed_paths(c))
+        if not gone.isEmpty():
+            store.delete_files(repo, gone)
+        store.upsert(extract(spark, root, changed=again, **options), repo)
+    state.save_manifest(now, manifest, head, deps)
+    return how
+
+
 def changed_since(spark: SparkSession, root: str, old_manifest: DataFrame) -> DataFrame:
     """(path, change) of the tree against an earlier manifest(path, hash)."""
     return change_set(old_manifest, files.manifest(files.source_files(spark, root)))

@@ -5,7 +5,7 @@ Each level is a keyed join against a table with one row a key, so no call meets
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 EXTENSIONS = (".py", ".ts", ".js", ".tsx", ".jsx", ".go", ".rs", ".java", ".kt", ".c", ".cpp")
@@ -22,12 +22,27 @@ def by_qualifier(calls: DataFrame, methods: DataFrame) -> DataFrame:
     return calls.join(last, ["qualifier", "callee"]).select("call_id", "target")
 
 
+def closest(points: DataFrame, defs: DataFrame, keys: list[str]) -> DataFrame:
+    """points(<keys>, x, p) with target: of defs(<keys>, at, tie, target) with the same keys the one with `at` nearest to x,
+    the least tie among equals; points without any are left out. Both are sorted together by place and looked up to either
+    side, so a key with many points and many definitions takes their sum and not their product."""
+    one = defs.groupBy(*keys, "at").agg(F.min(F.struct("tie", "target")).alias("d"))
+    none_p, none_d = F.lit(None).cast(points.schema["p"].dataType), F.lit(None).cast(one.select(F.struct("at", "d.tie", "d.target").alias("d")).schema["d"].dataType)
+    both = points.select(*keys, F.col("x").alias("place"), F.lit(1).alias("kind"), "p", none_d.alias("d")).unionByName(one.select(*keys, F.col("at").alias("place"), F.lit(0).alias("kind"), none_p.alias("p"), F.struct("at", "d.tie", "d.target").alias("d")))
+    up = Window.partitionBy(*keys).orderBy("place", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*keys).orderBy(F.desc("place"), "kind").rowsBetween(Window.unboundedPreceding, 0)
+    c = both.withColumn("a", F.last("d", ignorenulls=True).over(up)).withColumn("b", F.last("d", ignorenulls=True).over(down)).filter("kind = 1")
+    found = F.array_min(F.transform(F.array_compact(F.array("a", "b")), lambda d: F.struct(F.abs(d["at"] - F.col("place")), d["tie"], d["target"].alias("target"))))
+    return c.select(*keys, F.col("place").alias("x"), "p", found["target"].alias("target")).filter("target IS NOT NULL")
+
+
 def in_file(calls: DataFrame, functions: DataFrame) -> DataFrame:
     """(call_id, target): the function of that name in the caller's file that begins nearest to the caller; ties go to the
     first defined. calls need caller_file and caller_line."""
-    f = functions.select(F.col("file").alias("caller_file"), F.col("name").alias("callee"), F.col("id").alias("target"), F.col("line_start").alias("line"), "seq")
-    near = F.struct(F.abs(F.coalesce("line", F.lit(0)) - F.coalesce("caller_line", F.lit(0))), F.col("seq"), F.col("target"))
-    return calls.join(f, ["caller_file", "callee"]).groupBy("call_id").agg(F.min_by("target", near).alias("target"))
+    zero = F.lit(0)
+    f = functions.select(F.col("file").alias("caller_file"), F.col("name").alias("callee"), F.coalesce("line_start", zero).cast("long").alias("at"), F.struct("seq", "id").alias("tie"), F.col("id").alias("target"))
+    c = calls.filter("caller_file IS NOT NULL AND callee IS NOT NULL").select("caller_file", "callee", F.coalesce("caller_line", zero).cast("long").alias("x"), F.col("call_id").alias("p"))
+    return closest(c, f, ["caller_file", "callee"]).select(F.col("p").alias("call_id"), "target")
 
 
 def unique_name(calls: DataFrame, functions: DataFrame) -> DataFrame:
@@ -91,18 +106,23 @@ def resolved_edges(calls: DataFrame) -> DataFrame:
 
 
 def enclosing(points: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(point columns, owner): the range(file, start, stop, id) of the point's file that holds its line and begins last."""
-    r = ranges.select("file", "start", "stop", F.col("id").alias("owner"))
-    j = points.join(r, "file").filter(F.col("line").between(F.col("start"), F.col("stop")))
-    best = j.groupBy(*points.columns).agg(F.max_by("owner", F.struct("start", "owner")).alias("owner"))
-    return best
+    """(point columns, owner): the range(file, start, stop, id) of the point's file that holds its line and begins last.
+    Ranges lie in bins as wide as they are, rounded up to a power of two, and so in two at most; a point is looked up in
+    the one bin of each width in use. So a file with many points and ranges costs what lies near each other."""
+    width = F.ceil(F.log2(F.greatest(F.col("stop") - F.col("start") + 1, F.lit(1)))).cast("int")
+    r = ranges.filter("stop >= start").select("file", "start", "stop", F.col("id").alias("owner"), width.alias("width"))
+    widths = [x["width"] for x in r.select("width").distinct().collect()]  # some of 64
+    r = r.withColumn("bin", F.explode(F.expr("sequence(shiftright(start, width), shiftright(stop, width))")))
+    p = points.withColumn("width", F.explode(F.array(*map(F.lit, widths)).cast("array<int>"))).withColumn("bin", F.expr("shiftright(line, width)"))
+    j = p.join(r, ["file", "width", "bin"]).filter(F.col("line").between(F.col("start"), F.col("stop")))
+    return j.groupBy(*points.columns).agg(F.max_by("owner", F.struct("start", "owner")).alias("owner"))
 
 
 def nearest(points: DataFrame, functions: DataFrame) -> DataFrame:
     """(file, name, line, target): the function of the name in the file that begins on line + 1, else nearest to it."""
-    f = functions.select("file", "name", F.col("line_start").alias("at"), F.col("id").alias("target"))
-    d = F.abs(F.col("at") - F.col("line") - 1)
-    return points.join(f, ["file", "name"]).groupBy("file", "name", "line").agg(F.min_by("target", F.struct(d, F.col("target"))).alias("target"))
+    f = functions.select("file", "name", F.col("line_start").cast("long").alias("at"), F.col("id").alias("tie"), F.col("id").alias("target")).filter("at IS NOT NULL")
+    c = points.select("file", "name", (F.col("line") + 1).cast("long").alias("x"), F.col("line").alias("p")).distinct().filter("file IS NOT NULL AND name IS NOT NULL")
+    return closest(c, f, ["file", "name"]).select("file", "name", F.col("p").alias("line"), "target")
 
 
 def index_calls(occurrences: DataFrame, functions: DataFrame) -> DataFrame:

@@ -317,4 +317,14 @@ def ranked_label(c):
     return search.ranked(d.select(F.concat(F.lit("doc:"), "doc_id").alias("id"), label.alias("label"), F.col("source").alias("name"), F.col("text").alias("body")), QUERY, "Class")
 
 
+@query("SELECT unnest(['Cluster', 'Dependency', 'Function', 'Process', 'Vulnerability']) AS label WHERE (SELECT count(*) FROM part) > 0")
+def db_labels(c):
+    return _engine(c).query("CALL db.labels()")
+
+
+@query("SELECT unnest(['AFFECTED_BY', 'BELONGS_TO', 'CALLS', 'PARTICIPATES_IN']) AS kind WHERE (SELECT count(*) FROM part) > 0")
+def db_types(c):
+    return _engine(c).query("CALL db.relationshipTypes() YIELD relationshipType RETURN relationshipType AS kind")
+
+
 __all__ = ["QUERIES", "SQL"]

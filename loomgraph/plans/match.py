@@ -561,6 +561,32 @@ def closure_pairs(edges: DataFrame, starts: DataFrame) -> DataFrame:
         seen = front if seen is None else seen.unionByName(front)
 
 
+PROCEDURES = {"labels": "label", "relationshiptypes": "relationshipType", "propertykeys": "propertyKey"}
+
+
+def procedure(graph: Graph, name: str, column: str | None = None) -> DataFrame:
+    """The labels, edge types or property names in use, in order."""
+    own = PROCEDURES.get(name.lower())
+    if own is None:
+        raise Refused(f"unknown procedure db.{name}")
+    if own == "label":
+        out = graph.nodes.select(F.col("label").alias(own)).distinct()
+    elif own == "relationshipType":
+        out = graph.edges.select(F.col("type").alias(own)).distinct()
+    else:
+        out = None
+        for df, fixed in ((graph.nodes, ("label", "seq")), (graph.edges, ("src", "dst", "type", "seq"))):
+            used = [c for c in df.columns if c not in fixed]
+            has = df.agg(*(F.max(F.col(c).isNotNull()).alias(c) for c in used)) if used else None
+            keys = has.select(F.explode(F.array_compact(F.array(*(F.when(F.col(c), F.lit(c)) for c in used)))).alias(own)) if used else None
+            out = keys if out is None or keys is None else out.unionByName(keys).distinct()
+    return out.orderBy(own).withColumnRenamed(own, column or own)
+
+
 def run(graph: Graph, statement: str, params: dict | None = None) -> DataFrame:
-    """The rows of a statement over graph.nodes(id, label, ...) and graph.edges(src, dst, type, ...)."""
+    """The rows of a statement over graph.nodes(id, label, ...) and graph.edges(src, dst, type, ...), or of a procedure:
+    CALL db.labels(), db.relationshipTypes() or db.propertyKeys(), with a YIELD if wanted."""
+    m = re.fullmatch(r"(?is)\s*CALL\s+db\.(\w+)\s*\(\s*\)\s*(?:YIELD\s+(\w+)\s*)?(?:RETURN\s+(\w+)(?:\s+AS\s+(\w+))?\s*)?;?\s*", statement)
+    if m:
+        return procedure(graph, m[1], m[4] or m[3] or m[2])
     return Planner(graph, statement, params).plan()

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.operators.graph import EDGE_KEY, Graph, dedup_edges, dedup_nodes
+from loomgraph.operators.paths import descendants
+from loomgraph.plans.storage import stored
 
 
 def _union(old: DataFrame | None, new: DataFrame, later: int) -> DataFrame:
@@ -53,11 +55,28 @@ class Store:
             new = self.spark.read.schema(schema[kind]).parquet(f"{self.path}/_next_{kind}")
             new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo", by).parquet(f"{self.path}/{kind}")
 
+    def _delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
     def clear(self, repo: str) -> None:
-        jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for kind in ("nodes", "edges"):
-            p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}/repo={repo}")
-            p.getFileSystem(conf).delete(p, True)
+            self._delete(f"{self.path}/{kind}/repo={repo}")
+
+    def clear_all(self) -> None:
+        for kind in ("nodes", "edges"):
+            self._delete(f"{self.path}/{kind}")
+
+    def delete_files(self, repo: str, files: DataFrame) -> None:
+        """Takes files(path), all that they contain, and the edges of these out of a repo."""
+        g = self.load(repo)
+        inside = g.edges.filter(F.col("type").isin("CONTAINS", "HAS_ANNOTATION"))
+        gone = descendants(inside, files.select(F.concat(F.lit("file:"), "path").alias("id"))).select("id").distinct()
+        nodes = g.nodes.join(gone, "id", "left_anti")
+        edges = g.edges.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
+        left = Graph(stored(nodes, "left"), stored(edges, "left"))
+        self.clear(repo)
+        self.upsert(left, repo)
 
 
 def write_json(graph: Graph, path: str) -> None:

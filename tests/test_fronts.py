@@ -210,3 +210,49 @@ def test_tree(spark, tmp_path):
     assert history.is_ancestor(str(tmp_path), history.head(str(tmp_path))) and history.repo_name("git@host.org:a/b.git") == "b" and history.is_url("https://host.org/a") and not history.is_url("./a")
     f = next(r for r in g.nodes.filter("label = 'File' AND path = 'src/main.py'").collect())
     assert f["churn_count"] == 1
+
+
+def test_manifest_and_incremental(spark, tmp_path):
+    from loomgraph.engine import incremental
+    from loomgraph.sources import state
+
+    src, at = tmp_path / "src", str(tmp_path / "manifest")
+    src.mkdir()
+    (src / "a.py").write_text("def one():\n    return two()\n\ndef two():\n    return 1\n")
+    (src / "b.py").write_text("def three():\n    return 3\n")
+    store = sinks.Store(spark, str(tmp_path / "store"))
+    quick = {"git": False, "clusters": False, "processes": False}
+    assert state.load_manifest(spark, at) is None
+    assert incremental(spark, str(src), store, "r", at, **quick) == "full"
+    assert incremental(spark, str(src), store, "r", at, **quick) == "none"
+    (src / "a.py").write_text("def one():\n    return 1\n")
+    (src / "b.py").unlink()
+    (src / "c.py").write_text("def four():\n    return 4\n")
+    assert incremental(spark, str(src), store, "r", at, **quick) == "changed"
+    assert {r["name"] for r in store.load("r").nodes.filter("label = 'Function'").collect()} == {"one", "four"}
+    (src / "package.json").write_text('{"dependencies": {"x": "1"}}')
+    old = state.load_manifest(spark, at)
+    assert old is not None and state.changes(old, old.files, "", "other").any() and not state.changes(old, old.files).any()
+    store.clear_all()
+    with pytest.raises(FileNotFoundError):
+        store.load()
+
+
+def test_registry_and_cache(tmp_path):
+    from loomgraph.sources.state import Cache, Registry
+
+    at = str(tmp_path / "deep" / "registry.json")
+    r = Registry(at)
+    r.register(str(tmp_path / "one"), languages=["go"], counts={"nodes": 3})
+    assert Registry(at).get("one").languages == ["go"] and Registry(at).find_by_path(str(tmp_path / "one")).name == "one"
+    assert r.unregister("one") and not r.unregister("one") and not Registry(at).all()
+    (tmp_path / "bad.json").write_text("{")
+    assert Registry(str(tmp_path / "bad.json")).all() == []
+    now = [0.0]
+    c = Cache(10, 2, lambda: now[0])
+    for i in range(3):
+        now[0] = i
+        c.put("q", {"a": i}, i)
+    assert c.get("q", {"a": 0}) is None and c.get("q", {"a": 2}) == 2
+    now[0] = 20
+    assert c.get("q", {"a": 2}) is None
