@@ -1,4 +1,4 @@
-"""python -m loomgraph extract|query|search|stats|schema|impact|export|report|skills ... over a stored graph."""
+"""python -m loomgraph extract|query|search|stats|schema|diff|mcp|serve|repos|impact|export|report|skills ... over a stored graph."""
 
 from __future__ import annotations
 
@@ -7,8 +7,9 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.engine import Engine, extract
+from loomgraph.engine import Engine
 from loomgraph.plans.skills import overview
+from loomgraph.serve import Session, http_server, serve_lines
 from loomgraph.sources import sinks
 
 
@@ -23,7 +24,10 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--repo", default="default")
     p.add_argument("--limit", type=int, default=100)
     sub = p.add_subparsers(dest="verb", required=True)
-    sub.add_parser("extract").add_argument("root")
+    p.add_argument("--registry", default="loom_registry.json")
+    e = sub.add_parser("extract")
+    e.add_argument("root")
+    e.add_argument("--incremental", action="store_true")
     sub.add_parser("query").add_argument("statement")
     s = sub.add_parser("search")
     s.add_argument("text")
@@ -39,12 +43,27 @@ def main(argv: list[str] | None = None) -> None:
     x.add_argument("--format", default="json", choices=("json", "csv", "graphml"))
     sub.add_parser("report").add_argument("path")
     sub.add_parser("skills")
+    sub.add_parser("diff").add_argument("root")
+    sub.add_parser("mcp")
+    sub.add_parser("serve").add_argument("--port", type=int, default=8080)
+    sub.add_parser("repos")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("loomgraph").getOrCreate()
     store = sinks.Store(spark, a.store)
+    session = Session(spark, a.store, a.registry, a.repo)
     if a.verb == "extract":
-        store.upsert(extract(spark, a.root), a.repo)
-        return show(store.load(a.repo).stats(), a.limit)
+        print(json.dumps(session.call("extract", {"root": a.root, "name": a.repo, "incremental": a.incremental})))
+        return None
+    if a.verb == "repos":
+        print(json.dumps(session.call("repos")))
+        return None
+    if a.verb == "diff":
+        print(json.dumps(session.diff_summary(a.root)))
+        return None
+    if a.verb == "mcp":
+        return serve_lines(session)
+    if a.verb == "serve":
+        return http_server(session, port=a.port).serve_forever()
     e = Engine(store.load(a.repo))
     if a.verb == "query":
         show(e.query(a.statement), a.limit)

@@ -20,6 +20,11 @@ from loomgraph.sources.sinks import Store
 TYPES = {"annotation": "Annotation", "class": "Class", "enum": "Enum", "file": "File", "function": "Function", "interface": "Interface", "macro": "Macro", "module": "Module", "struct": "Struct", "typealias": "TypeAlias"}
 
 
+def _with(df: DataFrame, column: str, kind: str) -> DataFrame:
+    """df with the column, null where no row ever had it."""
+    return df if column in df.columns else df.withColumn(column, F.lit(None).cast(kind))
+
+
 @dataclass
 class Engine:
     """A graph with the questions that can be asked of it."""
@@ -103,7 +108,7 @@ class Engine:
         return self._largest("Process", "step_count", limit)
 
     def _largest(self, label: str, by: str, limit: int | None) -> DataFrame:
-        n = self.graph.nodes.filter(F.col("label") == label).orderBy(F.desc_nulls_last(by), "id")
+        n = _with(self.graph.nodes, by, "long").filter(F.col("label") == label).orderBy(F.desc_nulls_last(by), "id")
         return n if limit is None else n.limit(limit)
 
     def cluster_members(self, limit: int = 20) -> DataFrame:
@@ -123,7 +128,7 @@ class Engine:
 
     def find_vulnerabilities(self, severity: str | None = None, limit: int | None = None) -> DataFrame:
         """(dependency_id, dependency, vulnerability, severity), the severest first; with a severity, of those that hold it."""
-        n = self.graph.nodes
+        n = _with(self.graph.nodes, "severity", "string")
         e = self.graph.edges.filter("type = 'AFFECTED_BY'").select("src", "dst")
         j = e.join(n.select(F.col("id").alias("src"), F.col("name").alias("dependency")), "src").join(n.filter("label = 'Vulnerability'").select(F.col("id").alias("dst"), "severity"), "dst")
         j = j if severity is None else j.filter(F.upper("severity").contains(severity.upper()))
