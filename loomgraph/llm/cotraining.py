@@ -97,10 +97,13 @@ def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np
     """Trains both views from labelled rows and a pool. A view's calibration sees only rows that are held out; a class with
     fewer than five rows has none, and the models stay as trained."""
     held = held_out(y, seed)
-    mean = [np.vstack([v, u]).mean(0) if len(v) + len(u) else np.zeros(v.shape[1]) for v, u in zip(views, pool)]
-    std = [np.maximum(np.vstack([v, u]).std(0), 1e-3) if len(v) + len(u) else np.ones(v.shape[1]) for v, u in zip(views, pool)]
-    z = [(v - m) / s for v, m, s in zip(views, mean, std)]
-    zp = [(v - m) / s for v, m, s in zip(pool, mean, std)]
+    mean, std = [], []
+    for v, u in zip(views, pool):
+        n = max(1, len(v) + len(u))
+        mean.append((v.sum(0, dtype=np.float64) + u.sum(0, dtype=np.float64)) / n)
+        std.append(np.maximum(np.sqrt((((v - mean[-1]) ** 2).sum(0) + ((u - mean[-1]) ** 2).sum(0)) / n), 1e-3))
+    z = [((v - m) / s).astype(np.float32) for v, m, s in zip(views, mean, std)]
+    zp = [((v - m) / s).astype(np.float32) for v, m, s in zip(pool, mean, std)]
     given: list[dict[int, int]] = [{}, {}]  # pseudo-labels that each view has got from the other
     prior = y[~held].mean() if (~held).any() else 0.5
 
@@ -138,7 +141,7 @@ def _view_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     f = pa.list_(pa.float32())
     for b in (x for whole in batches for x in pieces(whole, 0)):
         x, m = (list(v.astype(np.float32)) for v in _views(b, 0))
-        yield pa.RecordBatch.from_arrays([b.column(4), pa.array(x, f), pa.array(m, f)], ["y", "x", "m"])
+        yield pa.RecordBatch.from_arrays([b.column(4), b.column(5), pa.array(x, f), pa.array(m, f)], ["y", "k", "x", "m"])
 
 
 def _inputs(docs: DataFrame) -> DataFrame:
@@ -156,12 +159,12 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = MAX_LABELLED, unlabe
     known = d.join(F.broadcast(y), "doc_id")
     ids = labels.select("doc_id").distinct()
     rest = d.filter(F.pmod(F.xxhash64("doc_id", F.lit("pool")), F.lit(1_000_000)) < int(share * 1_000_000)).join(ids, "doc_id", "left_anti").withColumn("y", F.lit(-1))
-    cols = ["text", "source", "lang", "n_chars", "y"]
-    got = mapped(known.select(*cols).unionByName(rest.select(*cols)), _view_rows, "y int, x array<float>, m array<float>").toPandas()
+    cols = ["text", "source", "lang", "n_chars", "y", F.xxhash64("doc_id", "text").alias("k")]
+    got = mapped(known.select(*cols).unionByName(rest.select(*cols)), _view_rows, "y int, k long, x array<float>, m array<float>").toPandas().sort_values("k", kind="stable")  # the same order in every run
     widths = (PAIRS + SHAPES, SOURCE_BUCKETS + LANG_BUCKETS + LENGTHS)
     part = {}
     for name, rows in (("known", got[got["y"] >= 0]), ("pool", got[got["y"] < 0])):
-        part[name] = tuple(np.vstack(rows[c].to_list()).astype(np.float64) if len(rows) else np.zeros((0, w)) for c, w in zip(("x", "m"), widths))
+        part[name] = tuple(np.vstack(rows[c].to_list()) if len(rows) else np.zeros((0, w), np.float32) for c, w in zip(("x", "m"), widths))
     y = got.loc[got["y"] >= 0, "y"].to_numpy(np.float64)
     del got
     a, b = co_train(part["known"], y, part["pool"])
