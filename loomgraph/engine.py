@@ -14,7 +14,7 @@ from loomgraph.operators.communities import communities
 from loomgraph.operators.graph import Graph, change_set
 from loomgraph.plans import match
 from loomgraph.plans.storage import stored
-from loomgraph.sources import files, history, manifests, state
+from loomgraph.sources import code_index, files, history, manifests, state
 from loomgraph.sources.sinks import Store
 
 TYPES = {"annotation": "Annotation", "class": "Class", "enum": "Enum", "file": "File", "function": "Function", "interface": "Interface", "macro": "Macro", "module": "Module", "struct": "Struct", "typealias": "TypeAlias"}
@@ -139,7 +139,7 @@ class Engine:
         return self.graph.stats()
 
 
-def calls_of(got: DataFrame) -> tuple[DataFrame, DataFrame]:
+def calls_of(got: DataFrame, index: DataFrame | None = None, covered: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """The CALLS edges of a front end's rows, each resolved by qualifier, file, import or unique name, and the nodes that
     stand for what stays unresolved."""
     order = F.concat_ws("#", "path", F.format_string("%09d", "seq"))
@@ -151,22 +151,31 @@ def calls_of(got: DataFrame) -> tuple[DataFrame, DataFrame]:
     methods = inside.join(functions.select("id", "name", "seq"), "id").select("owner", "name", "id", "seq")
     imports = edges.filter("name = 'IMPORTS'").select(F.substring_index("id", "file:", -1).alias("file"), F.regexp_replace("other", "^module:", "").alias("target"), prop("names").alias("names"), order.alias("seq"))
     done = stored(resolve.resolve(calls, functions, methods, imports, got.select("path").distinct()), "resolved")
-    out = resolve.resolved_edges(done).withColumn("seq", F.concat(F.lit("1#"), "src", F.lit("#"), "dst"))
+    if index is None or not covered:
+        out = resolve.resolved_edges(done)
+    else:
+        ended = functions.join(got.filter("kind = 'node'").select("id", prop("line_end").cast("int").alias("line_end")), "id").withColumn("language", files.language(F.col("file")))
+        sure = resolve.index_calls(code_index.occurrences(index), ended.select("id", "name", "file", "line_start", "line_end"))
+        known = got.sparkSession.createDataFrame([(x,) for x in covered], "language string").join(resolve.languages_of(ended), "language", "left_semi")
+        out = resolve.orchestrate(done, sure, ended, known)
+        done = done.join(ended.select(F.col("id").alias("caller"), "language"), "caller", "left").join(known, "language", "left_anti")
+    out = out.withColumn("seq", F.concat(F.lit("1#"), "src", F.lit("#"), "dst"))
     refs = done.filter("target IS NULL").select(F.concat(F.lit("funcref:"), F.when(F.coalesce("qualifier", F.lit("")) != "", F.concat("qualifier", F.lit("."))).otherwise(""), "callee").alias("id"), F.col("callee").alias("name"))
     return out, refs.distinct().select("id", F.lit("Function").alias("label"), F.concat(F.lit("4#"), "id").alias("seq"), "name")
 
 
-def extract(spark: SparkSession, root: str, changed: DataFrame | None = None, git: bool = True, osv: DataFrame | None = None, clusters: bool = True, processes: bool = True) -> Graph:
+def extract(spark: SparkSession, root: str, changed: DataFrame | None = None, git: bool = True, osv: DataFrame | None = None, clusters: bool = True, processes: bool = True, index: DataFrame | None = None, covered: tuple[str, ...] = ()) -> Graph:
     """The graph of a source tree: files, symbols of all languages with resolved calls and flows, annotations, dependencies,
     history with churn (where the tree is a repository on this machine), advisories of the snapshot osv, security labels,
-    communities of calls and processes. With changed(path), only these files are read."""
+    communities of calls and processes. With changed(path), only these files are read. index(path, content) are compiler
+    index files for the languages `covered`, whose calls then come from there alone."""
     src = files.source_files(spark, root, changed)
     got = stored(fronts.extract(src), "front")
     num = lambda k: F.get_json_object("props", f"$.{k}").cast("int").alias(k)
     word = lambda k: F.get_json_object("props", f"$.{k}").alias(k)
     truth = lambda k: F.get_json_object("props", f"$.{k}").cast("boolean").alias(k)
     symbols = got.filter("kind = 'node'").select("id", F.col("other").alias("label"), F.concat_ws("#", F.lit("1"), "path", F.format_string("%09d", "seq")).alias("seq"), "name", word("file"), word("path"), num("line_start"), num("line_end"), word("params"), word("return_type"), truth("is_exported"), truth("is_abstract"), word("body"), truth("body_truncated"), word("flags"))
-    calls, refs = calls_of(got)
+    calls, refs = calls_of(got, index, covered)
     labelled = enrich.security_labels(symbols.filter("label = 'Function'").unionByName(refs, allowMissingColumns=True))
     f = src.select(F.concat(F.lit("file:"), "path").alias("id"), F.lit("File").alias("label"), F.concat(F.lit("0#"), "path").alias("seq"), F.element_at(F.split("path", "/"), -1).alias("name"), "path", "language", "hash", F.col("size").cast("long").alias("size"))
     notes = annotations(src.select("path", "text"))

@@ -136,6 +136,21 @@ def index_calls(occurrences: DataFrame, functions: DataFrame) -> DataFrame:
     return uses.join(target, "symbol").filter("src <> dst").select("src", "dst").distinct()
 
 
+def orchestrate(calls: DataFrame, index: DataFrame, functions: DataFrame, covered: DataFrame) -> DataFrame:
+    """CALLS edges (src, dst, type, resolved, source) from both ways. calls are resolve()'s rows, index (src, dst) the index's,
+    covered(language) the languages that an index covers. In files of these the index alone counts, and what the levels
+    say, resolved or not, goes; other files keep theirs."""
+    lang = functions.select(F.col("id").alias("src"), "language")
+    own = resolved_edges(calls).join(lang, "src", "left").join(F.broadcast(covered.select("language").distinct()), "language", "left_anti")
+    sure = index.select("src", "dst").distinct().select("src", "dst", F.lit("CALLS").alias("type"), F.lit(True).alias("resolved"), F.lit("scip").alias("source"))
+    return sure.unionByName(own.select(*sure.columns))
+
+
+def languages_of(functions: DataFrame) -> DataFrame:
+    """(language) of the functions, those that are known."""
+    return functions.filter("language IS NOT NULL").select("language").distinct()
+
+
 def orphans(nodes: DataFrame, calls: DataFrame) -> DataFrame:
     """Function references that no call leads to any more."""
     return nodes.filter(F.col("id").startswith("funcref:")).join(calls.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")

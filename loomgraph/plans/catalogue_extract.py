@@ -178,9 +178,9 @@ def resolved_calls(c):
     return resolve.resolved_edges(done).select("src", "dst", "resolved", "source")
 
 
-@query(f"WITH {FN}, {CALLS} SELECT DISTINCT src, dst FROM calls")
-def index_calls(c):
-    """Every function lies on lines of its own; every call is an occurrence inside it of the symbol of the other."""
+def _index(c):
+    """Occurrences and functions: every function lies on lines of its own; every call is an occurrence inside it of the
+    symbol of the other."""
     p = c.table("part").select(F.concat(F.lit("func:"), "p_partkey").alias("id"), F.col("p_name").alias("name"), F.concat_ws("/", "p_type", "p_brand").alias("file"), (F.col("p_partkey") * 10).cast("int").alias("line_start"), F.col("p_partkey").alias("seq"))
     f = p.withColumn("line_end", F.col("line_start") + 8)
     symbol = F.concat(F.lit("pkg "), "file", F.lit("#"), "name", F.lit("@"), "id", F.lit("()."))
@@ -188,7 +188,38 @@ def index_calls(c):
     defs = s.select("file", (F.col("line_start") - 1).alias("line"), "symbol", "name", F.lit(True).alias("is_def"), "seq")
     at = s.select(F.col("id").alias("src"), "file", (F.col("line_start") + 2).alias("line"))
     uses = c.calls().select("src", "dst", "seq").join(at, "src").join(s.select(F.col("id").alias("dst"), "symbol", "name"), "dst").select("file", "line", "symbol", "name", F.lit(False).alias("is_def"), "seq")
-    return resolve.index_calls(defs.unionByName(uses), f)
+    return defs.unionByName(uses), f
+
+
+@query(f"WITH {FN}, {CALLS} SELECT DISTINCT src, dst FROM calls")
+def index_calls(c):
+    return resolve.index_calls(*_index(c))
+
+
+@query(f"""WITH {_TS}, own AS (SELECT call_id, arg_min(t.id, abs(t.line_start - s.line_start)::BIGINT * 100000000 + t.seq) AS target FROM cl JOIN ts s ON s.id = cl.src JOIN ts t ON t.dir = cl.dir AND t.stem = cl.stem AND t.name = callee GROUP BY call_id),
+one AS (SELECT name AS callee, min(id) AS target FROM ts GROUP BY 1 HAVING count(*) = 1),
+x AS (SELECT src, callee, coalesce(own.target, hit.target, one.target) AS target FROM cl LEFT JOIN own USING (call_id) LEFT JOIN hit USING (call_id) LEFT JOIN one USING (callee) WHERE cl.dir NOT IN ('SMALL', 'ECONOMY'))
+SELECT src, coalesce(target, 'funcref:' || callee) AS dst, target IS NOT NULL AS resolved, CASE WHEN target IS NOT NULL THEN 'heuristic' END AS source FROM x
+UNION ALL SELECT DISTINCT src, dst, true, 'scip' FROM calls JOIN ts ON ts.id = src WHERE dir IN ('SMALL', 'ECONOMY')""")
+def orchestrated_calls(c):
+    """An index covers the files of two types; it takes their calls over, and the levels keep the others."""
+    f, calls, imports, files = _modules(c)
+    methods = f.select(F.lit("none").alias("owner"), "name", "id", "seq").limit(0)
+    done = resolve.resolve(calls.drop("caller_file", "caller_line"), f, methods, imports, files)
+    occurrences, g = _index(c)
+    here = F.split("file", "/")[0].isin("SMALL", "ECONOMY")
+    index = resolve.index_calls(occurrences, g).join(g.filter(here).select(F.col("id").alias("src")), "src", "left_semi")
+    spoken = f.select("id", F.split("file", "/")[0].alias("language"))
+    covered = resolve.languages_of(spoken).filter("language IN ('SMALL', 'ECONOMY')")
+    return resolve.orchestrate(done, index, spoken, covered).select("src", "dst", "resolved", "source")
+
+
+@query()
+def call_communities(c):
+    """Greedy modularity over the calls; SQL cannot say it, the tests compare it with the plain method."""
+    from loomgraph.operators.communities import communities
+
+    return communities(c.calls(), c.functions().select("id"))
 
 
 @query(f"WITH {FN}, {CALLS} SELECT DISTINCT 'funcref:' || name || line_start AS id FROM fn WHERE name || line_start NOT IN (SELECT name || line_start FROM calls JOIN fn ON id = dst WHERE source IS NULL)")

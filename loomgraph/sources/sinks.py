@@ -86,6 +86,14 @@ def write_json(graph: Graph, path: str) -> None:
     graph.stats().coalesce(1).write.mode("overwrite").json(f"{path}/stats")
 
 
+def json_document(graph: Graph) -> str:
+    """Nodes, edges and stats as one JSON document, for graphs small enough for a file. Properties without a value are left
+    out; nodes are in order of their id, edges of their ends."""
+    part = lambda df, by: [r[0] for r in df.select(*by, F.to_json(F.struct(*df.columns)).alias("x")).orderBy(*by).select("x").toLocalIterator()]
+    lists = {"nodes": part(graph.nodes, ["id"]), "edges": part(graph.edges, ["src", "dst", "type"]), "stats": part(graph.stats(), ["kind", "name"])}
+    return "{" + ", ".join(f'"{k}": [{", ".join(v)}]' for k, v in lists.items()) + "}"
+
+
 def write_csv(graph: Graph, path: str) -> None:
     """Both tables with a header; the columns are the union of the properties, as text."""
     for kind, df in (("nodes", graph.nodes), ("edges", graph.edges)):
@@ -109,13 +117,21 @@ def write_graphml(graph: Graph, path: str) -> None:
 
 
 def report(graph: Graph, k: int = 20) -> str:
-    """An HTML page of the graph's counts, riskiest functions, sources and sinks."""
+    """An HTML page: counts, riskiest functions, sources, sinks, advisories, clusters and processes."""
+    n = graph.nodes
+    has = lambda *c: set(c) <= set(n.columns)
     tables = {"Counts": graph.stats().orderBy("kind", F.desc("n"), "name")}
-    if "risk_score" in graph.nodes.columns:
-        f = graph.nodes.filter("label = 'Function'")
+    f = n.filter("label = 'Function'")
+    if has("risk_score"):
         tables["High risk"] = f.filter("risk_score > 50").select("name", "file", "risk_score").orderBy(F.desc("risk_score"), "name").limit(k)
         tables["Input sources"] = f.filter("is_input_source = true").select("name", "file").orderBy("file", "name").limit(k)
         tables["Dangerous sinks"] = f.filter("is_dangerous_sink = true").select("name", "file").orderBy("file", "name").limit(k)
+    if has("severity"):
+        v = n.filter("label = 'Vulnerability'").select(F.col("id").alias("dst"), "severity")
+        tables["Advisories"] = graph.edges.filter("type = 'AFFECTED_BY'").join(v, "dst").select("src", "dst", "severity").orderBy(F.desc("severity"), "src").limit(k)
+    for title, label, by in (("Clusters", "Cluster", "size"), ("Processes", "Process", "step_count")):
+        if has(by):
+            tables[title] = n.filter(F.col("label") == label).select("name", by).orderBy(F.desc(by), "name").limit(k)
     html = ["<!doctype html><meta charset='utf-8'><title>Code graph</title>"]
     for title, df in tables.items():
         rows = "".join("<tr>" + "".join(f"<td>{escape(str(v))}</td>" for v in r) + "</tr>" for r in df.collect())
@@ -123,4 +139,4 @@ def report(graph: Graph, k: int = 20) -> str:
     return "\n".join(html)
 
 
-__all__ = ["EDGE_KEY", "Store", "graphml", "report", "write_csv", "write_graphml", "write_json"]
+__all__ = ["EDGE_KEY", "Store", "graphml", "json_document", "report", "write_csv", "write_graphml", "write_json"]

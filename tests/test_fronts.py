@@ -8,6 +8,7 @@ import pytest
 
 from loomgraph.engine import Engine, extract
 from loomgraph.functions import brace_front, fronts
+from loomgraph.plans import skills
 from loomgraph.sources import history, sinks
 
 
@@ -210,6 +211,24 @@ def test_tree(spark, tmp_path):
     assert history.is_ancestor(str(tmp_path), history.head(str(tmp_path))) and history.repo_name("git@host.org:a/b.git") == "b" and history.is_url("https://host.org/a") and not history.is_url("./a")
     f = next(r for r in g.nodes.filter("label = 'File' AND path = 'src/main.py'").collect())
     assert f["churn_count"] == 1
+    assert "twice" in skills.impact_guide(g) and "V-1" in skills.security(g) and all(n.startswith("# cluster:") for n in skills.clusters(g).values())
+    page, doc = sinks.report(g), json.loads(sinks.json_document(g))
+    assert all(f"<h2>{t}</h2>" in page for t in ("Counts", "High risk", "Input sources", "Dangerous sinks", "Advisories", "Clusters", "Processes"))
+    assert len(doc["nodes"]) == len(name) and len(doc["edges"]) == g.edges.count() and doc["stats"]
+
+
+def test_advisory_documents(spark):
+    from loomgraph.sources import advisories
+
+    doc = {"id": "V-9", "summary": "bad", "aliases": ["CVE-1"], "severity": [{"type": "CVSS_V3", "score": "7.5"}], "database_specific": {"severity": "HIGH"},
+           "affected": [{"package": {"ecosystem": "npm", "name": "x"}, "versions": ["1.0"], "ranges": [{"type": "SEMVER", "events": [{"introduced": "2"}, {"fixed": "2.5"}, {"introduced": "3"}]}]}, {"package": {}}]}
+    got = advisories.advisories(spark.createDataFrame([(bytearray(json.dumps(doc).encode()),), (bytearray(b"{"),), (bytearray(b"[]"),), (None,)], "content binary"))
+    d = spark.createDataFrame([("x", v, "package.json") for v in ("1.0", "v2.4.9", "2.5.0", "3.1-rc1", "1.9")], "name string, version string, source string")
+    from loomgraph.operators.enrich import vulnerabilities
+
+    assert [tuple(r) for r in got.select("vuln_id", "package", "severity", "aliases").collect()] == [("V-9", "x", "7.5", "CVE-1")]
+    hit = {v for v in ("1.0", "v2.4.9", "2.5.0", "3.1-rc1", "1.9") if vulnerabilities(d.filter(d["version"] == v), got).count()}
+    assert hit == {"1.0", "v2.4.9", "3.1-rc1"}
 
 
 def test_manifest_and_incremental(spark, tmp_path):
