@@ -21,13 +21,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from loomgraph.llm.common import as_bytes, claim, mapped, pieces
+from loomgraph.llm.common import as_bytes, claim, groups_of, mapped, pieces, stored
 from loomgraph.llm.linear import chi2_cut, fit_logistic, predict
 
 #: Labelled documents used to fit, at most.
 MAX_LABELLED = 20_000
 #: Hash values of each kind of feature, and columns that those that count are hashed into.
 VALUES, COLUMNS = 1 << 20, 192
+#: Counts travel in chunks of so many bits' hash values; values in fewer texts than SEEN are not tested.
+CHUNK_BITS, SEEN = 14, 3
 #: Chance that any feature counts that goes with no category.
 LEVEL = 0.01
 FOLDS = 5
@@ -145,9 +147,21 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for label in (0, 1):
                 total[2 * j + label] += np.bincount(v[y == label], minlength=3 * VALUES).astype(np.int32)
     hit = np.flatnonzero(total.any(0))
-    for at in range(0, len(hit), 100_000):
-        h = hit[at : at + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(h), *(pa.array(total[c, h]) for c in range(2 * k))], ["value", *_COUNTS])
+    for part in np.split(hit, np.flatnonzero(np.diff(hit >> CHUNK_BITS)) + 1):
+        if len(part):
+            yield pa.RecordBatch.from_arrays([pa.array([part[0] >> CHUNK_BITS]), pa.array([(part & ((1 << CHUNK_BITS) - 1)).astype(np.uint16).tobytes()], pa.binary()), pa.array([total[:, part].tobytes()], pa.binary())], ["chunk", "places", "counts"])
+
+
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of all tasks' counts, of hash values that are seen often enough to be tested."""
+    claim("toxicity")
+    k = len(_COUNTS)
+    for g in groups_of(batches, ["chunk"]):
+        total = np.zeros((k, 1 << CHUNK_BITS), np.int64)
+        for places, counts in zip(g.column("places").to_pylist(), g.column("counts").to_pylist()):
+            total[:, np.frombuffer(places, np.uint16)] += np.frombuffer(counts, np.int32).reshape(k, -1)
+        at = np.flatnonzero(total.sum(0) >= SEEN * len(CATEGORIES))
+        yield pa.RecordBatch.from_arrays([pa.array(at + (g.column("chunk")[0].as_py() << CHUNK_BITS)), *(pa.array(total[c, at]) for c in range(k))], ["value", *_COUNTS])
 
 
 _COUNTS = [f"{c}{j}" for j in range(len(CATEGORIES)) for c in ("neg", "pos")]
@@ -168,7 +182,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Chain:
     ys = [f"y{j}" for j in range(k)]
     sizes = sample.agg(*(F.count(F.when(F.col(y) == v, 1)).alias(f"{y}_{v}") for y in ys for v in (0, 1))).first()
     chain = Chain()
-    counts = mapped(sample.select("text", *ys), _counts, "value long, " + ", ".join(f"{c} int" for c in _COUNTS)).groupBy("value").agg(*(F.sum(c).alias(c) for c in _COUNTS)).filter(" + ".join(_COUNTS) + f" >= {3 * k}")
+    chunks = mapped(sample.select("text", *ys), _counts, "chunk long, places binary, counts binary").repartition("chunk").sortWithinPartitions("chunk")
+    counts = stored(mapped(chunks, _totals, "value long, " + ", ".join(f"{c} long" for c in _COUNTS)), "counts")
     tested = counts.count()
     cut = chi2_cut(LEVEL / max(1, k * tested))
     goes = [F.when((F.col(f"pos{j}") * sizes[f"y{j}_0"] > F.col(f"neg{j}") * sizes[f"y{j}_1"]) & (_g2(F.col(f"pos{j}"), F.col(f"neg{j}"), float(sizes[f"y{j}_1"]), float(sizes[f"y{j}_0"])) > cut), 1 << j).otherwise(0) if sizes[f"y{j}_1"] and sizes[f"y{j}_0"] else F.lit(0) for j in range(k)]
