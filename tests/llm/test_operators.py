@@ -680,3 +680,33 @@ def test_every_language_is_learned(spark):
     assert {lang for _, lang in langid.sample_rows(t)} == {*words}
     got = rows(langid.identify(t, langid.train(langid.sample_rows(t))))
     assert np.mean([g["lang_pred"] == g["lang"] for g in got]) > 0.97 and {g["lang_pred"] for g in got} == {*words}
+
+
+# --- all
+
+
+def test_columns_of_clashing_names(spark, odd, labels):
+    """Columns that operators make themselves, already there in the input: the results are those without them."""
+    names = ["size", "score", "kept", "stratum", "n_words", "n_symbols", "matches", "labels", "words", "tokens", "block", "bucket", "held", "ids", "exact", "n_bytes", "y", "x", "m", "p_content", "sigs", "row", "n", "f1", "lang_pred", "p_toxic", "source_size", "target", "copies", "taken", "n_switches", "base_failed"]
+    wide = odd.withColumns({c: F.lit("mine") for c in names})
+    m = spm.load(tokenizer_path())
+    runs = {
+        "mixing": lambda d: mixing.mix(d, ids_only=True), "rules": lambda d: quality_rules.quality_rules(d, labels), "licenses": licenses.license_scan, "quality": lambda d: cotraining.quality_scores(d, labels).drop("score", "p_content"),
+        "pieces": lambda d: spm.encode(d, m), "jaccard": jaccard.jaccard_join, "lm": lm.lm_scores, "language": lambda d: langid.language_id(d).select("doc_id", "lang_pred"), "toxicity": lambda d: toxicity.toxicity(d, labels).select("doc_id", "toxic"),
+    }
+    for name, f in runs.items():
+        a, b = (sorted(map(repr, f(d).collect())) for d in (odd, wide))
+        assert a == b, name
+
+
+def test_very_long_texts(spark, labels):
+    """A text of a million words, and one word of a million letters, beside short ones."""
+    long, word = "the cat sat on 1 mat " * 170_000, "x" * 1_000_000
+    d = table(spark, [(1, long, "en", "a", 1), (2, word, "en", "b", 2), (3, "the cat", "en", "a", 3)])
+    assert [r["n_words"] for r in rows(quality_rules.quality_rules(d, labels))] == [1_020_000, 1, 2]
+    assert [r["n_words"] for r in rows(licenses.license_scan(d))] == [1_020_000, 1, 2]
+    assert [r["n_tokens"] for r in rows(lm.lm_scores(d))] == [1_020_001, 2, 3]
+    assert [r["n_shingles"] for r in rows(jaccard.jaccard_join(d))] == [6, 1, 1]
+    assert [r["lang_pred"] for r in rows(langid.language_id(d))] == ["en"] * 3
+    assert len(rows(cotraining.quality_scores(d, labels))) == len(rows(toxicity.toxicity(d, labels))) == 3
+    assert [r["exact"] for r in rows(spm.encode(d, spm.load(tokenizer_path())))] == [True] * 3
