@@ -24,18 +24,18 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import claim, connected, groups_of, join_counted, least_labels, mapped, scratch, small, stored
+from loomgraph.llm.common import claim, connected, groups_of, join_counted, mapped, scratch, small, stored
 
 #: Vectors of the sample that the codebooks are fitted on, at least (or all), and for each codeword.
 SAMPLE, PER_WORD = 20_000, 16
-#: Vectors listed in a cell, about; codewords of a group, about.
-PER_CELL, PER_GROUP = 32, 8
+#: Vectors listed in a cell, about.
+PER_CELL = 32
 #: Vectors of one length that are too few for a grid: they share one cell.
 FEW = 256
 #: Share of the pairs at or above the threshold that searches shall meet.
 TARGET_RECALL = 0.99
-#: Vectors that search and that are listed in a comparison block, at most.
-BLOCK, LISTED = 1024, 2048
+#: Vectors listed in a comparison block, at most, and bytes of these; so many times more search in it, STEP at once.
+LISTED, LISTED_BYTES, ASK_RATIO, STEP = 16_384, 8 << 20, 4, 512
 
 
 def parse(values: list | None) -> np.ndarray | None:
@@ -102,9 +102,15 @@ class Index:
         return out
 
 
-def grouped(words: np.ndarray) -> np.ndarray:
-    """Groups of neighbouring codewords."""
-    c = kmeans(words, max(1, round(len(words) / PER_GROUP)))
+def listed_of(dim: int) -> int:
+    """Vectors of this length that a block lists, at most."""
+    return max(1, min(LISTED, LISTED_BYTES // (8 * max(dim, 1))))
+
+
+def grouped(words: np.ndarray, dim: int) -> np.ndarray:
+    """Groups of neighbouring codewords, as many in one as let a region's vectors fit into a block."""
+    size = max(1.0, 0.9 * (listed_of(dim) / PER_CELL) ** 0.5)
+    c = kmeans(words, max(1, round(len(words) / size)))
     at = ((c * c).sum(1) - 2 * (words @ c.T)).argmin(1)
     return np.unique(at, return_inverse=True)[1]
 
@@ -138,7 +144,7 @@ def fit(sample: np.ndarray, rows: int, cosine: float, recall: float = TARGET_REC
         r = np.sort(np.concatenate(ranks))
         need = max(need, int(r[min(len(r) - 1, int(np.ceil(recall * len(r))) - 1)]) + 1)
     index.visits = need
-    index.groups = grouped(index.first), grouped(index.second)
+    index.groups = grouped(index.first, sample.shape[1]), grouped(index.second, sample.shape[1])
     return index
 
 
@@ -200,6 +206,47 @@ def _visits(indexes: Broadcast):
     return run
 
 
+def _links(x: np.ndarray, row: np.ndarray, m: np.ndarray, own: np.ndarray, seen: list[np.ndarray], listed: np.ndarray, asks: np.ndarray, cosine: float) -> pa.RecordBatch | None:
+    """What the searches of `asks` find among `listed`, cell by cell: each row's links, and its label in a spanning forest."""
+    visited = np.concatenate([seen[i] for i in asks])
+    who = np.repeat(asks, [len(seen[i]) for i in asks])
+    by = np.argsort(visited, kind="stable")
+    visited, who = visited[by], who[by]
+    there = listed[np.argsort(own[listed], kind="stable")]
+    cells, start = np.unique(own[there], return_index=True)
+    low, high = np.searchsorted(visited, cells, "left"), np.searchsorted(visited, cells, "right")
+    links: list[tuple[np.ndarray, np.ndarray]] = []
+    for c, (s, e) in enumerate(zip(start, [*start[1:], len(there)])):
+        a, t = who[low[c] : high[c]], there[s:e]
+        if not len(a):
+            continue
+        near = (x[a] @ x[t].T >= cosine) & (row[a][:, None] != row[t][None, :])
+        if near.any():
+            i, j = np.nonzero(near)
+            links.append((a[i], t[j]))
+    if not links:
+        return None
+    i, j = (np.concatenate(z) for z in zip(*links))
+    # a listed vector whose own search meets the asker's cell counts the pair there
+    back = np.ones(len(i), bool)
+    by = np.argsort(j, kind="stable")
+    for part in np.split(by, np.flatnonzero(np.diff(j[by])) + 1):
+        back[part] = ~np.isin(own[i[part]], seen[j[part[0]]])
+    rows, at = np.unique(np.concatenate([row[i], row[j]]), return_inverse=True)
+    a, b = at[: len(i)], at[len(i) :]
+    total = np.bincount(a, m[j], len(rows)) + np.bincount(b[back], m[i][back], len(rows))
+    lab = np.arange(len(rows))
+    while True:  # the least row that each reaches
+        new = lab.copy()
+        np.minimum.at(new, a, lab[b])
+        np.minimum.at(new, b, lab[a])
+        new = new[new]
+        if (new == lab).all():
+            break
+        lab = new
+    return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(total.astype(np.int64)), pa.array(rows[lab])], ["row", "links", "label"])
+
+
 def _compare(cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("multi_index")
@@ -210,41 +257,16 @@ def _compare(cosine: float):
             if not len(listed) or not len(asks):
                 continue
             row, m, own = (g.column(n).to_numpy() for n in ("row", "m", "own"))
-            x = _unit_rows(g.column("raw").to_pylist(), g.column("dim")[0].as_py())
+            dim, raw = g.column("dim")[0].as_py(), g.column("raw").to_pylist()
             seen = [np.frombuffer(c, np.int32) for c in g.column("seen").to_pylist()]
-            # the cells of the block one by one: who is listed there, and who visits
-            visited = np.concatenate([seen[i] for i in asks])
-            who = np.repeat(asks, [len(seen[i]) for i in asks])
-            by = np.argsort(visited, kind="stable")
-            visited, who = visited[by], who[by]
-            there = listed[np.argsort(own[listed], kind="stable")]
-            cells, start = np.unique(own[there], return_index=True)
-            low, high = np.searchsorted(visited, cells, "left"), np.searchsorted(visited, cells, "right")
-            links: list[tuple[np.ndarray, np.ndarray]] = []
-            for c, (s, e) in enumerate(zip(start, [*start[1:], len(there)])):
-                a, l = who[low[c] : high[c]], there[s:e]
-                if not len(a):
-                    continue
-                near = (x[a] @ x[l].T >= cosine) & (row[a][:, None] != row[l][None, :])
-                if near.any():
-                    i, j = np.nonzero(near)
-                    links.append((a[i], l[j]))
-            if not links:
-                continue
-            i, j = (np.concatenate(z) for z in zip(*links))
-            # a listed vector whose own search meets the asker's cell counts the pair there
-            back = np.ones(len(i), bool)
-            by = np.argsort(j, kind="stable")
-            edge = np.flatnonzero(np.diff(j[by])) + 1
-            for part in np.split(by, edge):
-                back[part] = ~np.isin(own[i[part]], seen[j[part[0]]])
-            rows, at = np.unique(row, return_inverse=True)
-            total = np.bincount(at[i], m[j], len(rows)) + np.bincount(at[j][back], m[i][back], len(rows))
-            adj = np.zeros((len(rows), len(rows)), bool)
-            adj[at[i], at[j]] = adj[at[j], at[i]] = True
-            lab = least_labels(adj)
-            hit = adj.any(1)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[hit]), pa.array(total[hit].astype(np.int64)), pa.array(rows[lab][hit])], ["row", "links", "label"])
+            x = _unit_rows([raw[i] for i in listed], dim)
+            for low in range(0, len(asks), STEP):
+                a = asks[low : low + STEP]
+                at = np.concatenate([a, listed])
+                both = np.concatenate([_unit_rows([raw[i] for i in a], dim), x])
+                out = _links(both, row[at], m[at], own[at], [seen[i] for i in at], np.arange(len(a), len(at)), np.arange(len(a)), cosine)
+                if out is not None:
+                    yield out
 
     return run
 
@@ -268,7 +290,8 @@ def _found(reps: DataFrame, cosine: float, recall: float) -> DataFrame | None:
     v = stored(mapped(v, _visits(shared), "row long, dim int, m long, raw binary, own long, home long, regions array<long>, cells array<binary>"), "visits")
     sizes = v.select("dim", F.explode("regions").alias("region"), F.col("home")).groupBy("dim", "region").agg(F.count("*").alias("asks"), F.count(F.when(F.col("home") == F.col("region"), 1)).alias("listed"))
     # regions where nothing or only the asker itself is listed need no comparison
-    sizes = stored(sizes.filter("listed > 0 AND asks > 1").select("dim", "region", F.ceil(F.col("listed") / LISTED).cast("long").alias("nl"), F.ceil(F.col("asks") / BLOCK).cast("long").alias("na")), "regions")
+    most = F.greatest(F.lit(1), F.least(F.lit(LISTED), F.floor(F.lit(LISTED_BYTES) / (8 * F.col("dim")))))
+    sizes = stored(sizes.filter("listed > 0 AND asks > 1").select("dim", "region", F.ceil(F.col("listed") / most).cast("long").alias("nl"), F.ceil(F.col("asks") / (ASK_RATIO * most)).cast("long").alias("na")), "regions")
     n = sizes.count()
     place = lambda k: F.pmod(F.xxhash64("row"), F.col(k))
     every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))

@@ -83,8 +83,8 @@ def test_near_vectors_brute_force(spark):
 
 
 def test_near_vectors_blocks(spark, monkeypatch):
-    monkeypatch.setattr(multi_index, "BLOCK", 16)
     monkeypatch.setattr(multi_index, "LISTED", 16)
+    monkeypatch.setattr(multi_index, "ASK_RATIO", 1)
     rng = np.random.default_rng(1)
     x = np.ones(8) + 0.01 * rng.normal(size=(120, 8))
     got = rows(multi_index.near_vectors(table(spark, [(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")), "vec_id")
@@ -94,7 +94,7 @@ def test_near_vectors_blocks(spark, monkeypatch):
 
 def test_near_vectors_by_regions(spark, monkeypatch):
     """Several groups of codewords, blocks and lengths at once, ties at the threshold, repeated and null ids."""
-    for k, v in {"BLOCK": 40, "LISTED": 30, "PER_CELL": 4, "PER_GROUP": 3, "FEW": 50}.items():
+    for k, v in {"LISTED": 30, "ASK_RATIO": 2, "STEP": 16, "PER_CELL": 4, "FEW": 50}.items():
         monkeypatch.setattr(multi_index, k, v)
     rng = np.random.default_rng(5)
     x = rng.normal(size=(400, 12))
