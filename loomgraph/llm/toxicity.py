@@ -145,7 +145,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for j in range(k):
             y = b.column(1 + j).to_numpy(zero_copy_only=False)[owner]
             for label in (0, 1):
-                total[2 * j + label] += np.bincount(v[y == label], minlength=3 * VALUES).astype(np.int32)
+                at, n = np.unique(v[y == label], return_counts=True)
+                total[2 * j + label, at] += n.astype(np.int32)
     hit = np.flatnonzero(total.any(0))
     for part in np.split(hit, np.flatnonzero(np.diff(hit >> CHUNK_BITS)) + 1):
         if len(part):
