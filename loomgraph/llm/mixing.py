@@ -12,8 +12,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.llm.common import scratch, stored
 from loomgraph.llm.common import small as counted
-from loomgraph.llm.common import stored
 
 #: The weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -56,6 +56,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MAX_E
     which leaves it off its target by at most half of one document (or of documents of equal id). A document with size 0 is
     taken with its pass, but counts nothing. The hash is of the id alone (of the text where the id is null), so reruns
     agree and rows of the same id go together, ties of hashes too. A source without words has target 0 and takes nothing."""
+    with scratch() as made:
+        out, read = _mix(docs, weights, epochs, text_col, ids_only)
+        made[:] = [x for x in made if not any(x is y for y in read)]
+    return out
+
+
+def _mix(docs: DataFrame, weights: tuple[int, ...], epochs: int, text_col: str, ids_only: bool) -> tuple[DataFrame, list[DataFrame]]:
+    """mix(), and the stored tables that its rows are read from."""
     own = ("size", "source_size", "target", "copies", "taken")
     docs = docs.drop(*own)
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.coalesce(F.col(text_col), F.lit(""))))
@@ -100,4 +108,5 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MAX_E
     d = t if ids_only else d
     out = d.join(small(plan), F.col("source").cast("string").eqNullSafe(F.col("s_source")), "inner")
     copies = F.when(F.col("target") > 0, F.least(F.col("passes") + (F.col("__h") <= F.col("upto")).cast("long"), F.lit(epochs).cast("long"))).otherwise(F.lit(0).cast("long"))
-    return out.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).select(*(["doc_id"] if ids_only else docs.columns), *own)
+    out = out.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).select(*(["doc_id"] if ids_only else docs.columns), *own)
+    return out, [t, plan] if ids_only else [plan]

@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import claim, connected, groups_of, join_counted, mapped, scratch, small, stored
+from loomgraph.llm.common import claim, connected, dropped, groups_of, join_counted, mapped, scratch, small, stored
 
 #: Vectors of the sample that the codebooks are fitted on, at least (or all), and for each codeword.
 SAMPLE, PER_WORD = 20_000, 16
@@ -330,6 +330,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
         named = named.join(least, "component").select("row", "least")
         info = reps.join(links, "row", "left").join(named, "row", "left").select(*key, "m", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("least", "vec_id").alias("low"))
     info = stored(info, "info")
+    dropped(reps, *([] if found is None else [found]))
     whole = join_counted(t.filter("digest IS NOT NULL").select("vec_id", *key), info, key, "m", total).select("vec_id", "n_links", F.coalesce("low", "vec_id").alias("component_id"))
     alone = t.filter("digest IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return whole.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

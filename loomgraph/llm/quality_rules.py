@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import BROADCAST_ROWS, mapped, stored
+from loomgraph.llm.common import BROADCAST_ROWS, mapped, scratch, stored
 
 #: False rejection of good documents per stratum, at most, and the level of all tests together.
 ALPHA, DELTA = 0.04, 0.05
@@ -125,7 +125,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delt
     kept. A null or empty text has no words and fails the base rules; strata without labels keep what passes these.
     Columns of docs other than doc_id, text and lang are not read."""
     stats = stored(statistics(docs), "stats")
-    cuts = stored(thresholds(stats, labels, alpha, delta), "cuts")
+    with scratch() as made:
+        cuts = stored(thresholds(stats, labels, alpha, delta), "cuts")
+        made[:] = [x for x in made if x is not cuts]
     n = cuts.count()
     out = stats.join(F.broadcast(cuts) if n <= BROADCAST_ROWS else cuts, "stratum", "left")
     names = F.array_compact(F.array(*(F.when(grid_place(r) > F.coalesce(F.col(f"cut_{r}"), F.lit(GRID)), F.lit(r)) for r in RULES)))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from loomgraph.llm.common import as_bytes, claim, groups_of, mapped, pieces, stored
+from loomgraph.llm.common import as_bytes, claim, dropped, groups_of, mapped, pieces, stored
 from loomgraph.llm.linear import chi2_cut, fit_logistic, predict
 
 #: Labelled documents used to fit, at most.
@@ -189,6 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Chain:
     cut = chi2_cut(LEVEL / max(1, k * tested))
     goes = [F.when((F.col(f"pos{j}") * sizes[f"y{j}_0"] > F.col(f"neg{j}") * sizes[f"y{j}_1"]) & (_g2(F.col(f"pos{j}"), F.col(f"neg{j}"), float(sizes[f"y{j}_1"]), float(sizes[f"y{j}_0"])) > cut), 1 << j).otherwise(0) if sizes[f"y{j}_1"] and sizes[f"y{j}_0"] else F.lit(0) for j in range(k)]
     got = counts.select("value", sum(goes).cast("int").alias("kinds")).filter("kinds > 0").toPandas()  # at most a row a hash value
+    dropped(counts)
     v = got["value"].to_numpy(np.int64)
     chain.kinds[v] = got["kinds"].to_numpy(np.uint8)
     chain.columns[v] = _hash(v.astype(np.uint64) + np.uint64(7)) % COLUMNS
