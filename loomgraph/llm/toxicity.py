@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from loomgraph.llm.common import as_bytes, claim, dropped, groups_of, mapped, pieces, stored
+from loomgraph.llm.common import as_bytes, claim, dropped, groups_of, mapped, pieces, release, stored
 from loomgraph.llm.linear import chi2_cut, fit_logistic, predict
 
 #: Labelled documents used to fit, at most.
@@ -231,6 +231,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Chain:
             if rest.any() and out.any():
                 oof[out] = predict(fit_logistic(z[rest], y[rest], weight[rest], l2=0.05), z[out])
         before = np.hstack([before, oof[:, None].astype(np.float32)])
+    del got, x, before
+    release()  # the driver's memory
     return chain
 
 
