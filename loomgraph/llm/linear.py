@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 
@@ -15,8 +16,14 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None,
     """Ridge logistic regression by Newton steps; the last coefficient is the intercept, which is not penalised much.
     One class only, or no rows: an intercept alone."""
     x = np.hstack([np.asarray(x, np.float64), np.ones((len(x), 1))])
+    return fit_blocks(lambda at: x[at], x.shape[1], y, weight, l2, rounds, len(x))
+
+
+def fit_blocks(rows: Callable[[slice], np.ndarray], width: int, y: np.ndarray, weight: np.ndarray | None = None, l2: float = 1.0, rounds: int = 25, size: int = 2048) -> np.ndarray:
+    """As fit_logistic, of `width` columns that rows() makes for `size` rows at a time, the last of them ones; all rows
+    count in every step, but only one block of them is held."""
     y = np.asarray(y, np.float64)
-    w = np.zeros(x.shape[1])
+    w = np.zeros(width)
     c = np.ones(len(y)) if weight is None else np.asarray(weight, np.float64)
     if not len(y):
         return w
@@ -26,9 +33,14 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None,
     ridge = np.full(len(w), l2)
     ridge[-1] = 1e-3
     for _ in range(rounds):
-        p = sigmoid(x @ w)
-        g = x.T @ (c * (p - y)) + ridge * w
-        h = (x * (c * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x
+        g, h = np.zeros(width), np.zeros((width, width))
+        for low in range(0, len(y), size):
+            at = slice(low, low + size)
+            x = rows(at)
+            p = sigmoid(x @ w)
+            g += x.T @ (c[at] * (p - y[at]))
+            h += (x * (c[at] * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x
+        g += ridge * w
         h[np.diag_indices_from(h)] += ridge
         step = np.linalg.solve(h, g)
         big = np.abs(step).max()

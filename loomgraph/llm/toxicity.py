@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from loomgraph.llm.common import as_bytes, claim, dropped, groups_of, mapped, pieces, release, stored
-from loomgraph.llm.linear import chi2_cut, fit_logistic, predict
+from loomgraph.llm.linear import chi2_cut, fit_blocks, predict, sigmoid
 
 #: Labelled documents used to fit, at most.
 MAX_LABELLED = 20_000
@@ -35,6 +35,11 @@ LEVEL = 0.01
 FOLDS = 5
 #: The categories of the chain in their order: the label and its value that stand for them.
 CATEGORIES = {"junk": ("quality", 0), "toxic": ("toxic", 1)}
+#: A labelled document as it travels to the driver: labels by category, fold, how many documents are alike, and its
+#: features, presence as bits. COLUMNS is a multiple of 8.
+ROW = np.dtype([("y", np.int8, (len(CATEGORIES),)), ("fold", np.int8), ("n", np.int64), ("bits", np.uint8, (COLUMNS // 8,)), ("rest", np.float32, (2 * len(CATEGORIES),))])
+#: Rows whose features the driver spreads out at a time.
+BLOCK = 2048
 #: ASCII letters in lower case; digits and bytes beyond ASCII stay; the rest separates words.
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c > 127 else 32 for c in range(256))
 BLANK = bytes(32 if 9 <= c <= 13 else c for c in range(256))
@@ -188,10 +193,10 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Chain:
     tested = counts.count()
     cut = chi2_cut(LEVEL / max(1, k * tested))
     goes = [F.when((F.col(f"pos{j}") * sizes[f"y{j}_0"] > F.col(f"neg{j}") * sizes[f"y{j}_1"]) & (_g2(F.col(f"pos{j}"), F.col(f"neg{j}"), float(sizes[f"y{j}_1"]), float(sizes[f"y{j}_0"])) > cut), 1 << j).otherwise(0) if sizes[f"y{j}_1"] and sizes[f"y{j}_0"] else F.lit(0) for j in range(k)]
-    got = counts.select("value", sum(goes).cast("int").alias("kinds")).filter("kinds > 0").toPandas()  # at most a row a hash value
+    got = counts.select("value", sum(goes).cast("int").alias("kinds")).filter("kinds > 0").toArrow()  # at most a row a hash value
     dropped(counts)
-    v = got["value"].to_numpy(np.int64)
-    chain.kinds[v] = got["kinds"].to_numpy(np.uint8)
+    v = got["value"].to_numpy()
+    chain.kinds[v] = got["kinds"].to_numpy()
     chain.columns[v] = _hash(v.astype(np.uint64) + np.uint64(7)) % COLUMNS
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
@@ -199,43 +204,59 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Chain:
         # documents without any feature that counts are alike: they are only counted
         claim("toxicity")
         chain, blank = shared.value, Counter()
-        kind = pa.list_(pa.float32())
         for b in (x for whole in batches for x in pieces(whole, 0)):
             x = chain.features(as_bytes(b.column(0)))
             y = np.stack([b.column(1 + j).to_numpy(zero_copy_only=False) for j in range(k + 1)], 1)
             hit = x.any(1)
             blank.update(map(tuple, y[~hit].tolist()))
-            yield pa.RecordBatch.from_arrays([*(pa.array(y[hit, j]) for j in range(k + 1)), pa.array(np.ones(hit.sum(), np.int64)), pa.array(list(x[hit].astype(np.float32)), kind)], [*ys, "fold", "n", "x"])
-        rest = list(blank)
-        yield pa.RecordBatch.from_arrays([*(pa.array([r[j] for r in rest], pa.int32()) for j in range(k + 1)), pa.array([blank[r] for r in rest], pa.int64()), pa.array([None] * len(rest), kind)], [*ys, "fold", "n", "x"])
+            yield _packed(y[hit], 1, x[hit])
+        if blank:
+            yield _packed(np.array(list(blank)), list(blank.values()), np.zeros((len(blank), COLUMNS + 2 * k)))
 
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold")
-    got = mapped(sample.select("text", *ys, fold), rows, ", ".join(f"{y} int" for y in ys) + ", fold int, n long, x array<float>").toPandas()
-    x = np.zeros((len(got), COLUMNS + 2 * k), np.float32)
-    for i, r in enumerate(got["x"]):
-        if r is not None:
-            x[i] = r
-    fold, weight = got["fold"].to_numpy(), got["n"].to_numpy(np.float64)
+    got = mapped(sample.select("text", *ys, fold), rows, "rows binary").toArrow()
+    got = np.frombuffer(b"".join(x.as_buffer() for x in got["rows"]), ROW)
     before = np.zeros((len(got), 0), np.float32)
     for j in range(k):
-        y = got[f"y{j}"].to_numpy()
-        z = np.hstack([x, before])
+        y, fold = got["y"][:, j], got["fold"]
+
+        def model(at: np.ndarray) -> np.ndarray:
+            return fit_blocks(lambda s: _spread(got, before, at[s]), COLUMNS + 2 * k + before.shape[1] + 1, y[at], got["n"][at], l2=0.05, size=BLOCK)
+
+        def probability(w: np.ndarray, at: np.ndarray) -> np.ndarray:
+            return np.concatenate([np.empty(0), *(sigmoid(_spread(got, before, at[low : low + BLOCK]) @ w) for low in range(0, len(at), BLOCK))])
+
         use = y >= 0
-        if not use.any():
-            chain.models.append(np.append(np.zeros(z.shape[1]), -20.0))
-        else:
-            chain.models.append(fit_logistic(z[use], y[use], weight[use], l2=0.05))
-        oof = predict(chain.models[-1], z)
+        chain.models.append(model(np.flatnonzero(use)) if use.any() else np.append(np.zeros(COLUMNS + 2 * k + j), -20.0))
+        oof = probability(chain.models[-1], np.arange(len(got)))
         for f in range(FOLDS):
-            rest, out = use & (fold != f), fold == f
-            if rest.any() and out.any():
-                oof[out] = predict(fit_logistic(z[rest], y[rest], weight[rest], l2=0.05), z[out])
+            rest, out = np.flatnonzero(use & (fold != f)), np.flatnonzero(fold == f)
+            if len(rest) and len(out):
+                oof[out] = probability(model(rest), out)
         before = np.hstack([before, oof[:, None].astype(np.float32)])
-    del got, x, before
+    del got, before
     release()  # the driver's memory
     return chain
 
 
+def _packed(y: np.ndarray, n: int | list[int], x: np.ndarray) -> pa.RecordBatch:
+    """One row with all of ROW: the labels and the fold in y, how many are alike, the features."""
+    out = np.zeros(len(y), ROW)
+    out["y"], out["fold"], out["n"] = y[:, :-1], y[:, -1], n
+    out["bits"], out["rest"] = np.packbits(x[:, :COLUMNS] > 0, axis=1), x[:, COLUMNS:]
+    return pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["rows"])
+
+
+def _spread(rows: np.ndarray, before: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The features of rows[at], the probabilities of the categories before, and ones."""
+    r, n = rows[at], rows["rest"].shape[1]
+    x = np.ones((len(at), COLUMNS + n + before.shape[1] + 1))
+    x[:, :COLUMNS] = np.unpackbits(r["bits"], axis=1)
+    x[:, COLUMNS : COLUMNS + n] = r["rest"]
+    x[:, COLUMNS + n : -1] = before[at]
+    return x
+
+
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
     """docs with p_junk and p_toxic (double) added; its own columns of these names are replaced. A null or empty text has no
     features, and the scores that go with none; texts however long are read whole; an empty table gives none."""

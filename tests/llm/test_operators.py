@@ -4,6 +4,7 @@ columns of clashing names."""
 import collections
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -319,6 +320,30 @@ def test_chain_uses_earlier_scores(clean):
     assert not chain.features([None, b""]).any()
 
 
+def test_fitting_the_chain_takes_no_memory_by_document(spark, monkeypatch):
+    """The driver's peak beside what it holds for no documents; and the models are those of all labelled documents at once."""
+    c = corpus(4000)
+    docs, y = table(spark, [r[:5] for r in c]), spark.createDataFrame([(r[0], r[5], r[6]) for r in c], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(toxicity, "BLOCK", 256, raising=False)
+    peaks = []
+    for n in (200, 4000):
+        tracemalloc.start()
+        chain = toxicity.fit(docs.filter(F.col("doc_id") < n), y)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] - peaks[0] < 4 << 20, peaks
+    x = chain.features([r[1].encode() for r in c]).astype(np.float32)
+    fold = np.array([r[0] for r in docs.orderBy("doc_id").select(F.expr("pmod(xxhash64(doc_id, 'fold'), 5)")).collect()])
+    before = np.zeros((len(c), 0), np.float32)
+    for w, flag in zip(chain.models, (np.array([1 - r[5] for r in c]), np.array([r[6] for r in c]))):
+        z = np.hstack([x, before])
+        assert np.allclose(w, linear.fit_logistic(z, flag, l2=0.05), atol=1e-4)
+        p = np.zeros(len(c))
+        for f in range(toxicity.FOLDS):
+            p[fold == f] = linear.predict(linear.fit_logistic(z[fold != f], flag[fold != f], l2=0.05), z[fold == f])
+        before = np.hstack([before, p[:, None].astype(np.float32)])
+
+
 def test_toxicity_tie(spark):
     """One clean and one toxic document that are alike: one half each, and nothing is rejected."""
     docs = table(spark, [(i, "the same words", None, None, 0) for i in range(20)])
