@@ -19,3 +19,9 @@ def test_orchestrated_calls_broadcasts_hinted_sides_only(spark):
     # the names (one row) and the covered languages
     found = [x for x in joins(catalogue.QUERIES["orchestrated_calls"](spark, DATA)) if "Broadcast" in x]
     assert found and all("NestedLoop" in x or "language" in x for x in found)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_resolve_chain_broadcasts_nothing_unmeasured(spark):
+    found = joins(catalogue.QUERIES["resolve_chain"](spark, DATA))
+    assert found and not any("Broadcast" in x for x in found)
