@@ -1,10 +1,12 @@
 """Plans that must not grow on the driver or in one task as the tables do."""
 
+import hashlib
 import os
 
 import pytest
 
 from loomgraph.plans import catalogue_extract as catalogue
+from loomgraph.sources import manifests
 
 DATA = os.environ.get("LOOM_TEST_DATA", "/root/testdata/sf0.001")
 
@@ -25,3 +27,18 @@ def test_orchestrated_calls_broadcasts_hinted_sides_only(spark):
 def test_resolve_chain_broadcasts_nothing_unmeasured(spark):
     found = joins(catalogue.QUERIES["resolve_chain"](spark, DATA))
     assert found and not any("Broadcast" in x for x in found)
+
+
+def test_content_hash_in_parts(spark, monkeypatch):
+    """The hashes of many files are sorted in parts, none of which holds all; the result is that of one string."""
+    monkeypatch.setattr(manifests, "HASH_PART", 50, raising=False)
+    content = {f"d{i}/go.mod": b"module m%d" % i for i in range(1000)}
+    files = spark.createDataFrame([(p, "go.mod", c) for p, c in content.items()] + [("x/none.txt", "none.txt", b"")], "path string, name string, content binary").repartition(3)
+    log = spark.sparkContext.statusTracker()
+    before = set(log.getJobIdsForGroup(None))
+    got = manifests.content_hash(files).first()["hash"]
+    stages = [log.getStageInfo(s) for j in set(log.getJobIdsForGroup(None)) - before for s in log.getJobInfo(j).stageIds]
+    text = "".join(hashlib.sha256(content[p]).hexdigest() for p in sorted(content))
+    assert got == hashlib.sha256(text.encode()).hexdigest()
+    assert max(s.numTasks for s in stages if s) >= 20
+    assert manifests.content_hash(files.filter("name = 'none.txt'")).first()["hash"] == ""
