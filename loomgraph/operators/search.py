@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,16 +101,40 @@ def ranked(nodes: DataFrame, query: str, label: str | None = None, limit: int =
     return found.orderBy(F.desc("score"), "id").limit(limit)
 
 
+def best_window(text: str, words: list[str], width: int = 150, stride: int = 20) -> int:
+    """Where the window begins, of those that begin every `stride` characters, that has the most of the words in lower case;
+    the first among equals. Passes over the text once. In plain ASCII, windows that no word reaches are skipped."""
+    low = text.lower() if text.isascii() else None
+    nxt = dict.fromkeys(words, -1)
+    most, best, p = 0, 0, 0
+    while p < len(text) and most < len(words):
+        if low is not None:
+            for w, at in nxt.items():
+                if 0 <= at < p or at == -1:
+                    at = low.find(w, p)
+                    nxt[w] = at if at >= 0 else len(text)
+            first = min((at + len(w) for w, at in nxt.items() if at < len(text)), default=None)
+            if first is None and "" not in nxt:
+                break
+            if first is not None and first - width > p:
+                p += -(-(first - width - p) // stride) * stride
+                continue
+        win = text[p : p + width].lower()
+        n = sum(w in win for w in words)
+        if n > most:
+            most, best = n, p
+        p += stride
+    return best
+
+
 def snippet(text: Column, words: list[str], width: int = 150, stride: int = 20) -> Column:
-    """The window, of those that begin every `stride` characters, with the most of the words; the first among equals."""
-    n = F.length(text)
+    """The window, of those that begin every `stride` characters, with the most of the words; the first among equals. Its
+    place is found in Python, where a character of a text is reached in one step; in a column expression every window
+    walks there from the beginning."""
 
-    def count(p: Column) -> Column:
-        win = F.lower(F.substring(text, p + 1, F.lit(width)))
-        return sum((F.when(win.contains(w), 1).otherwise(0) for w in words), F.lit(0))
+    def places(texts: pd.Series) -> pd.Series:
+        return pd.Series([0 if t is None else best_window(t, words, width, stride) for t in texts], dtype="int32")
 
-    places = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(stride))
-    best = F.array_max(F.transform(places, lambda p: F.struct(count(p).alias("c"), (-p).alias("p"))))
-    pos = -best["p"]
+    n, pos = F.length(text), F.pandas_udf(places, "int")(text)
     body = F.regexp_replace(F.substring(text, pos + 1, F.lit(width)), r"^\s+|\s+$", "")
     return F.when(F.coalesce(n, F.lit(0)) == 0, "").otherwise(F.concat(F.when(pos > 0, "...").otherwise(""), body, F.when(pos + width < n, "...").otherwise("")))

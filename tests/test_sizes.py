@@ -2,9 +2,13 @@
 
 import hashlib
 import os
+import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
+from loomgraph.operators import resolve, search
 from loomgraph.plans import catalogue_extract as catalogue
 from loomgraph.sources import manifests
 
@@ -46,3 +50,20 @@ def test_content_hash_in_parts(spark, monkeypatch):
     assert got == hashlib.sha256(text.encode()).hexdigest()
     assert len(seen) == 1 and len(seen[0]) >= 15 and max(len(r["h"]) for r in seen[0]) < 32 * 200
     assert manifests.content_hash(files.filter("name = 'none.txt'")).first()["hash"] == ""
+
+
+def test_snippet_reads_a_text_once(spark):
+    """Brute force over windows, with texts that are not ASCII; before, a long text took time by the square of its length."""
+    r = random.Random(4)
+    texts = ["".join(r.choice(a) for _ in range(n)) for a in ("ab ", "aÉb ", "AbIİ ", "xy") for n in (0, 1, 19, 151, 700) for _ in range(5)]
+    words = ["ab", "bab"]
+    for t in texts:
+        best = max((sum(w in t[p : p + 150].lower() for w in words), -p) for p in range(0, max(len(t), 1), 20))
+        assert search.best_window(t, words) == -best[1]
+    long = "x " * 1_000_000 + "Needle" + " y" * 100
+    df = spark.createDataFrame([(0, long), (1, None), (2, ""), (3, " needle in it")], "id int, t string")
+    began = time.time()
+    got = [x[0] for x in df.select("id", search.snippet(F.col("t"), ["needle"]).alias("s")).orderBy("id").select("s").collect()]
+    assert time.time() - began < 30
+    at = 1_999_860
+    assert got == ["..." + long[at : at + 150].strip() + "...", "", "", "needle in it"]
