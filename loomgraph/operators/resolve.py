@@ -106,16 +106,32 @@ def resolved_edges(calls: DataFrame) -> DataFrame:
 
 
 def enclosing(points: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(point columns, owner): the range(file, start, stop, id) of the point's file that holds its line and begins last.
-    Ranges lie in bins as wide as they are, rounded up to a power of two, and so in two at most; a point is looked up in
-    the one bin of each width in use. So a file with many points and ranges costs what lies near each other."""
-    width = F.ceil(F.log2(F.greatest(F.col("stop") - F.col("start") + 1, F.lit(1)))).cast("int")
-    r = ranges.filter("stop >= start").select("file", "start", "stop", F.col("id").alias("owner"), width.alias("width"))
-    widths = [x["width"] for x in r.select("width").distinct().collect()]  # some of 64
-    r = r.withColumn("bin", F.explode(F.expr("sequence(shiftright(start, width), shiftright(stop, width))")))
-    p = points.withColumn("width", F.explode(F.array(*map(F.lit, widths)).cast("array<int>"))).withColumn("bin", F.expr("shiftright(line, width)"))
-    j = p.join(r, ["file", "width", "bin"]).filter(F.col("line").between(F.col("start"), F.col("stop")))
-    return j.groupBy(*points.columns).agg(F.max_by("owner", F.struct("start", "owner")).alias("owner"))
+    """(point columns, owner): the range(file, start, stop, id) of the point's file that holds its line and begins last, the
+    greatest id among equals. Ranges lie in bins of half their width or more, by powers of two, and so in three at most; a
+    point is looked up in the one bin of each width in use. No range ends in the bin where it starts, unless a bin is one
+    line, so the owner is the last that starts in the bin before the point, else, of those from before it, the last started
+    that ends behind the point. Both are kept while the places of a bin are passed in order: points and ranges of a bin
+    cost their sum and not their product."""
+    power = F.length(F.bin(F.col("stop").cast("long") - F.col("start").cast("long"))) - 1
+    r = ranges.filter("stop >= start AND file IS NOT NULL").select("file", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), F.col("id").alias("owner"), power.alias("power"))
+    r = r.groupBy("file", "power", "start", "stop").agg(F.max("owner").alias("owner"))
+    powers = [x["power"] for x in r.select("power").distinct().collect()]  # some of 64
+    r = r.withColumn("bin", F.explode(F.expr("sequence(shiftright(start, power), shiftright(stop, power))")))
+    fresh = F.col("bin") == F.expr("shiftright(start, power)")
+    place = F.when(fresh, F.col("start")).otherwise(F.least("stop", F.expr("shiftleft(bin + 1, power) - 1")))
+    d = F.struct("start", "owner")
+    r = r.select("file", "power", "bin", place.alias("place"), F.lit(0).alias("kind"), F.when(fresh, d).alias("a"), F.when(~fresh, d).alias("b"))
+    # a place needs only the best that starts there and the best that ends there
+    r = r.groupBy("file", "power", "bin", "place", "kind").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    p = points.filter("file IS NOT NULL AND line IS NOT NULL").select("file", F.col("line").cast("long").alias("place")).distinct()
+    p = p.withColumn("power", F.explode(F.array(*map(F.lit, powers)).cast("array<int>"))).withColumn("bin", F.expr("shiftright(place, power)"))
+    none = F.lit(None).cast(r.schema["a"].dataType)
+    both = r.unionByName(p.select("file", "power", "bin", "place", F.lit(1).alias("kind"), none.alias("a"), none.alias("b")))
+    w = Window.partitionBy("file", "power", "bin").rowsBetween(Window.unboundedPreceding, 0)
+    best = both.withColumn("a", F.max("a").over(w.orderBy("place", "kind"))).withColumn("b", F.max("b").over(w.orderBy(F.desc("place"), "kind")))
+    best = best.filter("kind = 1").select("file", F.col("place").alias("line"), F.coalesce("a", "b").alias("d")).filter("d IS NOT NULL").groupBy("file", "line").agg(F.max("d")["owner"].alias("owner"))
+    found = best.withColumn("line", F.col("line").cast(points.schema["line"].dataType))
+    return points.distinct().join(found, ["file", "line"]).select(*points.columns, "owner")
 
 
 def nearest(points: DataFrame, functions: DataFrame) -> DataFrame:

@@ -52,6 +52,25 @@ def test_content_hash_in_parts(spark, monkeypatch):
     assert manifests.content_hash(files.filter("name = 'none.txt'")).first()["hash"] == ""
 
 
+def test_enclosing_pairs_no_points_with_ranges(spark):
+    r = random.Random(6)
+    ranges = [(f, a, a + n, i) for i in range(600) for f, a, n in [(r.choice("fg"), r.randrange(-300, 300), r.choice([0, 1, 2, 3, 7, 8, 9, 100, 500]) + r.randrange(3))]]
+    ranges += [("f", 5, 4, 9999), (None, 0, 9, 9998), ("g", 0, 9, 7), ("g", 0, 9, 3)]
+    points = [(f, x, s) for f in ("f", "g", "h", None) for x in range(-350, 850, 3) for s in ("u", "v")] + [("f", 1, "u"), ("f", 1, "u"), ("f", None, "u")]
+    p = spark.createDataFrame(points, "file string, line int, symbol string")
+    q = spark.createDataFrame(ranges, "file string, start int, stop int, id long")
+    df = resolve.enclosing(p, q)
+    assert df.columns == ["file", "line", "symbol", "owner"] and df.schema["line"].dataType == p.schema["line"].dataType
+    want = {}
+    for f, x, s in points:
+        on = [(a, i) for g, a, b, i in ranges if None not in (f, x) and g == f and a <= x <= b]
+        if on:
+            want[f, x, s] = max(on)[1]
+    got = [tuple(x) for x in df.collect()]
+    assert len(got) == len(want) and {x[:3]: x[3] for x in got} == want
+    assert not any("bin#" in x for x in joins(df))  # before, each point met every range of its bin
+
+
 def test_snippet_reads_a_text_once(spark):
     """Brute force over windows, with texts that are not ASCII; before, a long text took time by the square of its length."""
     r = random.Random(4)
