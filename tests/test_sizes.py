@@ -3,12 +3,13 @@
 import hashlib
 import os
 import random
+import re
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import resolve, search
+from loomgraph.operators import communities, resolve, search
 from loomgraph.plans import catalogue_extract as catalogue
 from loomgraph.sources import manifests
 
@@ -86,3 +87,16 @@ def test_snippet_reads_a_text_once(spark):
     assert time.time() - began < 30
     at = 1_999_860
     assert got == ["..." + long[at : at + 150].strip() + "...", "", "", "needle in it"]
+
+
+def test_communities_are_solved_in_many_tasks(spark, monkeypatch):
+    """Components are small in bytes and much work, so their number of tasks goes by their rows."""
+    monkeypatch.setattr(communities, "TASK_ROWS", 20, raising=False)
+    edges = [(f"n{i}{a}", f"n{i}{b}") for i in range(40) for a, b in ("ab", "bc", "ca")]
+    e = spark.createDataFrame(edges, "src string, dst string")
+    df = communities.communities(e, e.select(F.col("src").alias("id")))
+    got = {x["id"]: x["community"] for x in df.collect()}
+    assert got == {f"n{i}{x}": f"n{i}a" for i in range(40) for x in "abc"}
+    # 40 components of three communities and three links
+    parts = re.findall(r"hashpartitioning\(component#\d+, (\d+)\), REPARTITION_BY_NUM", df._jdf.queryExecution().executedPlan().toString())
+    assert parts and set(parts) == {"13"}
