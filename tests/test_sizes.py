@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.operators import communities, resolve, search
+from loomgraph.plans import carrier
 from loomgraph.plans import catalogue_extract as catalogue
 from loomgraph.sources import manifests
 
@@ -100,3 +101,12 @@ def test_communities_are_solved_in_many_tasks(spark, monkeypatch):
     # 40 components of three communities and three links
     parts = re.findall(r"hashpartitioning\(component#\d+, (\d+)\), REPARTITION_BY_NUM", df._jdf.queryExecution().executedPlan().toString())
     assert parts and set(parts) == {"13"}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_churn_goes_in_parts_and_sorts_for_no_sum(spark, monkeypatch):
+    monkeypatch.setattr(carrier, "TOUCHED_ROWS", 500, raising=False)
+    df = catalogue.QUERIES["churn_files"](spark, DATA)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    n = spark.read.parquet(f"{DATA}/lineitem.parquet").count() // 500 + 1
+    assert f"{n}), REPARTITION_BY_NUM" in plan and "SortAggregate" not in plan
